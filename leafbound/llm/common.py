@@ -47,10 +47,9 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_key(*cols: Column) -> Column:
-    """128 bits that stand for a row's values; nulls and empty strings differ."""
-    parts = [F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("n")) for c in cols]
-    return F.md5(F.concat_ws("\x00", *parts))
+def if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df, which is stored, marked for broadcast if it is counted to have at most so many (narrow) rows; else a shuffled join follows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, words
+from .common import if_small, stored, words
 
 #: Shrunk failure rate above which a host's documents all go, and the least number of documents it takes.
 HOST_LIMIT, HOST_LEAST = 0.6, 20
@@ -79,8 +79,8 @@ def host_verdicts(rows: DataFrame, limit: float = HOST_LIMIT, least: int = HOST_
 
 def _judged(marked: DataFrame) -> DataFrame:
     """marked, with _host and _bad, and the host's verdict joined on; null hosts meet as one value."""
-    hosts = host_verdicts(marked.select("_host", "_bad"))
-    return marked.join(hosts, "_host", "left")
+    hosts = stored(host_verdicts(marked.select("_host", "_bad")), "hosts")
+    return marked.join(if_small(hosts), "_host")
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
