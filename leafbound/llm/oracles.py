@@ -4,10 +4,10 @@ SQL: dict[str, str] = {}
 
 SQL["op10_quality_rules"] = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, coalesce(source, chr(1)) AS host FROM documents),
-w AS (SELECT k, doc_id, t, host, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM d),
-f AS (SELECT k, doc_id, host, len(w) AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0) AS word_chars,
+w AS (SELECT k, doc_id, t, host, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+f AS (SELECT k, doc_id, host, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
   length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-  list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w),
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w),
 g AS (SELECT k, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3),
 h AS (SELECT k, i, concat_ws(chr(32), w[i], w[i + 1], w[i + 2]) AS tri FROM g),
 b AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, tri) AS c FROM h) WHERE c > 1),
@@ -22,3 +22,31 @@ SELECT doc_id, n_words::bigint AS n_words, word_chars::bigint AS word_chars, n_s
   n_repeat_words::bigint AS n_repeat_words, bad AS base_failed, NOT bad AND NOT (rate > 0.6 AND n >= 20) AS kept, round(rate, 9) AS host_rate
 FROM e JOIN x USING (host)
 """
+
+
+def _licenses() -> str:
+    from .licenses import RIGHTS, SENTENCES, patterns
+
+    known = ", ".join(f"('{k}', '{v}')" for k, v in SENTENCES.items())
+    steps, at = [], "q0"
+    for i, (a, b, p) in enumerate(patterns(), 1):
+        steps.append(f"q{i} AS (SELECT * REPLACE (regexp_replace(rest, '{p}', '', 'g') AS rest, list_concat(found, list_transform(regexp_extract_all(rest, '{p}', 1), lambda v: '{a}' || v || '{b}')) AS found) FROM {at})")
+        at = f"q{i}"
+    return rf"""
+WITH k(n, i) AS (VALUES {known}),
+d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+s AS (SELECT r, doc_id, list_filter(string_split(regexp_replace(CASE WHEN regexp_matches(t, '{RIGHTS}') THEN t ELSE '' END, '([.!?;:])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)), lambda x: regexp_matches(x, '{RIGHTS}')) AS s FROM d),
+u AS (SELECT r, unnest(s) AS x, unnest(range(len(s))) AS o FROM s),
+m AS (SELECT u.r, u.o, '<' || k.i || '@' || regexp_extract(x, '\b([0-9]+(?:\.[0-9]+)*)', 1) || '>' AS e FROM u
+  JOIN k ON k.n = trim(regexp_replace(regexp_replace(x, '\b[0-9]+(?:\.[0-9]+)*', '#', 'g'), '[^a-z0-9#]+', ' ', 'g'))),
+g AS (SELECT r, count(*) AS n_known, string_agg(e, '' ORDER BY o) AS q FROM m GROUP BY r),
+q0 AS (SELECT s.doc_id, len(s.s) AS n_sentences, coalesce(n_known, 0) AS n_known, coalesce(q, '') AS q, coalesce(q, '') AS rest, []::varchar[] AS found FROM s LEFT JOIN g USING (r)),
+{", ".join(steps)},
+z AS (SELECT *, list_filter(found, lambda x, i: list_position(found, x) = i) AS l FROM {at})
+SELECT doc_id, n_sentences::bigint AS n_sentences, n_known::bigint AS n_known, q AS sentence_ids, array_to_string(l, ',') AS licenses,
+  (length(rest) - length(replace(rest, '>', '')))::bigint AS n_left,
+  CASE WHEN len(l) > 1 THEN 'several' WHEN len(l) = 1 THEN 'one' WHEN n_sentences > 0 THEN 'unknown' ELSE 'none' END AS verdict FROM z
+"""
+
+
+SQL["op9_licenses"] = _licenses()
