@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontaminate, html_text, licenses, line_dedup, mixing, quality_rules, simhash, token_ids
+from . import classifier, decontaminate, html_text, licenses, line_dedup, lm_scoring, mixing, quality_rules, simhash, token_ids
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.pack(table(spark, sf_dir, "documents"))
 
