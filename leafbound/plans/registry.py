@@ -1,4 +1,7 @@
 """Every query of the segmentation engine by name, with SQL that says the same."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from leafbound.operators import catalogue  # noqa: F401  (declares the operators)
+from leafbound.plans.ops import OPS, oracle, over_tables
+
+QUERIES = {n: over_tables(n) for n, o in OPS.items() if o.query}
+ORACLES = {n: oracle(n) for n in QUERIES}
