@@ -1 +1,77 @@
-"""To come."""
+"""Plugins, visual and model detectors fused into page ranges."""
+
+from leafbound.operators.segments import COLS, FIRST, WEIGHTS, ranges
+from leafbound.operators.text import CONSTRUCTION, TYPE
+from leafbound.plans.ops import op, view
+
+# Weights of signal types among plugins, and of visual signals.
+PLUGIN = {"document_header": "0.85", "email_header": "0.9", "page_number_reset": "0.7", "layout_change": "0.6", "white_space": "0.5", "document_type_change": "0.8", "llm_semantic": "0.8", "vlm_visual": "0.7", "construction_specific": "1.2"}
+VISUAL = {"layout_structure": "0.8", "font_style": "0.7", "color_scheme": "0.6", "separator_line": "0.9", "header_footer": "0.75", "logo": "0.85", "signature": "0.8", "page_orientation": "0.95", "column_layout": "0.7", "whitespace_pattern": "0.5"}
+# Visual signals in the rule detector's terms.
+STANDARD = {"layout_structure": "layout_change", "column_layout": "layout_change", "page_orientation": "layout_change", "font_style": "layout_change", "color_scheme": "layout_change", "header_footer": "layout_change", "separator_line": "visual_separator", "whitespace_pattern": "visual_separator", "logo": "document_header", "signature": "document_header"}
+_SOURCE = {"layout_structure": "w9_layout_structure", "font_style": "w10_font_change", "color_scheme": "w11_color_change", "header_footer": "w13_header_footer_change", "separator_line": "w14_visual_separator", "logo": "w15_logo", "signature": "w16_signature", "page_orientation": "w17_orientation", "column_layout": "w18_column_change", "whitespace_pattern": "w19_whitespace_pattern"}
+
+
+def _case(col: str, weights: dict[str, str], default: str) -> str:
+    return f"CASE {col} " + " ".join(f"WHEN '{k}' THEN {v}D" for k, v in weights.items()) + f" ELSE {default} END"
+
+
+_family = " ".join(f"WHEN '{t}' THEN {c}D" for t, c, _ in CONSTRUCTION)
+op("b6_plugin_group", "Candidates of all plugins by page: rules, construction patterns, a vision model's.", f"""
+SELECT file_id, page_number, 'rule' AS plugin, signal, confidence FROM {{b1_collect_signals}}
+UNION ALL SELECT file_id, page_number, 'construction' AS plugin, 'construction_specific' AS signal, CASE family {_family} END AS confidence FROM {{w3_construction_boundary}} WHERE starts
+UNION ALL SELECT file_id, page_number, 'vlm' AS plugin, 'vlm_visual' AS signal, score AS confidence FROM {{w4_visual_change}} WHERE starts""")
+op("b7_plugin_confidence", "Means by signal type, weighed by type, raised where two or three types agree.", f"""
+SELECT file_id, page_number, n_signals, n_types, bround(least(1D, v * CASE WHEN n_types >= 3 THEN 1.2D WHEN n_types = 2 THEN 1.1D ELSE 1D END), 9) AS confidence
+FROM (SELECT file_id, page_number, cast(sum(n) AS bigint) AS n_signals, count(*) AS n_types, sum(c * w) / sum(w) AS v FROM (SELECT file_id, page_number, signal, count(*) AS n, avg(confidence) AS c, {_case("signal", PLUGIN, "0.5D")} AS w FROM {{b6_plugin_group}} GROUP BY file_id, page_number, signal) GROUP BY file_id, page_number)""")
+op("b8_type_vote", "The type with most confidence behind it; page 1 also has its own type's vote.", f"""
+SELECT file_id, page_number, document_type FROM (SELECT file_id, page_number, document_type, row_number() OVER (PARTITION BY file_id, page_number ORDER BY sum(v) DESC, min(o), document_type) AS r
+FROM (SELECT r.file_id, r.page_number, r.kind AS document_type, r.confidence AS v, 1 AS o FROM {{b2_rule_confidence}} r WHERE r.n_signals > 0
+  UNION ALL SELECT file_id, page_number, 'report' AS document_type, confidence AS v, 2 AS o FROM {{b6_plugin_group}} WHERE plugin = 'construction' UNION ALL SELECT file_id, page_number, coalesce({TYPE}, 'other') AS document_type, 1D AS v, 0 AS o FROM {{pages_seeded}} WHERE page_number = 1) WHERE document_type IS NOT NULL GROUP BY file_id, page_number, document_type) WHERE r = 1""")
+op("b9_plugin_segment", "Page ranges of the plugins together.", ranges(f"{FIRST} UNION ALL SELECT c.file_id, c.page_number, c.confidence, v.document_type AS kind FROM {{b7_plugin_confidence}} c LEFT JOIN {{b8_type_vote}} v ON c.file_id = v.file_id AND c.page_number = v.page_number WHERE c.page_number > 1 AND c.confidence >= 0.6D AND c.n_signals >= 1"))
+view("visual_signals", "One row for each visual signal from page 2 on.", " UNION ALL ".join(f"SELECT file_id, page_number, '{t}' AS signal, confidence FROM {{{v}}} WHERE confidence IS NOT NULL AND page_number > 1" for t, v in _SOURCE.items()))
+op("b10_visual_confidence", "Weighted mean of the visual signals, raised if two are strong.", f"""
+SELECT file_id, page_number, n_signals, bround(CASE WHEN strong >= 2 THEN least(1D, v * 1.15D) ELSE v END, 9) AS confidence
+FROM (SELECT file_id, page_number, count(*) AS n_signals, count_if(confidence >= 0.7D) AS strong, sum(confidence * w) / sum(w) AS v FROM (SELECT file_id, page_number, confidence, {_case("signal", VISUAL, "0.5D")} AS w FROM {{visual_signals}}) GROUP BY file_id, page_number)""")
+op("b12_page_type", "What a page looks like.", """
+SELECT file_id, page_number, CASE WHEN num_tables > 2 THEN 'form' WHEN orientation = 'landscape' AND num_images > 1 THEN 'presentation' WHEN has_logo AND has_signature THEN 'letter' WHEN num_columns > 1 THEN 'report' ELSE 'other' END AS document_type FROM {visual}""")
+view("text_candidates", "The rule detector's boundaries with page 1.", "SELECT file_id, start_page AS page_number, confidence, document_type FROM {b4_segment_pages}")
+view("fused", "Text and visual candidates by page, one side or both.", """
+SELECT coalesce(t.file_id, v.file_id) AS file_id, coalesce(t.page_number, v.page_number) AS page_number, CASE WHEN t.page_number IS NULL THEN 'visual' WHEN v.page_number IS NULL THEN 'text' ELSE 'both' END AS method,
+  CASE WHEN t.page_number IS NULL THEN CASE WHEN v.confidence > 0.7D THEN v.confidence * 0.8D END WHEN v.page_number IS NULL THEN t.confidence ELSE least(1D, (0.6D * t.confidence + 0.4D * v.confidence) * 1.1D) END AS confidence, t.document_type AS kind
+FROM {text_candidates} t FULL OUTER JOIN (SELECT file_id, page_number, confidence FROM {b10_visual_confidence} WHERE confidence >= 0.5D AND n_signals >= 1) v ON t.file_id = v.file_id AND t.page_number = v.page_number""")
+op("b11_hybrid_fuse", "Page ranges of text and vision together.", ranges("SELECT f.file_id, f.page_number, f.confidence, CASE WHEN f.method = 'visual' THEN p.document_type ELSE f.kind END AS kind FROM {fused} f JOIN {b12_page_type} p ON f.file_id = p.file_id AND f.page_number = p.page_number WHERE f.confidence >= 0.6D"))
+op("b13_range_type", "What a range of pages looks like.", """
+SELECT b.file_id, b.start_page, CASE WHEN bool_or(v.has_logo) AND avg(v.num_tables) > 0.5D THEN 'invoice' WHEN bool_or(v.has_signature) AND count(*) <= 3 THEN 'letter' WHEN avg(v.num_tables) > 1 THEN 'report' WHEN bool_or(v.num_columns > 1) AND count(*) > 5 THEN 'report' WHEN bool_or(v.has_logo) AND count(*) = 1 THEN 'form' ELSE 'other' END AS document_type
+FROM {b11_hybrid_fuse} b JOIN {visual} v ON v.file_id = b.file_id AND v.page_number BETWEEN b.start_page AND b.end_page GROUP BY b.file_id, b.start_page""")
+op("b14_visual_to_standard", "Visual signals in the rule detector's terms.", f"SELECT file_id, page_number, CASE signal {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in STANDARD.items())} END AS signal, concat('[Visual] ', signal) AS description, confidence FROM {{visual_signals}}")
+_others = [c for t, c in COLS.items() if t != "white_space"]
+_n = " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END" for c in _others)
+_num, _den = " + ".join(f"coalesce({COLS[t]} * {w}D, 0D)" for t, w in WEIGHTS.items() if t != "white_space"), " + ".join(f"CASE WHEN {COLS[t]} IS NULL THEN 0D ELSE {w}D END" for t, w in WEIGHTS.items() if t != "white_space")
+op("b15_ambiguous_cases", "Pages the rules can't settle: middling confidence, or one weak signal.", f"""
+SELECT a.file_id, a.page_number, a.confidence FROM (SELECT file_id, page_number, n, num / den AS confidence FROM (SELECT file_id, page_number, {_n} AS n, {_num} AS num, {_den} AS den FROM {{rule_signals}}) WHERE n > 0) a
+WHERE (a.confidence BETWEEN 0.4D AND 0.75D OR a.n = 1 AND a.confidence < 0.6D) AND NOT EXISTS (SELECT 1 FROM {{b4_segment_pages}} b WHERE b.file_id = a.file_id AND b.start_page = a.page_number AND b.confidence >= 0.75D)""")
+view("llm_verdicts", "A stand-in for a model's verdicts on the ambiguous pages, by arithmetic.", "SELECT file_id, page_number, (page_number % 3 <> 0) AS yes, 0.5D + page_number % 5 / 10D AS confidence, CASE page_number % 4 WHEN 0 THEN 'invoice' WHEN 1 THEN 'report' ELSE 'letter' END AS document_type FROM {b15_ambiguous_cases}")
+op("b16_llm_merge", "Rule boundaries with the model's verdicts: raised, added or dropped.", ranges("""
+SELECT coalesce(b.file_id, l.file_id) AS file_id, coalesce(b.page_number, l.page_number) AS page_number, CASE WHEN l.yes AND l.confidence >= 0.6D THEN greatest(coalesce(b.confidence, 0D), l.confidence) ELSE b.confidence END AS confidence, CASE WHEN l.yes AND l.confidence >= 0.6D THEN l.document_type ELSE b.document_type END AS kind
+FROM {text_candidates} b FULL OUTER JOIN {llm_verdicts} l ON b.file_id = l.file_id AND b.page_number = l.page_number
+WHERE (b.page_number IS NOT NULL AND NOT (coalesce(NOT l.yes, false) AND b.confidence < 0.7D)) OR (b.page_number IS NULL AND l.yes AND l.confidence >= 0.6D)"""))
+op("b17_method_merge", "Two methods' ranges by start page; the model's win.", """
+SELECT coalesce(l.file_id, r.file_id) AS file_id, coalesce(l.start_page, r.start_page) AS start_page, CASE WHEN l.start_page IS NOT NULL THEN l.end_page ELSE r.end_page END AS end_page, CASE WHEN l.start_page IS NOT NULL THEN l.confidence ELSE r.confidence END AS confidence, CASE WHEN l.start_page IS NOT NULL THEN 'llm' ELSE 'rule' END AS method
+FROM {b16_llm_merge} l FULL OUTER JOIN {b9_plugin_segment} r ON l.file_id = r.file_id AND l.start_page = r.start_page""")
+op("b18_merge_close", "Ranges that start within two pages of the last one's end become one.", """
+SELECT file_id, min(start_page) AS start_page, max(end_page) AS end_page, max(confidence) AS confidence, count(*) AS n_merged
+FROM (SELECT file_id, start_page, end_page, confidence, sum(starts) OVER (PARTITION BY file_id ORDER BY start_page ROWS UNBOUNDED PRECEDING) AS island
+  FROM (SELECT file_id, start_page, end_page, confidence, CASE WHEN coalesce(start_page - max(end_page) OVER (PARTITION BY file_id ORDER BY start_page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 2, false) THEN 0 ELSE 1 END AS starts FROM {b4_segment_pages} WHERE start_page % 4 <> 1)) GROUP BY file_id, island""")
+op("b19_enhanced_post", "Close ranges merged where the file holds construction papers, else left.", """
+SELECT m.file_id, m.start_page, m.end_page, m.confidence FROM {b18_merge_close} m JOIN {t10_type_hints} h ON m.file_id = h.file_id WHERE h.construction
+UNION ALL SELECT b.file_id, b.start_page, b.end_page, b.confidence FROM {b4_segment_pages} b JOIN {t10_type_hints} h ON b.file_id = h.file_id WHERE NOT h.construction""")
+op("b20_split_naming", "Names and page counts of the parts a file is split into.", """
+SELECT file_id, start_page, format_string('%s_part_%03d', file_id, cast(row_number() OVER (PARTITION BY file_id ORDER BY start_page) AS int)) AS name, end_page - start_page + 1 AS page_count, CASE WHEN start_page = end_page THEN cast(start_page AS string) ELSE concat(cast(start_page AS string), '-', cast(end_page AS string)) END AS page_range FROM {b4_segment_pages}""")
+op("b21_validate_update", "Ranges given by hand, with what is wrong with them.", """
+SELECT u.file_id, u.start_page, u.end_page, CASE WHEN u.start_page < 1 THEN 'start below 1' WHEN u.end_page < u.start_page THEN 'end before start' WHEN u.end_page > l.last_page THEN 'end beyond file' ELSE 'ok' END AS verdict
+FROM (SELECT file_id, start_page - 1 + start_page % 2 AS start_page, end_page + CASE WHEN start_page % 5 = 0 THEN 9 ELSE 0 END AS end_page FROM {truth}) u JOIN (SELECT file_id, max(page_number) AS last_page FROM {pages_doc} GROUP BY file_id) l ON u.file_id = l.file_id""")
+op("b22_early_optimize", "Whether a file's first third settles enough to process the rest fast.", """
+SELECT file_id, avg_confidence, n_found, (avg_confidence >= 0.75D AND expected BETWEEN 2 AND 20) AS downgrade FROM (SELECT b.file_id, bround(avg(b.confidence), 9) AS avg_confidence, count(*) AS n_found, count(*) * 10 / 3D AS expected
+FROM {b4_segment_pages} b JOIN (SELECT file_id, max(page_number) AS last_page FROM {pages_doc} GROUP BY file_id) l ON b.file_id = l.file_id AND b.start_page <= 0.3D * l.last_page GROUP BY b.file_id)""")
+op("b23_low_confidence", "Boundaries a model should look at again.", "SELECT file_id, start_page, confidence FROM {b4_segment_pages} WHERE confidence < 0.7D")
