@@ -34,7 +34,8 @@ op("b10_visual_confidence", "Weighted mean of the visual signals, raised if two
 SELECT file_id, page_number, n_signals, bround(CASE WHEN strong >= 2 THEN least(1D, v * 1.15D) ELSE v END, 9) AS confidence
 FROM (SELECT file_id, page_number, count(*) AS n_signals, count_if(confidence >= 0.7D) AS strong, sum(confidence * w) / sum(w) AS v FROM (SELECT file_id, page_number, confidence, {_case("signal", VISUAL, "0.5D")} AS w FROM {{visual_signals}}) GROUP BY file_id, page_number)""")
 op("b12_page_type", "What a page looks like.", """
-SELECT file_id, page_number, CASE WHEN num_tables > 2 THEN 'form' WHEN orientation = 'landscape' AND num_images > 1 THEN 'presentation' WHEN has_logo AND has_signature THEN 'letter' WHEN num_columns > 1 THEN 'report' ELSE 'other' END AS document_type FROM {visual}""")
+SELECT file_id, page_number, CASE WHEN num_tables > 2 OR has_signature AND num_tables > 0 THEN 'form' WHEN num_charts > 0 AND num_images > 2 THEN 'presentation' WHEN num_tables > 3 AND num_images = 0 THEN 'spreadsheet'
+  WHEN has_signature AND num_columns = 1 THEN 'letter' WHEN num_columns > 1 OR has_header AND has_footer THEN 'report' ELSE 'other' END AS document_type FROM {visual}""")
 view("text_candidates", "The rule detector's boundaries with page 1.", "SELECT file_id, start_page AS page_number, confidence, document_type FROM {b4_segment_pages}")
 view("fused", "Text and visual candidates by page, one side or both.", """
 SELECT coalesce(t.file_id, v.file_id) AS file_id, coalesce(t.page_number, v.page_number) AS page_number, CASE WHEN t.page_number IS NULL THEN 'visual' WHEN v.page_number IS NULL THEN 'text' ELSE 'both' END AS method,

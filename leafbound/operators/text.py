@@ -68,15 +68,20 @@ op("t4_white_space", "Pages of few words.", "SELECT file_id, page_number, word_c
 op("t5_document_type", "The page's type by ordered rules.", f"SELECT file_id, page_number, {TYPE} AS document_type FROM {{pages_seeded}}")
 op("t6_construction_pattern", "The first family of construction papers with two of its patterns.", f"SELECT file_id, page_number, family, {FAMILY_CONFIDENCE} AS confidence FROM (SELECT file_id, page_number, {FAMILY} AS family FROM {{pages_seeded}})")
 
-_QUICK = {  # family: (boost, keywords, headers)
-    "email": ("0.1", ["from:", "to:", "subject:", "sent:"], ["from:"]), "invoice": ("0.05", ["invoice", "bill to", "amount due", "total"], ["invoice #"]),
-    "rfi": ("0.15", ["rfi", "request for information", "response required"], ["request for information"]), "submittal": ("0.15", ["submittal", "shop drawing", "product data"], ["submittal #"]),
-    "change_order": ("0.15", ["change order", "cost impact", "schedule impact"], ["change order #"]), "contract": ("0.0", ["contract", "agreement", "parties"], ["contract #"]),
-    "letter": ("0.0", ["dear", "sincerely", "regards"], ["dear "]), "report": ("0.0", ["report", "summary", "conclusion"], ["executive summary"]),
-}
+#: Families of the cheap test: boost, keywords in lower case, heading patterns.
+_QUICK = {
+    "email": ("0.1", ["from:", "to:", "subject:", "date:", "sent:"], [r"^From:\s*", r"^To:\s*", r"^Subject:\s*"]),
+    "invoice": ("0.05", ["invoice", "bill to", "ship to", "total", "amount due"], [r"Invoice\s*#", r"Invoice\s+Number"]),
+    "rfi": ("0.15", ["rfi", "request for information", "response required", "clarification"], [r"RFI\s*#?\s*\d+", r"REQUEST\s+FOR\s+INFORMATION"]),
+    "submittal": ("0.15", ["submittal", "shop drawing", "product data", "material sample"], [r"SUBMITTAL\s*#?\s*\d+", r"SUBMITTAL\s+TRANSMITTAL"]),
+    "change_order": ("0.15", ["change order", "contract modification", "cost impact", "pco"], [r"CHANGE\s+ORDER\s*#?\s*\d+", r"PCO\s*#?\s*\d+"]),
+    "contract": ("0.0", ["agreement", "terms and conditions", "whereas", "party", "obligations"], ["CONTRACT", "AGREEMENT"]),
+    "letter": ("0.0", ["dear", "sincerely", "regards", "attention"], [r"^Dear\s+", r"RE:\s*", r"ATTENTION:\s*"]),
+    "report": ("0.0", ["executive summary", "table of contents", "findings", "recommendations"], [r"TABLE\s+OF\s+CONTENTS", r"EXECUTIVE\s+SUMMARY"]),
+}
 _count = lambda ws: "(" + " + ".join(f"cast(contains(t, '{w}') AS int)" for w in ws) + ")"
-_fits = {f: f"({_count(k)} >= 2 OR {_count(h)} >= 1)" for f, (_, k, h) in _QUICK.items()}
-op("t7_quick_check", "Cheap test whether a model need look at a page: family words, or a length unlike the page before.", f"""
+_fits = {f: f"({_count(k)} >= 2 OR {hits('t', h)} >= 1)" for f, (_, k, h) in _QUICK.items()}
+op("t7_quick_check", "Cheap test whether a model need look at a page: family words, headings, or a length unlike the page before.", f"""
 SELECT file_id, page_number, ({" OR ".join(_fits.values())} OR coalesce(abs(n - prev) / greatest(n, prev, 1D) > 0.7D, false)) AS potential,
   greatest({", ".join(f"CASE WHEN {c} THEN {_QUICK[f][0]}D ELSE 0D END" for f, c in _fits.items())}) AS boost
 FROM (SELECT file_id, page_number, lower(text) AS t, cast(length(text) AS double) AS n, cast(lag(length(text)) OVER (PARTITION BY file_id ORDER BY page_number) AS double) AS prev FROM {{pages_seeded}})
@@ -85,7 +90,7 @@ _edge = "page_number = min(page_number) OVER (PARTITION BY file_id) OR page_numb
 op("t8_potential_boundary", "First and last pages, and those with a word of the OCR plan's list.", f"SELECT file_id, page_number, ({_edge} OR {any_of('lower(text)', POTENTIAL)}) AS potential FROM {{pages_seeded}}")
 op("t9_boundary_indicators", "First and last pages, and those with a word of the LLM plan's list.", f"SELECT file_id, page_number, ({_edge} OR {any_of('lower(text)', INDICATORS)}) AS potential FROM {{pages_seeded}}")
 op("t10_type_hints", "What a file's first three pages hint at.", """
-SELECT file_id, bool_or(contains(t, 'rfi') OR contains(t, 'submittal') OR contains(t, 'change order')) AS construction, bool_or(contains(t, 'from:') AND contains(t, 'to:')) AS email, bool_or(contains(t, 'invoice') OR contains(t, 'contract')) AS business
+SELECT file_id, bool_or(contains(t, 'rfi') OR contains(t, 'submittal')) AS construction, bool_or(contains(t, 'from:') AND contains(t, 'to:')) AS email, bool_or(contains(t, 'invoice') OR contains(t, 'purchase order')) AS business
 FROM (SELECT file_id, lower(left(text, 500)) AS t FROM {pages_seeded} WHERE page_number <= 3) GROUP BY file_id
 """)
 op("t11_truncate_words", "Text cut to 300 characters at a word, if one ends in the last fifth.", """

@@ -24,8 +24,8 @@ op("w13_header_footer_change", "Headers and footers come, go or read differently
 SELECT file_id, page_number, CASE WHEN n > 0 THEN least(0.75D, 0.25D * n) END AS confidence FROM (SELECT file_id, page_number, {_int("c_has_header <> p_has_header")} + {_int("c_has_footer <> p_has_footer")}
   + {_int("c_has_header AND p_has_header AND c_header_text <> p_header_text")} + {_int("c_has_footer AND p_has_footer AND c_footer_text <> p_footer_text")} AS n {_PAIR})""")
 op("w14_visual_separator", "Rules across the page: wide flat boxes, or lines of dashes.", """
-SELECT file_id, page_number, cast(sum(CASE WHEN w / greatest(h, 1D) > 2 AND h < 20 OR block_text IN ('---', '___', '***', '• • •', '···') THEN 1 ELSE 0 END) AS bigint) AS n,
-  CASE WHEN sum(CASE WHEN w / greatest(h, 1D) > 2 AND h < 20 OR block_text IN ('---', '___', '***', '• • •', '···') THEN 1 ELSE 0 END) > 0 THEN 0.9D END AS confidence FROM {blocks} GROUP BY file_id, page_number""")
+SELECT file_id, page_number, cast(sum(CASE WHEN w / greatest(h, 1D) > 50 AND h < 5 OR block_text IN ('---', '___', '***', '• • •', '···') THEN 1 ELSE 0 END) AS bigint) AS n,
+  CASE WHEN sum(CASE WHEN w / greatest(h, 1D) > 50 AND h < 5 OR block_text IN ('---', '___', '***', '• • •', '···') THEN 1 ELSE 0 END) > 0 THEN 0.9D END AS confidence FROM {blocks} GROUP BY file_id, page_number""")
 op("w15_logo", "A logo opens a document.", "SELECT file_id, page_number, CASE WHEN has_logo THEN 0.85D END AS confidence FROM {visual}")
 op("w16_signature", "A signature closes one; the signal stands on the page that has it.", f"SELECT file_id, p_page AS signal_page, page_number, CASE WHEN p_has_signature THEN 0.8D END AS confidence {_PAIR}")
 op("w17_orientation", "The page is turned.", f"SELECT file_id, page_number, CASE WHEN c_orientation <> p_orientation THEN 0.95D END AS confidence {_PAIR}")

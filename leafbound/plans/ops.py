@@ -24,6 +24,7 @@ class Op:
     sql: str
     about: str
     query: bool  # whether it is offered as a query, not only as an input
+    checked: bool = True  # whether the other dialect can say the same
 
     @property
     def inputs(self) -> list[str]:
@@ -33,10 +34,10 @@ class Op:
 OPS: dict[str, Op] = {}
 
 
-def op(name: str, about: str, sql: str, query: bool = True) -> None:
+def op(name: str, about: str, sql: str, query: bool = True, checked: bool = True) -> None:
     if name in OPS or name in TABLES:
         raise ValueError(f"{name} is taken")
-    OPS[name] = Op(name, sql.strip(), about, query)
+    OPS[name] = Op(name, sql.strip(), about, query, checked)
 
 
 def view(name: str, about: str, sql: str) -> None:
@@ -62,9 +63,19 @@ def _macros(sql: str, spark: bool) -> str:
         "sum": (r"aggregate({0}, 0D, (a, v) -> a + v)", r"coalesce(list_sum({0}), 0)"),
         "zip": (r"zip_with({0}, {1}, (a, b) -> {2})", r"list_transform(list_zip({0}, {1}), lambda p: {3})"),
     }
-    while m := re.search(r"@(\w+)\(((?:[^@()]|\((?:[^@()]|\((?:[^@()]|\((?:[^@()]|\([^@()]*\))*\))*\))*\))*)\)", sql):
-        args = [a.strip() for a in m[2].split(";")]
-        sql = sql[: m.start()] + forms[m[1]][0 if spark else 1].format(*args) + sql[m.end() :]
+    while found := list(re.finditer(rf"@({'|'.join(forms)})\(", sql)):
+        m = found[-1]  # nothing stands inside the last one
+        args, depth, quoted, at, start = [], 1, False, m.end(), m.end()
+        while depth:
+            c = sql[at]
+            quoted ^= c == "'"
+            if not quoted:
+                depth += (c == "(") - (c == ")")
+                if depth == 1 and c in ";¦" or not depth:
+                    args.append(sql[start:at].strip())
+                    start = at + 1
+            at += 1
+        sql = sql[: m.start()] + forms[m[1]][0 if spark else 1].format(*args) + sql[at:]
     return sql
 
 

@@ -1,7 +1,17 @@
-"""Every query of the segmentation engine by name, with SQL that says the same."""
+"""Every query of the segmentation engine by name, with SQL that says the same where SQL can."""
 
 from leafbound.operators import catalogue  # noqa: F401  (declares the operators)
-from leafbound.plans.ops import OPS, oracle, over_tables
+from leafbound.operators.repair import correction_suggestions, similarity
+from leafbound.plans.ops import OPS, apply, oracle, over_tables
 
-QUERIES = {n: over_tables(n) for n, o in OPS.items() if o.query}
-ORACLES = {n: oracle(n) for n in QUERIES}
+
+def _p9(spark, sf_dir):
+    return similarity(apply("p8_process_text", documents=spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def _p10(spark, sf_dir):
+    return correction_suggestions(apply("ocr_pages", documents=spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+QUERIES = {n: over_tables(n) for n, o in OPS.items() if o.query} | {"p9_similarity_ratio": _p9, "p10_correction_suggestions": _p10}
+ORACLES = {n: oracle(n) for n in QUERIES if n in OPS and OPS[n].checked}

@@ -44,7 +44,7 @@ FROM {pages_doc}
 
 view("blocks", "Layout blocks of each page: four to six boxes by arithmetic on its document's id.", r"""
 SELECT file_id, page_number, b, CASE (doc_id + b) % 7 WHEN 0 THEN 'figure' WHEN 1 THEN 'table' WHEN 2 THEN 'picture' WHEN 3 THEN 'chart_classification' ELSE 'text' END AS kind,
-  cast((doc_id * 31 + b * 173) % 480 AS double) AS x, cast((doc_id * 17 + b * 139) % 700 AS double) AS y, cast(40 + (doc_id + b * 37) % 90 AS double) AS w, cast(10 + (doc_id * 3 + b * 29) % 60 AS double) AS h,
+  cast((doc_id * 31 + b * 173) % 480 AS double) AS x, cast((doc_id * 17 + b * 139) % 700 AS double) AS y, CASE WHEN (doc_id + b) % 9 = 0 THEN 560D ELSE cast(40 + (doc_id + b * 37) % 90 AS double) END AS w, CASE WHEN (doc_id + b) % 9 = 0 THEN 2D ELSE cast(10 + (doc_id * 3 + b * 29) % 60 AS double) END AS h,
   concat('block ', cast(b AS string)) AS block_text, 8 + (doc_id + b) % 4 * 2D AS font_size, concat('f', cast((doc_id + b) % 3 AS string)) AS font_family
 FROM (SELECT file_id, page_number, doc_id, explode(sequence(1, 4 + doc_id % 3)) AS b FROM {pages_doc})
 """)
