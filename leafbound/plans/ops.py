@@ -104,7 +104,7 @@ def oracle(name: str) -> str:
 
 def apply(name: str, **frames: DataFrame) -> DataFrame:
     """The operator over given DataFrames; inputs that aren't given are derived from others that are."""
-    spark = next(iter(frames.values())).sparkSession
+    spark = next(iter(frames.values())).sparkSession if frames else SparkSession.active()
     names: dict[str, str] = {}
 
     def known(i: str) -> str:
