@@ -50,3 +50,39 @@ SELECT doc_id, n_sentences::bigint AS n_sentences, n_known::bigint AS n_known, q
 
 
 SQL["op9_licenses"] = _licenses()
+
+SQL["op3_decontamination"] = r"""
+WITH s(c) AS (VALUES ('[\x00-\x2F\x3A-\x60\x7B-\x7F]+')),
+d AS (SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), (SELECT c FROM s)), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT item_id::varchar AS item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), (SELECT c FROM s)), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
+j AS (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS p FROM i WHERE len(w) > 0),
+v AS (SELECT DISTINCT item, n, array_to_string(w[p:p + n - 1], ' ') AS gram FROM j),
+g AS (SELECT k, n, p, array_to_string(w[p:p + n - 1], ' ') AS gram FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM v))),
+h AS (SELECT DISTINCT k, p, n, item FROM g JOIN v USING (n, gram)),
+c AS (SELECT k, count(DISTINCT q) AS n_hit FROM (SELECT k, unnest(range(p, p + n)) AS q FROM h) GROUP BY k),
+t AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT k, item FROM h) GROUP BY k)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (k) LEFT JOIN t USING (k)
+"""
+
+
+def _fill(parent: str, name: str, nodes: str) -> str:
+    """Water-filling of a parent's budget b among its children (cap), all of weight one."""
+    by = f"PARTITION BY {parent} ORDER BY cap, {name}" if parent else f"ORDER BY cap, {name}"
+    over = f"(PARTITION BY {parent})" if parent else "()"
+    return f"""SELECT * REPLACE (least(cap::double, 1.0 * top) AS b) FROM (SELECT *, max(level) OVER {over} AS top FROM (SELECT *, (b - coalesce(sum(cap) OVER ({by} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::double)
+  / sum(1.0::double) OVER ({by} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM ({nodes})))"""
+
+
+SQL["op2_mixing"] = rf"""
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, 'domain' || (instr('0123456789abcdef', left(md5(coalesce(source, '')), 1)) - 1) // 4 AS domain, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint AS n FROM documents),
+leaf AS (SELECT domain, lang, source, sum(n)::bigint AS tokens, (2 * sum(n))::bigint AS cap FROM t GROUP BY ALL HAVING sum(n) > 0),
+a AS ({_fill("", "domain", "SELECT domain, sum(cap)::bigint AS cap, (SELECT sum(tokens)::double FROM leaf) AS b FROM leaf GROUP BY domain")}),
+l AS ({_fill("domain", "lang", "SELECT leaf.domain, leaf.lang, sum(leaf.cap)::bigint AS cap, any_value(a.b) AS b FROM leaf JOIN a ON leaf.domain = a.domain GROUP BY leaf.domain, leaf.lang")}),
+s AS ({_fill("domain, lang", "source", "SELECT leaf.domain, leaf.lang, leaf.source, leaf.tokens, leaf.cap, l.b FROM leaf JOIN l ON leaf.domain = l.domain AND leaf.lang = l.lang")}),
+q AS (SELECT domain, lang, source, floor(b)::bigint // tokens AS whole, floor(b)::bigint % tokens AS rest FROM s),
+o AS (SELECT t.*, whole, rest, md5('17|' || whole || '|' || coalesce(doc_id::varchar, '')) AS h FROM t JOIN q USING (domain, lang, source)),
+e AS (SELECT *, whole + (rest > 0 AND sum(n) OVER (PARTITION BY domain, lang, source ORDER BY h) <= rest)::int AS times FROM o)
+SELECT doc_id, domain, lang, source, n AS n_tokens, unnest(range(times))::bigint AS epoch FROM e
+"""
