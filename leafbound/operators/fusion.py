@@ -27,7 +27,7 @@ FROM (SELECT file_id, page_number, cast(sum(n) AS bigint) AS n_signals, count(*)
 op("b8_type_vote", "The type with most confidence behind it; page 1 also has its own type's vote.", f"""
 SELECT file_id, page_number, document_type FROM (SELECT file_id, page_number, document_type, row_number() OVER (PARTITION BY file_id, page_number ORDER BY sum(v) DESC, min(o), document_type) AS r
 FROM (SELECT r.file_id, r.page_number, r.kind AS document_type, r.confidence AS v, 1 AS o FROM {{b2_rule_confidence}} r WHERE r.n_signals > 0
-  UNION ALL SELECT file_id, page_number, 'report' AS document_type, confidence AS v, 2 AS o FROM {{b6_plugin_group}} WHERE plugin = 'construction' UNION ALL SELECT file_id, page_number, coalesce({TYPE}, 'other') AS document_type, 1D AS v, 0 AS o FROM {{pages_seeded}} WHERE page_number = 1) WHERE document_type IS NOT NULL GROUP BY file_id, page_number, document_type) WHERE r = 1""")
+  UNION ALL SELECT file_id, page_number, 'report' AS document_type, confidence AS v, 2 AS o FROM {{b6_plugin_group}} WHERE plugin = 'construction' UNION ALL SELECT file_id, page_number, coalesce({TYPE}, 'other') AS document_type, 1D AS v, 0 AS o FROM {{page_heads}} WHERE page_number = 1) WHERE document_type IS NOT NULL GROUP BY file_id, page_number, document_type) WHERE r = 1""")
 op("b9_plugin_segment", "Page ranges of the plugins together.", ranges(f"{FIRST} UNION ALL SELECT c.file_id, c.page_number, c.confidence, v.document_type AS kind FROM {{b7_plugin_confidence}} c LEFT JOIN {{b8_type_vote}} v ON c.file_id = v.file_id AND c.page_number = v.page_number WHERE c.page_number > 1 AND c.confidence >= 0.6D AND c.n_signals >= 1"))
 view("visual_signals", "One row for each visual signal from page 2 on.", " UNION ALL ".join(f"SELECT file_id, page_number, '{t}' AS signal, confidence FROM {{{v}}} WHERE confidence IS NOT NULL AND page_number > 1" for t, v in _SOURCE.items()))
 op("b10_visual_confidence", "Weighted mean of the visual signals, raised if two are strong.", f"""

@@ -8,8 +8,8 @@ op("w1_layout_change", "Word density unlike the page before.", f"""
 SELECT file_id, page_number, CASE WHEN prev IS NOT NULL AND abs(d - prev) / greatest(prev, d, 0.001D) > 0.5D THEN 0.6D END AS confidence
 FROM (SELECT file_id, page_number, d, lag(d) OVER w AS prev FROM (SELECT file_id, page_number, CASE WHEN width <= 0 OR height <= 0 THEN 0D ELSE word_count / (width * height) END AS d FROM {{pages_seeded}}) {W})
 """)
-op("w2_type_change", "A type unlike the page before's.", f"SELECT file_id, page_number, CASE WHEN kind <> prev THEN 0.8D END AS confidence FROM (SELECT file_id, page_number, kind, lag(kind) OVER w AS prev FROM (SELECT file_id, page_number, {TYPE} AS kind FROM {{pages_seeded}}) {W})")
-op("w3_construction_boundary", "A family of construction papers begins.", f"SELECT file_id, page_number, family, (family IS NOT NULL AND (prev IS NULL OR prev <> family)) AS starts FROM (SELECT file_id, page_number, family, lag(family) OVER w AS prev FROM (SELECT file_id, page_number, {FAMILY} AS family FROM {{pages_seeded}}) {W})")
+op("w2_type_change", "A type unlike the page before's.", f"SELECT file_id, page_number, CASE WHEN kind <> prev THEN 0.8D END AS confidence FROM (SELECT file_id, page_number, kind, lag(kind) OVER w AS prev FROM (SELECT file_id, page_number, {TYPE} AS kind FROM {{page_heads}}) {W})")
+op("w3_construction_boundary", "A family of construction papers begins.", f"SELECT file_id, page_number, family, (family IS NOT NULL AND (prev IS NULL OR prev <> family)) AS starts FROM (SELECT file_id, page_number, family, lag(family) OVER w AS prev FROM (SELECT file_id, page_number, {FAMILY} AS family FROM {{page_heads}}) {W})")
 op("w4_visual_change", "How far layout, words, tables, images and aspect are from the page before's.", f"""
 SELECT file_id, page_number, score, (score > 0.6D) AS starts FROM (SELECT file_id, page_number, least(1D,
     CASE WHEN size(filter(l, x -> NOT array_contains(pl, x))) + size(filter(pl, x -> NOT array_contains(l, x))) > 2 THEN 0.3D ELSE 0D END + CASE WHEN pw > 0 AND abs(word_count - pw) / cast(pw AS double) > 0.5D THEN 0.2D ELSE 0D END

@@ -1,6 +1,6 @@
 """From signals to page ranges: the rule detector."""
 
-from leafbound.operators.text import EMAIL_HITS, HEADING, RESETS, TYPE
+from leafbound.operators.text import EMAIL_HITS, HEADING, RESET, TYPE
 from leafbound.plans.ops import op, view
 
 # Confidence weights of the rule signals, in the order in which they are collected.
@@ -8,22 +8,23 @@ WEIGHTS = {"email_header": "0.9", "document_header": "0.85", "page_number_reset"
 COLS = {"email_header": "c1", "document_header": "c2", "page_number_reset": "c3", "layout_change": "c4", "white_space": "c5", "document_type_change": "c6"}
 W = "WINDOW w AS (PARTITION BY file_id ORDER BY page_number)"
 
-view("rule_features", "What the rule signals of a page are made of; one window, one sort.", rf"""
-SELECT file_id, page_number, doc_id, word_count, kind, density, lag(kind) OVER w AS prev_kind, lag(density) OVER w AS prev_density, email, heading, resets
-FROM (SELECT file_id, page_number, doc_id, word_count, {TYPE} AS kind, CASE WHEN width <= 0 OR height <= 0 THEN 0D ELSE word_count / (width * height) END AS density, {EMAIL_HITS.replace("{n}", "1000")} AS email, {HEADING} AS heading,
-    size(filter(transform(split(text, r'\n'), s -> @rall(s;r'^\s+|\s+$';'')), (s, i) -> ({" OR ".join(f"regexp_like(s, r'{p}')" for p in RESETS)}))) AS resets
-  FROM {{pages_seeded}}) {W}
-""".replace("{{", "{").replace("}}", "}").replace("(s, i) -> ", "s -> "))
+view("rule_features", "What the rule signals of a page are made of; one window, one sort.", f"""
+SELECT file_id, page_number, doc_id, word_count, kind, density, lag(kind) OVER w AS prev_kind, lag(density) OVER w AS prev_density, email, heading, reset
+FROM (SELECT file_id, page_number, doc_id, word_count, {TYPE} AS kind, CASE WHEN width <= 0 OR height <= 0 THEN 0D ELSE word_count / (width * height) END AS density, {EMAIL_HITS.replace("{n}", "1000")} AS email, {HEADING} AS heading, {RESET} AS reset
+  FROM {{page_edges}}) {W}
+""")
 view("rule_signals", "Confidences of the six rule signals from page 2 on, null where a signal is silent.", """
-SELECT f.file_id, f.page_number, f.kind, CASE WHEN email >= 2 THEN least(0.9D, 0.3D * email) END AS c1, CASE WHEN heading IS NOT NULL THEN 0.85D END AS c2, r.confidence AS c3,
+SELECT file_id, page_number, kind, CASE WHEN email >= 2 THEN least(0.9D, 0.3D * email) END AS c1, CASE WHEN heading IS NOT NULL THEN 0.85D END AS c2, reset AS c3,
   CASE WHEN abs(density - prev_density) / greatest(prev_density, density, 0.001D) > 0.5D THEN 0.6D END AS c4, CASE WHEN word_count < 50 THEN least(0.8D, 0.5D + 0.3D * (1 - word_count / 50D)) END AS c5, CASE WHEN kind <> prev_kind THEN 0.8D END AS c6
-FROM {rule_features} f JOIN {t3_page_number_reset} r ON f.file_id = r.file_id AND f.page_number = r.page_number WHERE f.page_number > 1
+FROM {rule_features} WHERE page_number > 1
 """)
 _n = " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END" for c in COLS.values())
 _num = " + ".join(f"coalesce({COLS[t]} * {w}D, 0D)" for t, w in WEIGHTS.items())
 _den = " + ".join(f"CASE WHEN {COLS[t]} IS NULL THEN 0D ELSE {w}D END" for t, w in WEIGHTS.items())
 _strong = " + ".join(f"CASE WHEN {c} >= 0.7D THEN 1 ELSE 0 END" for c in COLS.values())
-op("b1_collect_signals", "One row for each signal, in the detector's order.", "SELECT file_id, page_number, signal, confidence FROM (" + " UNION ALL ".join(f"SELECT file_id, page_number, '{t}' AS signal, {c} AS confidence FROM {{rule_signals}}" for t, c in COLS.items()) + ") WHERE confidence IS NOT NULL")
+_which = "CASE signal " + " ".join(f"WHEN '{t}' THEN {c}" for t, c in COLS.items()) + " END"
+op("b1_collect_signals", "One row for each signal, in the detector's order.", f"""
+SELECT file_id, page_number, signal, confidence FROM (SELECT file_id, page_number, signal, {_which} AS confidence FROM (SELECT s.*, explode(array({", ".join(f"'{t}'" for t in COLS)})) AS signal FROM {{rule_signals}} s)) WHERE confidence IS NOT NULL""")
 op("b2_rule_confidence", "Weighted mean of a page's signals, raised if two are strong.", f"""
 SELECT file_id, page_number, kind, n_signals, CASE WHEN n_signals = 0 THEN 0D WHEN strong >= 2 THEN least(1D, num / den * 1.2D) ELSE num / den END AS confidence
 FROM (SELECT file_id, page_number, kind, {_n} AS n_signals, {_num} AS num, {_den} AS den, {_strong} AS strong FROM {{rule_signals}})

@@ -46,27 +46,24 @@ def any_of(col: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")"
 
 
-EMAIL_HITS = hits("left(text, {n})", [rf"^{f}:\s*(.+)$" for f in EMAIL])
-HEADING = "CASE " + " ".join(f"WHEN regexp_like(lower(left(text, 500)), r'(?i){p}') THEN '{n}'" for n, p in HEADINGS) + " END"
-_T1000 = "lower(left(text, 1000))"
+EMAIL_HITS = hits("h{n}", [rf"^{f}:\s*(.+)$" for f in EMAIL])
+HEADING = "CASE " + " ".join(f"WHEN regexp_like(l500, r'(?i){p}') THEN '{n}'" for n, p in HEADINGS) + " END"
+_T1000 = "l1000"
 TYPE = f"""CASE WHEN text = '' THEN NULL WHEN {EMAIL_HITS.replace("{n}", "500")} >= 2 THEN 'email' WHEN {any_of(_T1000, ["invoice", "bill to", "ship to", "total amount"])} THEN 'invoice'
   WHEN {any_of(_T1000, ["purchase order", "p.o.", "po number"])} THEN 'invoice' WHEN {any_of(_T1000, ["quotation", "quote", "estimate"])} THEN 'other'
   WHEN contains({_T1000}, 'contract') AND contains({_T1000}, 'agreement') THEN 'contract'
   WHEN {any_of(_T1000, ["request for information", "rfi", "submittal", "proposal", "cost proposal", "schedule of values"])} THEN 'report' WHEN contains({_T1000}, 'application for payment') THEN 'form'
   WHEN {any_of(_T1000, ["executive summary", "table of contents", "introduction", "conclusion"])} THEN 'report' WHEN {any_of(_T1000, ["dear", "sincerely", "regards", "yours truly"])} THEN 'letter' ELSE 'other' END"""
-FAMILY = "CASE " + " ".join(f"WHEN {hits('left(text, 1000)', ps)} >= 2 THEN '{t}'" for t, _, ps in CONSTRUCTION) + " END"
+FAMILY = "CASE " + " ".join(f"WHEN {hits('h1000', ps)} >= 2 THEN '{t}'" for t, _, ps in CONSTRUCTION) + " END"
 FAMILY_CONFIDENCE = "CASE family " + " ".join(f"WHEN '{t}' THEN {c}D" for t, c, _ in CONSTRUCTION) + " END"
 
-op("t1_email_header", "E-mail header lines: two of five make a signal.", f"SELECT file_id, page_number, m AS n_fields, CASE WHEN m >= 2 THEN least(0.9D, 0.3D * m) END AS confidence FROM (SELECT file_id, page_number, {EMAIL_HITS.replace('{n}', '1000')} AS m FROM {{pages_seeded}})")
-op("t2_document_header", "The first heading that fits.", f"SELECT file_id, page_number, heading, CASE WHEN heading IS NOT NULL THEN 0.85D END AS confidence FROM (SELECT file_id, page_number, {HEADING} AS heading FROM {{pages_seeded}})")
-op("t3_page_number_reset", "A line that says page 1, among the first and last five of long pages.", rf"""
-SELECT file_id, page_number, CASE WHEN size(filter(edge, s -> {" OR ".join(f"regexp_like(s, r'{p}')" for p in RESETS)})) > 0 THEN 0.7D END AS confidence
-FROM (SELECT file_id, page_number, transform(CASE WHEN size(lines) > 10 THEN array_join_lists ELSE lines END, s -> @rall(s;r'^\s+|\s+$';'')) AS edge
-  FROM (SELECT file_id, page_number, lines, concat(@slice(lines;1;5), @last(lines;5)) AS array_join_lists FROM (SELECT file_id, page_number, split(text, r'\n') AS lines FROM {{pages_seeded}})))
-""".replace("{{", "{").replace("}}", "}"))
+op("t1_email_header", "E-mail header lines: two of five make a signal.", f"SELECT file_id, page_number, m AS n_fields, CASE WHEN m >= 2 THEN least(0.9D, 0.3D * m) END AS confidence FROM (SELECT file_id, page_number, {EMAIL_HITS.replace('{n}', '1000')} AS m FROM {{page_heads}})")
+op("t2_document_header", "The first heading that fits.", f"SELECT file_id, page_number, heading, CASE WHEN heading IS NOT NULL THEN 0.85D END AS confidence FROM (SELECT file_id, page_number, {HEADING} AS heading FROM {{page_heads}})")
+RESET = "CASE WHEN size(filter(edge, s -> " + " OR ".join(f"regexp_like(s, r'{p}')" for p in RESETS) + ")) > 0 THEN 0.7D END"
+op("t3_page_number_reset", "A line that says page 1, among the first and last five of long pages.", f"SELECT file_id, page_number, {RESET} AS confidence FROM {{page_edges}}")
 op("t4_white_space", "Pages of few words.", "SELECT file_id, page_number, word_count, CASE WHEN word_count < 50 THEN least(0.8D, 0.5D + 0.3D * (1 - word_count / 50D)) END AS confidence FROM {pages_seeded}")
-op("t5_document_type", "The page's type by ordered rules.", f"SELECT file_id, page_number, {TYPE} AS document_type FROM {{pages_seeded}}")
-op("t6_construction_pattern", "The first family of construction papers with two of its patterns.", f"SELECT file_id, page_number, family, {FAMILY_CONFIDENCE} AS confidence FROM (SELECT file_id, page_number, {FAMILY} AS family FROM {{pages_seeded}})")
+op("t5_document_type", "The page's type by ordered rules.", f"SELECT file_id, page_number, {TYPE} AS document_type FROM {{page_heads}}")
+op("t6_construction_pattern", "The first family of construction papers with two of its patterns.", f"SELECT file_id, page_number, family, {FAMILY_CONFIDENCE} AS confidence FROM (SELECT file_id, page_number, {FAMILY} AS family FROM {{page_heads}})")
 
 #: Families of the cheap test: boost, keywords in lower case, heading patterns.
 _QUICK = {

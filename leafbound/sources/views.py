@@ -29,6 +29,14 @@ FROM (SELECT file_id, page_number, doc_id, width, height, lang, concat(CASE doc_
   FROM {pages_doc})
 """)
 
+view("page_heads", "Pages with the beginnings that the detectors read, cut and put into lower case once.", """
+SELECT p.*, left(text, 500) AS h500, left(text, 1000) AS h1000, lower(left(text, 500)) AS l500, lower(left(text, 1000)) AS l1000 FROM {pages_seeded} p
+""")
+
+view("page_edges", "The same with the lines at which a page number stands: first and last five of long pages, else all, trimmed.", r"""
+SELECT h.*, transform(CASE WHEN size(lines) > 10 THEN concat(@slice(lines;1;5), @last(lines;5)) ELSE lines END, s -> @rall(s;r'^\s+|\s+$';'')) AS edge FROM (SELECT p.*, split(text, r'\n') AS lines FROM {page_heads} p) h
+""")
+
 view("visual", "Visual features of each page, by arithmetic on its document's id.", r"""
 SELECT file_id, page_number, doc_id, width, height, word_count, text,
   cast(1 + doc_id % 3 AS int) AS num_columns, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 8 + (doc_id % 5) * 1.5D END AS font_size, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE concat('family', cast(doc_id % 3 AS string)) END AS font_family,
