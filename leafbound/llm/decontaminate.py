@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, stored, words
+from .common import if_small, lower_ascii, stored, words
 
 WINDOW, RATIO, ANCHOR_LIMIT = 13, 20, 200_000
 #: Fixed value: what separates words once A-Z is lower case.
@@ -106,5 +106,6 @@ def keep_clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
     found = hits(texts, _item_words(bench, item_col, text_col))
     sizes = texts.select("_id", "_h", F.size("words").alias("n_words")).distinct()
     bad = found.join(sizes, ["_id", "_h"]).where(contaminated()).select(F.col("_id").alias("_bad_id"), F.col("_h").alias("_bad_h"))
+    bad = if_small(stored(bad, "contaminated"))  # few as a rule, and then texts aren't shuffled
     same = (F.coalesce(docs[id_col].cast("string"), F.lit("\x00")) == F.col("_bad_id")) & (F.xxhash64(docs[text_col]) == F.col("_bad_h"))
     return docs.join(bad, same, "left_anti")
