@@ -25,7 +25,7 @@ GIBBERISH = f"(length(w) > 5 AND (regexp_like(w, r'[bcdfghjklmnpqrstvwxyz]{{4,}}
 view("ocr_pages", "Pages with the wear of scanning: doubled marks, split words, confused letters.", r"""
 SELECT file_id, page_number, doc_id, CASE WHEN lang = 'en' THEN 'en' ELSE 'xx' END AS expected, concat(CASE doc_id % 8 WHEN 0 THEN concat('From: a @ grnail . com', chr(10), 'To: c@d.org', chr(10), 'Subject: rn tl1e thec ~~~ ', chr(10)) WHEN 1 THEN concat('lnvoice ||| INVOICE # 77 total $ 1,200.50 due 2024-03-05 @@@', chr(10))
   WHEN 2 THEN 'th e cl vv O l 1 and t o work ( now ) , "  quoted  " well-' WHEN 3 THEN concat('section 4 ARTICLE 5 whereas party shall', chr(10), chr(10), chr(10), chr(10), chr(10), 'xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx   #### ##### ----', chr(10)) WHEN 4 THEN 'end.Next,then;so   I1 11 Il ____ ' ELSE '' END,
-  CASE WHEN doc_id % 9 = 4 THEN '' ELSE left(text, 4000) END) AS text FROM {pages_doc}
+  text) AS text FROM {pages_doc}
 """)
 view("char_counts", "Classes of characters and suspicious runs of each page.", f"""
 SELECT file_id, page_number, doc_id, expected, text, length(text) AS n, length(text) - {without("text", r"\p{L}")} AS letters, length(text) - {without("text", r"\p{Nd}")} AS digits, length(text) - {without("text", r"[ \t\n\r\f\x0B\x1c-\x1f\x85\xa0]")} AS spaces,
