@@ -4,10 +4,17 @@ from leafbound.plans.ops import op, view
 
 WORDS = r"size(regexp_extract_all({0}, r'[^ \t\n\r\f]+', 0))"
 
-view("pages_doc", "Documents of a source in order of id, as the pages of one file.", r"""
-SELECT source AS file_id, cast(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS int) AS page_number, doc_id, coalesce(text, '') AS text, 612D AS width, 792D AS height,
-  cast(size(regexp_extract_all(coalesce(text, ''), r'[^ \t\n\r\f]+', 0)) AS int) AS word_count, lang
-FROM {documents}
+# Fixed value: ids of a block, within which pages are numbered at once.
+BLOCK = "256D"
+view("page_blocks", "Pages that stand before each block of ids of a source.", f"""
+SELECT source, block, sum(n) OVER (PARTITION BY source ORDER BY block ROWS UNBOUNDED PRECEDING) - n AS before
+FROM (SELECT source, block, count(*) AS n FROM (SELECT source, cast(floor(doc_id / {BLOCK}) AS bigint) AS block FROM {{documents}}) GROUP BY source, block)
+""")
+view("pages_doc", "Documents of a source in order of id, as the pages of one file; numbered block by block.", rf"""
+SELECT d.source AS file_id, cast(o.before + row_number() OVER (PARTITION BY d.source, d.block ORDER BY d.doc_id) AS int) AS page_number, d.doc_id, coalesce(d.text, '') AS text, 612D AS width, 792D AS height,
+  cast(size(regexp_extract_all(coalesce(d.text, ''), r'[^ \t\n\r\f]+', 0)) AS int) AS word_count, d.lang
+FROM (SELECT source, doc_id, text, lang, cast(floor(doc_id / {BLOCK}) AS bigint) AS block FROM {{documents}}) d
+JOIN {{page_blocks}} o ON d.source IS NOT DISTINCT FROM o.source AND d.block IS NOT DISTINCT FROM o.block
 """)
 
 view("pages_seeded", "The same pages, with headings that documents of the trade have.", r"""
@@ -25,7 +32,7 @@ FROM (SELECT file_id, page_number, doc_id, width, height, lang, concat(CASE doc_
     WHEN 7 THEN concat('Dear Sir, this contract and agreement between the parties, section 4 and article 5. Sincerely', chr(10))
     WHEN 8 THEN concat('DAILY REPORT', chr(10), 'WEATHER CONDITIONS and MANPOWER ON SITE', chr(10))
     WHEN 9 THEN concat('MEETING MINUTES', chr(10), 'ATTENDEES: four. ACTION ITEMS: none. Quotation # 12', chr(10))
-    ELSE '' END, CASE WHEN doc_id % 12 < 10 AND doc_id % 24 >= 12 THEN left(text, 160) WHEN doc_id % 10 = 7 THEN '' ELSE text END) AS text
+    ELSE '' END, text) AS text
   FROM {pages_doc})
 """)
 

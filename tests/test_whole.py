@@ -29,3 +29,34 @@ def test_empty_and_damaged_pages(spark):
     df = spark.createDataFrame(rows, "file_id string, page_number int, doc_id bigint, expected string, text string")
     got = [r["confidence"] for r in apply("q8_overall_confidence", ocr_pages=df).orderBy("page_number").collect()]
     assert got[0] == 0 and got[1] < 0.6 < got[2]
+
+
+def test_pages_seeded_hold_whole_texts(spark):
+    long = "word " * 200 + "end"
+    docs = documents(spark, [(12, long), (17, long), (23, long), (10, None)])
+    got = [r for r in apply("pages_seeded", documents=docs).orderBy("doc_id").collect()]
+    assert [r["text"].endswith(long) for r in got] == [False, True, True, True] and got[0]["text"] == ""
+    assert [r["word_count"] for r in apply("s7_text_page", documents=docs).orderBy("page_number").collect()][2:] == [205, 201]
+
+
+def test_short_and_empty_pages(spark):
+    rows = [("f", i, i, "en", t, len(t.split()), False, False, None, 0, 612.0, 792.0) for i, t in enumerate(["", "few words", "word " * 60], 1)]
+    schema = "file_id string, page_number int, doc_id bigint, lang string, text string, word_count int, has_images boolean, has_tables boolean, ocr_confidence double, n_issues int, width double, height double"
+    df = spark.createDataFrame(rows, schema)
+    assert [r["mostly_empty"] for r in apply("s7_text_page", pages_seeded=df).orderBy("page_number").collect()] == [True, True, False]
+    # page 2 starts by white space; page 3 has 60 words, and 58 more are no change of density
+    assert [r[0] for r in apply("b4_segment_pages", pages_seeded=df).orderBy("start_page").select("start_page").collect()] == [1, 2]
+
+
+def test_pages_are_numbered_over_blocks(spark):
+    ids = [-700, -1, 0, 255, 256, 257, 511, 512, 5000, 2**40, *range(1000, 1900)]
+    docs = documents(spark, [(i, str(i)) for i in ids]).unionAll(spark.createDataFrame([(3, "x", "en", None, 1), (900, "y", "en", None, 1)], DOCS))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pages = apply("pages_doc", documents=docs)
+        got = {(r["file_id"], r["doc_id"]): r["page_number"] for r in pages.collect()}
+        spread = pages.where("file_id = 's'").selectExpr("spark_partition_id() AS p").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == {("s", i): n for n, i in enumerate(sorted(ids), 1)} | {(None, 3): 1, (None, 900): 2}
+    assert spread > 1  # one file is not one task
