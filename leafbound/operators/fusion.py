@@ -63,7 +63,7 @@ FROM {b16_llm_merge} l FULL OUTER JOIN {b9_plugin_segment} r ON l.file_id = r.fi
 op("b18_merge_close", "Ranges that start within two pages of the last one's end become one.", """
 SELECT file_id, min(start_page) AS start_page, max(end_page) AS end_page, max(confidence) AS confidence, count(*) AS n_merged
 FROM (SELECT file_id, start_page, end_page, confidence, sum(starts) OVER (PARTITION BY file_id ORDER BY start_page ROWS UNBOUNDED PRECEDING) AS island
-  FROM (SELECT file_id, start_page, end_page, confidence, CASE WHEN coalesce(start_page - max(end_page) OVER (PARTITION BY file_id ORDER BY start_page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 2, false) THEN 0 ELSE 1 END AS starts FROM {b4_segment_pages} WHERE start_page % 4 <> 1)) GROUP BY file_id, island""")
+  FROM (SELECT file_id, start_page, end_page, confidence, CASE WHEN coalesce(start_page - max(end_page) OVER (PARTITION BY file_id ORDER BY start_page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 2, false) THEN 0 ELSE 1 END AS starts FROM {b4_segment_pages})) GROUP BY file_id, island""")
 op("b19_enhanced_post", "Close ranges merged where the file holds construction papers, else left.", """
 SELECT m.file_id, m.start_page, m.end_page, m.confidence FROM {b18_merge_close} m JOIN {t10_type_hints} h ON m.file_id = h.file_id WHERE h.construction
 UNION ALL SELECT b.file_id, b.start_page, b.end_page, b.confidence FROM {b4_segment_pages} b JOIN {t10_type_hints} h ON b.file_id = h.file_id WHERE NOT h.construction""")

@@ -63,6 +63,20 @@ view("modes", "Deployment modes.", rows(["mode", "temperature", "max_tokens", "p
 op("o20_deployment_presets", "Deployment modes, plain and with the focus on construction papers.", "SELECT mode, focus, temperature, max_tokens, CASE WHEN focus THEN least(1200, page_chars + 200) ELSE page_chars END AS page_chars, CASE WHEN focus THEN least(4, context + 1) ELSE context END AS context, batch, llm_weight, rule_weight FROM (SELECT m.*, explode(array(true, false)) AS focus FROM {modes} m)")
 op("o21_detector_presets", "Detector presets.", rows(["preset", "construction", "rule", "llm", "vlm", "min_confidence", "min_signals"], PRESETS))
 op("o22_indicator_pages", "Pages with a word of the model's list, by file.", f"SELECT file_id, count_if({any_of('lower(text)', INDICATORS)}) AS n FROM {{pages_seeded}} GROUP BY file_id")
+RANK = "CASE priority WHEN 'high' THEN 1 WHEN 'normal' THEN 2 ELSE 3 END"
+view("waiting_tasks", "Waiting tasks with the hour in which they came.", f"SELECT task_id, priority, {RANK} AS rank, ts, ((year(ts) * 100 + month(ts)) * 100 + day(ts)) * 100 + hour(ts) AS hour FROM {{tasks}} WHERE status = 'pending'")
+
+
+def queue_hours(by: str) -> str:
+    """SQL for the number of tasks that stand before each hour of each value of a column."""
+    return f"""SELECT h.{by}, h.hour, t.before + h.before AS before FROM (SELECT {by}, hour, sum(n) OVER (PARTITION BY {by} ORDER BY hour ROWS UNBOUNDED PRECEDING) - n AS before FROM (SELECT {by}, hour, count(*) AS n FROM {{waiting_tasks}} GROUP BY {by}, hour)) h
+JOIN (SELECT {by}, sum(n) OVER (ORDER BY {by} ROWS UNBOUNDED PRECEDING) - n AS before FROM (SELECT {by}, count(*) AS n FROM {{waiting_tasks}} GROUP BY {by})) t ON h.{by} IS NOT DISTINCT FROM t.{by}"""
+
+
+view("rank_hours", "Tasks before each hour of a rank.", queue_hours("rank"))
+view("spelled_hours", "Tasks before each hour of a priority by its spelling.", queue_hours("priority"))
 op("task_queue_order", "Waiting tasks in the order they are taken: by meaning of the priority, or by its spelling as a flag asks.", """
-SELECT task_id, priority, cast(row_number() OVER (ORDER BY CASE priority WHEN 'high' THEN 1 WHEN 'normal' THEN 2 ELSE 3 END, ts, task_id) AS bigint) AS position, cast(row_number() OVER (ORDER BY priority, ts, task_id) AS bigint) AS spelled_position FROM {tasks} WHERE status = 'pending' AND user_id % 10 = 0""")
+SELECT w.task_id, w.priority, cast(r.before + w.n AS bigint) AS position, cast(s.before + w.m AS bigint) AS spelled_position
+FROM (SELECT task_id, priority, rank, hour, row_number() OVER (PARTITION BY rank, hour ORDER BY ts, task_id) AS n, row_number() OVER (PARTITION BY priority, hour ORDER BY ts, task_id) AS m FROM {waiting_tasks}) w
+JOIN {rank_hours} r ON w.rank = r.rank AND w.hour IS NOT DISTINCT FROM r.hour JOIN {spelled_hours} s ON w.priority IS NOT DISTINCT FROM s.priority AND w.hour IS NOT DISTINCT FROM s.hour""")
 op("task_status", "Where each user's latest task stands.", "SELECT user_id, max_by(status, task_id) AS status, count(*) AS n_events FROM {tasks} GROUP BY user_id")

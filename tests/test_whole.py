@@ -60,3 +60,27 @@ def test_pages_are_numbered_over_blocks(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert got == {("s", i): n for n, i in enumerate(sorted(ids), 1)} | {(None, 3): 1, (None, 900): 2}
     assert spread > 1  # one file is not one task
+
+
+def test_merge_keeps_every_range(spark):
+    rows = [("f", 1, 1, 0.9, "a"), ("f", 2, 4, 0.8, "b"), ("f", 7, 8, 0.7, "c"), ("f", 9, 12, 0.6, "d"), ("g", 5, 5, 0.5, "e")]
+    df = spark.createDataFrame(rows, "file_id string, start_page int, end_page int, confidence double, document_type string")
+    got = [tuple(r) for r in apply("b18_merge_close", b4_segment_pages=df).orderBy("file_id", "start_page").collect()]
+    assert got == [("f", 1, 4, 0.9, 2), ("f", 7, 12, 0.7, 2), ("g", 5, 5, 0.5, 1)]
+
+
+def test_feedback_holds_every_verdict(spark):
+    docs = documents(spark, [(i, "x") for i in range(14)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(14)], "doc_id bigint, quality int, toxic int")
+    got = {r["page_number"]: r["is_boundary"] for r in apply("feedback", documents=docs, labels=labels).collect()}
+    assert got == {i + 1: i % 2 == 1 for i in range(14)}
+
+
+def test_every_waiting_task_is_queued(spark):
+    rows = [(i, i % 11, f"2024-01-01 {i * 7 % 24:02d}:{i % 4}0:00", [None, "high", "low", "normal", "urgent"][i % 5], "pending" if i % 3 else "failed") for i in range(200)]
+    tasks = spark.createDataFrame(rows, "task_id bigint, user_id bigint, ts string, priority string, status string").selectExpr("task_id", "user_id", "cast(ts AS timestamp) AS ts", "priority", "status")
+    waiting = [r for r in rows if r[4] == "pending"]
+    meant = sorted(waiting, key=lambda r: ({"high": 1, "normal": 2}.get(r[3], 3), r[2], r[0]))
+    spelled = sorted(waiting, key=lambda r: (r[3] or "", r[2], r[0]))
+    got = {r["task_id"]: (r["position"], r["spelled_position"]) for r in apply("task_queue_order", tasks=tasks).collect()}
+    assert got == {r[0]: (meant.index(r) + 1, spelled.index(r) + 1) for r in waiting}
