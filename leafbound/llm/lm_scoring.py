@@ -1,46 +1,54 @@
 """Language-model scores: a causal self-attention model over subword ids, trained in numpy, beside a word unigram base.
 
-Counting covers every training document: words are counted in the workers and summed by a shuffle; subword
-counts follow from the word counts. Subwords come from a public byte-level BPE vocabulary, applied to each
-word with its space. The model predicts classes of subwords: the most frequent ones are classes of their
-own, the others share bins by frequency and by whether they begin a word; a subword's probability is its
-class's times its smoothed share of that class; a class is found in two steps, a group and a member of it. All subwords have some, so the whole is a distribution.
-
-The attention model (one causal layer with a feed-forward block) learns from windows of every training
-document: its beginning, its end and WINDOWS seeded places between. Each partition trains a replica (64 at
-most), replicas are averaged by their windows, ROUNDS times over. Scoring cuts each text's ids into
-overlapping windows of CONTEXT inputs, of which the last STRIDE are predicted, so every token is scored
-once with at least CONTEXT - STRIDE before it (as far as there are any); windows are batched over documents and
-masked.
+Counting covers every training document: words are counted in the workers and summed by a shuffle, subword
+ids likewise. Subwords come from a public byte-level BPE vocabulary (a parameter), applied to each word with
+its space; one pass writes every text's ids, and training and scoring read those alone. The model predicts
+classes of subwords: the most frequent ones are classes of their own, the others share bins by frequency and
+by whether they begin a word; a subword's probability is its class's times its smoothed share of that class.
+A class is found in two steps, a group and a member of it. All subwords have some, so the whole is a
+distribution.
+
+The attention model (one causal layer with a feed-forward block) learns from every position of every
+training document. The documents are dealt to ROUNDS rounds by a hash of their row; in a round each
+partition trains a replica on its own windows, and the replicas are averaged, weighted by their windows, in a
+tree of sums. Scoring cuts each text's ids into overlapping windows of CONTEXT inputs, of which the last
+STRIDE are predicted, so every token is scored once with at least CONTEXT - STRIDE before it (as far as
+there are any); windows are batched over documents and masked. Replicas follow the partitions of the table
+that holds the ids, so other partitions give other weights and slightly other scores; all counts, and the
+base score up to rounding, are the same.
 
 For the base, words frequent enough that at most TOP_WORDS are that frequent are looked up in the workers;
 the others go through a shuffled join with the full counts. This changes no result, only the way.
 
 Defined cases: null and empty texts are one end token; null ids count as the empty text in the hold-out
 rule; repeated rows repeat; an empty table gives an empty result; without training documents the classes
-are uniform; other columns are ignored.
+are uniform; texts of any length are read in pieces of bounded size; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
-import zlib
+import ctypes
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored
-from .token_ids import VOCABULARY, Tokenizer, vocabulary
+from .token_ids import Tokenizer, tokenizer, vocabulary
 
-CONTEXT, STRIDE, WIDTH, HIDDEN, GROUPS, MEMBERS, BINS = 48, 32, 16, 32, 20, 16, 32
-CLASSES = GROUPS * MEMBERS
-WINDOWS, ROUNDS, REPLICAS, BATCH, RATE, SEED = 2, 2, 64, 64, 4e-3, 11
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+CONTEXT, STRIDE, WIDTH, HIDDEN, GROUPS, MEMBERS, BINS = 32, 28, 16, 16, 32, 32, 64
+CLASSES, LAST = GROUPS * MEMBERS, WIDTH - 1
+ROUNDS, BATCH, POOL, RATE, SEED, FAN = 3, 128, 4096, 0.01, 11, 16
+SCORED, PIECE, CHUNK = 512, 4096, 100_000
 TOP_WORDS, CACHE, COUNTER, LN10 = 200_000, 300_000, 300_000, float(np.log(10))
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_OWN: dict = {}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -58,10 +66,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column(0):
-            seen.update(words_of(text.as_py()))
-            if len(seen) > COUNTER:
-                yield out()
-                seen.clear()
+            words = words_of(text.as_py())
+            for at in range(0, len(words), CHUNK):
+                seen.update(words[at : at + CHUNK])
+                if len(seen) > COUNTER:
+                    yield out()
+                    seen.clear()
     if seen:
         yield out()
 
@@ -71,26 +81,19 @@ def word_counts(training: DataFrame) -> DataFrame:
     return stored(training.mapInArrow(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
-def _encoder(ranks) -> Tokenizer:
-    if "t" not in _OWN:
-        _OWN["t"] = Tokenizer(ranks.value)
-    return _OWN["t"]
-
-
-def subword_counts(counts: DataFrame, ranks) -> np.ndarray:
-    """How often each subword id occurs in training; summed by a shuffle, one row an id on the driver."""
+def subword_counts(encoded: DataFrame) -> np.ndarray:
+    """encoded: (ids). How often each subword id occurs; summed by a shuffle, one row an id on the driver."""
 
     def run(batches):
-        encode, sums = _encoder(ranks).encoding.encode_ordinary, np.zeros(1 << 16, np.int64)
+        sums = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i in encode(" " + w):
-                    sums[i] += n
+            for ids in batch.column(0):
+                sums += np.bincount(np.frombuffer(ids.as_buffer(), "<u2"), minlength=1 << 16)
         some = np.nonzero(sums)[0]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(sums[some], pa.int64())], names=["id", "n"])
 
     out = np.zeros(1 << 16, np.int64)
-    for r in counts.mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in encoded.mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 
@@ -122,111 +125,148 @@ def classes(counts: np.ndarray, initial: np.ndarray, ends: int) -> tuple[np.ndar
 
 
 def initial_weights(class_counts: np.ndarray) -> dict[str, np.ndarray]:
+    """The last channel of all states is the constant one: it carries the biases, and the sums of attention."""
     rng = np.random.default_rng(SEED)
-    draw = lambda *s, scale=0.08: (rng.standard_normal(s) * scale).astype(np.float32)
-    some = (class_counts + 0.5).reshape(GROUPS, MEMBERS)
-    groups, members = np.log(some.sum(axis=1) / some.sum()).astype(np.float32), np.log(some / some.sum(axis=1, keepdims=True)).astype(np.float32)
+    draw = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
+    some = class_counts + 0.5
+    groups = some.reshape(GROUPS, MEMBERS)
     d, h = WIDTH, HIDDEN
-    return {"e": draw(CLASSES, d, scale=0.3), "p": draw(CONTEXT, d), "q": draw(d, d, scale=0.25), "k": draw(d, d, scale=0.25), "v": draw(d, d, scale=0.25), "o": draw(d, d, scale=0.25), "f": draw(d, h, scale=0.25), "g": draw(h, d, scale=0.15), "u": draw(d, GROUPS, scale=0.15), "b": groups, "m": draw(GROUPS, d, MEMBERS, scale=0.15), "c": members}
+    w = {"e": draw(CLASSES, d, scale=0.3), "p": draw(CONTEXT, d, scale=0.1), "a": draw(d, d, scale=0.1), "o": draw(d, d, scale=0.25), "f": draw(d, h, scale=0.25), "g": draw(h, d, scale=0.15), "u": draw(d, GROUPS, scale=0.15), "m": draw(GROUPS, d, MEMBERS, scale=0.15)}
+    w["e"][:, LAST] = 1
+    for k in "pog":
+        w[k][:, LAST] = 0
+    w["u"][LAST] = np.log(groups.sum(axis=1) / some.sum())
+    w["m"][:, LAST] = np.log(groups / groups.sum(axis=1, keepdims=True))
+    return w
 
 
-_CAUSAL = np.where(np.arange(CONTEXT)[None, :] <= np.arange(CONTEXT - STRIDE, CONTEXT)[:, None], 0.0, -1e9).astype(np.float32)
+_CAUSAL = (np.arange(CONTEXT)[None, :] <= np.arange(CONTEXT - STRIDE, CONTEXT)[:, None]).astype(np.float32)
+_GROUPS, _MEMBERS = np.ones(GROUPS, np.float32), np.ones(MEMBERS, np.float32)
 
 
-_ONES = np.ones((CONTEXT, 1), np.float32)
+def padding(ids: np.ndarray) -> np.ndarray | None:
+    """Where windows hold padding, if any does; it stands at their ends."""
+    return ids < 0 if (ids[:, 0] < 0).any() or (ids[:, -1] < 0).any() else None
 
 
-def forward(w: dict, ids: np.ndarray, keep: bool = False):
-    """What the model holds at the last STRIDE positions of windows ids (n, CONTEXT); -1 is padding, which nothing attends to."""
-    pad = ids < 0
-    x = w["e"][np.where(pad, 0, ids)] + w["p"]
-    y = np.ascontiguousarray(x[:, CONTEXT - STRIDE :])
+def forward(w: dict, ids: np.ndarray):
+    """What the model holds at the last STRIDE positions of windows ids (n, CONTEXT), and what `gradients` needs; -1 is padding, which nothing attends to."""
     n, d = len(ids), WIDTH
-    q = (y.reshape(-1, d) @ w["q"]).reshape(n, STRIDE, d) * np.float32(d**-0.5)
-    k, v = (x.reshape(-1, d) @ w["k"]).reshape(n, CONTEXT, d), (x.reshape(-1, d) @ w["v"]).reshape(n, CONTEXT, d)
-    a = np.matmul(q, k.transpose(0, 2, 1))
-    a += _CAUSAL
-    if pad.any():
-        a += np.where(pad, np.float32(-1e9), np.float32(0))[:, None, :]
-    if not a.max() < 60:  # otherwise float32 holds the exponentials as they are
-        a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= np.matmul(a, _ONES)
-    o = np.matmul(a, v)
-    r = y.reshape(-1, d) + o.reshape(-1, d) @ w["o"]
-    f = np.maximum(r @ w["f"], 0)
-    z = r + f @ w["g"]
-    return (z, (x, y, q, k, v, a, o, r, f)) if keep else z
-
-
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    if logits.size and not logits.max() < 60:
-        logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= (logits @ np.ones(logits.shape[1], logits.dtype))[:, None]
-    return logits
-
-
-def _levels(w: dict, z: np.ndarray, t: np.ndarray):
-    """A class is a group and a member of it, each a softmax, so that a token costs GROUPS + MEMBERS exponentials.
-
-    The groups' probabilities at all positions; then for each group that targets t lie in: the group, their places, the members' probabilities there."""
-    yield None, None, _softmax(z @ w["u"] + w["b"])
+    x = w["e"].take(ids, 0, mode="wrap")
+    x += w["p"]
+    if (pad := padding(ids)) is not None:
+        x[pad] = 0
+    y = x[:, CONTEXT - STRIDE :].reshape(-1, d)
+    q = y @ w["a"]
+    s = np.matmul(q.reshape(n, STRIDE, d), x.transpose(0, 2, 1))
+    np.minimum(s, 40, out=s)  # float32 holds the exponentials as they are
+    np.exp(s, out=s)
+    s *= _CAUSAL
+    u = np.matmul(s, x).reshape(-1, d)
+    sums = np.maximum(u[:, LAST:], 1e-30)
+    u /= sums
+    r = u @ w["o"]
+    r += y
+    f = r @ w["f"]
+    np.maximum(f, 0, out=f)
+    z = f @ w["g"]
+    z += r
+    return z, (x, y, q, s, sums, u, r, f)
+
+
+def _members(w: dict, z: np.ndarray, t: np.ndarray):
+    """Places of targets t in order of their groups (those of no target apart), groups, members, cuts between groups, and the members' logits there.
+
+    A class is a group and a member of it, each a softmax, so that a token costs GROUPS + MEMBERS exponentials."""
     order = np.argsort(t, kind="stable")
-    order = order[np.searchsorted(t[order], 0) :]
-    cuts = np.searchsorted(t[order], np.arange(GROUPS + 1) * MEMBERS)
+    first = int(np.searchsorted(t[order], 0))
+    none, order = order[:first], order[first:]
+    ts = t[order]
+    cuts = np.searchsorted(ts, np.arange(GROUPS + 1) * MEMBERS).tolist()
+    held, logits = z.take(order, 0), np.empty((len(ts), MEMBERS), np.float32)
     for g in range(GROUPS):
-        at = order[cuts[g] : cuts[g + 1]]
-        if len(at):
-            yield g, at, _softmax(z[at] @ w["m"][g] + w["c"][g])
+        if cuts[g] < cuts[g + 1]:
+            np.matmul(held[cuts[g] : cuts[g + 1]], w["m"][g], out=logits[cuts[g] : cuts[g + 1]])
+    return none, order, ts // MEMBERS, ts % MEMBERS, cuts, held, logits
+
+
+def _exp(logits: np.ndarray) -> np.ndarray:
+    np.minimum(logits, 60, out=logits)
+    return np.exp(logits, out=logits)
 
 
 def log_probabilities(w: dict, ids: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log probability of targets (n, STRIDE); 0 where the target is -1."""
+    z, _ = forward(w, ids)
     t = targets.reshape(-1)
-    levels = _levels(w, forward(w, ids), t)
-    p = next(levels)[2][np.arange(len(t)), np.maximum(t, 0) // MEMBERS]
-    for g, at, members in levels:
-        p[at] *= members[np.arange(len(at)), t[at] - g * MEMBERS]
-    return np.where(t >= 0, np.log(np.maximum(p, 1e-37)), 0).reshape(targets.shape)
+    groups = z @ w["u"]
+    _, order, group, member, _, _, members = _members(w, z, t)
+    _exp(groups)
+    _exp(members)
+    p = groups.ravel().take(order * GROUPS + group) / np.maximum(groups @ _GROUPS, 1e-30).take(order)
+    p *= members.ravel().take(np.arange(len(order)) * MEMBERS + member) / np.maximum(members @ _MEMBERS, 1e-30)
+    out = np.zeros(len(t), np.float32)
+    out[order] = np.log(np.maximum(p, 1e-37))
+    return out.reshape(targets.shape)
 
 
 def gradients(w: dict, ids: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean negative log probability of the targets that aren't -1."""
-    z, (x, y, q, k, v, a, o, r, f) = forward(w, ids, keep=True)
+    """Of the mean negative log probability of the targets that aren't -1; for "e" the rows met and their gradients."""
+    z, (x, y, q, s, sums, u, r, f) = forward(w, ids)
     n, d, t = len(ids), WIDTH, targets.reshape(-1)
-    scale = np.float32(1 / max(1, (t >= 0).sum()))
-    levels = _levels(w, z, t)
-    groups = next(levels)[2]
-    groups[np.arange(len(t)), np.maximum(t, 0) // MEMBERS] -= 1
-    groups *= np.where(t >= 0, scale, np.float32(0))[:, None]
-    g = {"u": z.T @ groups, "b": groups.sum(axis=0), "m": np.zeros_like(w["m"]), "c": np.zeros_like(w["c"])}
-    dz = groups @ w["u"].T
-    for i, at, members in levels:
-        members[np.arange(len(at)), t[at] - i * MEMBERS] -= 1
-        members *= scale
-        g["m"][i], g["c"][i] = z[at].T @ members, members.sum(axis=0)
-        dz[at] += members @ w["m"][i].T
+    groups = _exp(z @ w["u"])
+    none, order, group, member, cuts, held, members = _members(w, z, t)
+    scale = np.float32(1 / max(1, len(order)))
+    share = scale / np.maximum(groups @ _GROUPS, 1e-30)
+    share[none] = 0
+    groups *= share[:, None]
+    groups.ravel()[order * GROUPS + group] -= scale
+    _exp(members)
+    members *= (scale / np.maximum(members @ _MEMBERS, 1e-30))[:, None]
+    members.ravel()[np.arange(len(order)) * MEMBERS + member] -= scale
+    g = {"u": z.T @ groups, "m": np.zeros_like(w["m"])}
+    dz, dheld = groups @ w["u"].T, np.empty_like(held)
+    for i in range(GROUPS):
+        a, b = cuts[i], cuts[i + 1]
+        if a < b:
+            np.matmul(held[a:b].T, members[a:b], out=g["m"][i])
+            np.matmul(members[a:b], w["m"][i].T, out=dheld[a:b])
+    dheld += dz.take(order, 0)
+    dz[order] = dheld
+    dz[:, LAST] = 0
     g["g"] = f.T @ dz
-    df = (dz @ w["g"].T) * (f > 0)
+    df = dz @ w["g"].T
+    df *= f > 0
     g["f"] = r.T @ df
-    dr = dz + df @ w["f"].T
-    g["o"] = o.reshape(-1, d).T @ dr
-    do = (dr @ w["o"].T).reshape(n, STRIDE, d)
-    da = np.matmul(do, v.transpose(0, 2, 1))
-    dv = np.matmul(a.transpose(0, 2, 1), do)
-    da = a * (da - (da * a).sum(axis=2, keepdims=True))
-    dq = np.matmul(da, k) * np.float32(d**-0.5)
-    dk = np.matmul(da.transpose(0, 2, 1), q)
-    g["q"], g["k"], g["v"] = y.reshape(-1, d).T @ dq.reshape(-1, d), x.reshape(-1, d).T @ dk.reshape(-1, d), x.reshape(-1, d).T @ dv.reshape(-1, d)
-    dx = (dk.reshape(-1, d) @ w["k"].T + dv.reshape(-1, d) @ w["v"].T).reshape(n, CONTEXT, d)
-    dx[:, CONTEXT - STRIDE :] += (dr + dq.reshape(-1, d) @ w["q"].T).reshape(n, STRIDE, d)
+    dr = df @ w["f"].T
+    dr += dz
+    g["o"] = u.T @ dr
+    du = dr @ w["o"].T
+    du[:, LAST] = 0
+    np.negative(np.einsum("ij,ij->i", du, u), out=du[:, LAST])
+    du /= sums
+    du = du.reshape(n, STRIDE, d)
+    ds = np.matmul(du, x.transpose(0, 2, 1))
+    ds *= s
+    dx = np.matmul(s.transpose(0, 2, 1), du)
+    dx += np.matmul(ds.transpose(0, 2, 1), q.reshape(n, STRIDE, d))
+    dq = np.matmul(ds, x).reshape(-1, d)
+    g["a"] = y.T @ dq
+    dy = dq @ w["a"].T
+    dy += dr
+    dx[:, CONTEXT - STRIDE :] += dy.reshape(n, STRIDE, d)
+    if (pad := padding(ids)) is not None:
+        dx[pad] = 0
     g["p"] = dx.sum(axis=0)
-    real = np.nonzero(ids.reshape(-1) >= 0)[0]
-    real = real[np.argsort(ids.reshape(-1)[real], kind="stable")]
-    met, starts = np.unique(ids.reshape(-1)[real], return_index=True)
-    g["e"] = np.zeros_like(w["e"])
-    g["e"][met] = np.add.reduceat(dx.reshape(-1, d)[real], starts, axis=0)
+    flat = ids.reshape(-1)
+    real = np.argsort(flat, kind="stable")
+    real = real[int(np.searchsorted(flat[real], 0)) :]
+    sorted_ = flat[real]
+    starts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(real) else np.zeros(0, int)
+    rows = np.add.reduceat(dx.reshape(-1, d).take(real, 0), starts, axis=0) if len(real) else np.zeros((0, d), np.float32)
+    for x in (rows, g["p"], g["o"], g["g"]):  # the constant channel stays one
+        x[:, LAST] = 0
+    g["e"] = (sorted_[starts], rows)
     return g
 
 
@@ -237,61 +277,61 @@ class Adam:
 
     def step(self, g: dict) -> None:
         self.t += 1
-        rate = self.rate * min(1.0, self.t / 20)
+        rate, a, b = np.float32(self.rate * min(1.0, self.t / 20)), np.float32(1 - 0.9**self.t), np.float32(1 - 0.99**self.t)
         for k, x in self.w.items():
-            self.m[k] += 0.1 * (g[k] - self.m[k])
-            self.v[k] += 0.01 * (g[k] * g[k] - self.v[k])
-            x -= (rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+            m, v, some = self.m[k], self.v[k], g[k]
+            if k == "e":  # rows that weren't met stand still
+                rows, some = some
+                whole, (x, m, v) = (x, m, v), (x[rows], m[rows], v[rows])
+            m += np.float32(0.1) * (some - m)
+            v += np.float32(0.01) * (some * some - v)
+            x -= rate * (m / a) / (np.sqrt(v / b) + np.float32(1e-8))
+            if k == "e":
+                for to, values in zip(whole, (x, m, v), strict=True):
+                    to[rows] = values
 
 
 # ---- windows
 
 
-class Subwords:
-    """Words to class ids and to the sum of their subwords' log10 shares; a bounded cache, since words recur."""
+class Subwords(dict):
+    """Words to their subword ids as bytes; a bounded cache, since words recur."""
 
-    def __init__(self, encoding, kind: np.ndarray, share: np.ndarray):
-        self.encoding, self.kind, self.share, self.seen = encoding, kind.tolist(), share.tolist(), {}
+    def __init__(self, encoding):
+        super().__init__()
+        self.encode = encoding.encode_ordinary
 
-    def word(self, w: bytes) -> tuple[tuple[int, ...], float]:
-        got = self.seen.get(w)
-        if got is None:
-            if len(self.seen) > CACHE:
-                self.seen.clear()
-            ids = self.encoding.encode_ordinary(" " + w.decode("utf-8", "replace"))
-            got = self.seen[w] = (tuple(self.kind[i] for i in ids), sum(self.share[i] for i in ids))
+    def __missing__(self, word: bytes) -> bytes:
+        got = self[word] = np.array(self.encode(" " + word.decode("utf-8", "replace")), "<u2").tobytes()
         return got
 
-    def ids(self, words: list[bytes]) -> tuple[list[int], float]:
-        found = [self.word(w) for w in words]
-        return [i for f in found for i in f[0]], sum(f[1] for f in found)
+    def ids(self, words: list[bytes]) -> bytes:
+        if len(self) > CACHE:
+            self.clear()
+        return b"".join(map(self.__getitem__, words))
 
 
 def windows(ids: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows first..last - 1 of a text's class ids, the end token included: inputs (n, CONTEXT) and targets (n, STRIDE)."""
-    t = np.arange(first, last)[:, None] * STRIDE + np.arange(STRIDE)
-    i = np.arange(first, last)[:, None] * STRIDE + np.arange(STRIDE - CONTEXT, STRIDE) - 1  # the input before each target
-    inputs = np.where(i >= 0, ids[np.clip(i, 0, len(ids) - 1)], np.where(i == -1, 0, -1))
-    return np.where(i < len(ids), inputs, -1), np.where(t < len(ids), ids[np.minimum(t, len(ids) - 1)], -1)
-
-
-def training_windows(words: list[bytes], subwords: Subwords, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """A text's first window, its last one, and WINDOWS between, each from the words around it alone."""
-    near = 2 * CONTEXT
-    if len(words) <= near:
-        ids = np.array([*subwords.ids(words)[0], 0])
-        n = -(-len(ids) // STRIDE)
-        pick = sorted({0, n - 1, *np.random.default_rng(seed).integers(0, n, WINDOWS).tolist()})
-        parts = [windows(ids, i, i + 1) for i in pick]
-    else:
-        parts = [windows(np.array(subwords.ids(words[:CONTEXT])[0]), 0, 1)]
-        for at in [*np.random.default_rng(seed).integers(0, len(words) - CONTEXT, WINDOWS).tolist(), len(words) - CONTEXT]:
-            ids = subwords.ids(words[at : at + CONTEXT])[0]
-            ids = [*ids, 0] if at == len(words) - CONTEXT else ids
-            ids = np.array(ids[-(CONTEXT + 1) :])
-            if len(ids) == CONTEXT + 1:
-                parts.append((ids[None, :-1], ids[None, CONTEXT + 1 - STRIDE :]))
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    n, size = last - first, len(ids)
+    start = first * STRIDE + STRIDE - CONTEXT - 1  # of the first window's inputs, each of which stands before its target
+    inputs = np.full((n - 1) * STRIDE + CONTEXT, -1, np.int16)
+    some = ids[max(start, 0) : min(start + len(inputs), size)]
+    inputs[max(-start, 0) : max(-start, 0) + len(some)] = some
+    if start < 0:
+        inputs[-1 - start] = 0
+    targets = np.full(n * STRIDE, -1, np.int16)
+    some = ids[first * STRIDE : min(last * STRIDE, size)]
+    targets[: len(some)] = some
+    return np.lib.stride_tricks.sliding_window_view(inputs, CONTEXT)[::STRIDE], targets.reshape(n, STRIDE)
+
+
+def pieces(kind: np.ndarray, ids) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All windows of a text, given its subword ids as bytes; at most PIECE at a time."""
+    own = np.append(kind[np.frombuffer(ids, "<u2")], np.int16(0))
+    n = -(-len(own) // STRIDE)
+    for at in range(0, n, PIECE):
+        yield windows(own, at, min(n, at + PIECE))
 
 
 # ---- training
@@ -309,20 +349,49 @@ def shaped(values: np.ndarray, like: dict) -> dict[str, np.ndarray]:
     return out
 
 
-def train(training: DataFrame, weights: dict, table, ranks) -> dict:
-    """training: (id, text). Replicas trained in partitions and averaged, ROUNDS times."""
-    n = training.rdd.getNumPartitions()
-    training = training.coalesce(REPLICAS) if n > REPLICAS else training
-    context = training.sparkSession.sparkContext
+def _keep_heap() -> None:
+    """Arrays of a megabyte are made and dropped at every step: without this, each would be mapped and faulted in anew."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        for option, value in ((-3, 1 << 28), (-1, 1 << 28)):  # the sizes from which memory is mapped, and given back
+            libc.mallopt(option, value)
+
+
+def _replica(values: np.ndarray, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([values.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["w", "n"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, n = None, 0
+    for batch in batches:
+        for w, k in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            values = np.frombuffer(w.as_buffer(), np.float64)
+            total, n = (values.copy() if total is None else total + values), n + k
+    if total is not None:
+        yield _replica(total, n)
+
+
+def averaged(replicas: DataFrame, partitions: int) -> tuple[np.ndarray, int] | None:
+    """The sum of weights times windows and of windows, added up FAN to one until FAN rows at most reach the driver."""
+    while partitions > FAN:
+        partitions = -(-partitions // FAN)
+        replicas = replicas.repartition(partitions).mapInArrow(_added, "w binary, n bigint")
+    rows = replicas.collect()
+    return (sum(np.frombuffer(r["w"], np.float64) for r in rows), sum(r["n"] for r in rows)) if rows else None
+
+
+def train(encoded: DataFrame, weights: dict, kind) -> dict:
+    """encoded: (round, ids), stored. Every text is learned from once, in its round."""
+    context, partitions = encoded.sparkSession.sparkContext, encoded.rdd.getNumPartitions()
     for round_ in range(ROUNDS):
         sent = context.broadcast(weights)
 
         def run(batches, sent=sent, round_=round_):
-            subwords = Subwords(_encoder(ranks).encoding, *table.value)
+            _keep_heap()
             w = {k: x.copy() for k, x in sent.value.items()}
             adam, held, n, total = Adam(w, RATE / (1 + round_)), [], 0, 0
 
-            def step():
+            def learn():
                 ids, targets = (np.concatenate([h[i] for h in held]) for i in (0, 1))
                 mix = np.random.default_rng(total).permutation(len(ids))
                 for at in range(0, len(mix), BATCH):
@@ -330,77 +399,91 @@ def train(training: DataFrame, weights: dict, table, ranks) -> dict:
                     adam.step(gradients(w, ids[some], targets[some]))
 
             for batch in batches:
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    held.append(training_windows(words_of(text.as_py()), subwords, zlib.crc32(f"{round_}|{key}".encode())))
-                    n += len(held[-1][0])
-                    if n >= 16 * BATCH:
-                        step()
-                        total, n = total + n, 0
-                        held.clear()
+                for ids in batch.column(0):
+                    for piece in pieces(kind.value, ids.as_buffer()):
+                        held.append(piece)
+                        n += len(piece[0])
+                        if n >= POOL:
+                            learn()
+                            total, n = total + n, 0
+                            held.clear()
             if held:
-                step()
+                learn()
                 total += n
-            values = flat(w).astype(np.float64) * total
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), pa.int32()), pa.array(values), pa.array(np.full(len(values), total), pa.int64())], names=["i", "x", "n"])
-
-        rows = training.mapInArrow(run, "i int, x double, n bigint").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()  # one row a weight
-        values = flat(weights).astype(np.float64)
-        for r in rows:
-            if r["n"]:
-                values[r["i"]] = r["x"] / r["n"]
-        weights = shaped(values, weights)
-    return weights
+            if total:
+                yield _replica(flat(w).astype(np.float64) * total, total)
 
+        got = averaged(encoded.where(F.col("round") == round_).select("ids").mapInArrow(run, "w binary, n bigint"), partitions)
+        if got:
+            weights = shaped(got[0] / got[1], weights)
+    return weights
 
-# ---- scoring
 
-_SCORED = "row bigint, doc_key string, n_tokens bigint, n_known bigint, base double, score double, n_subwords bigint, rare array<struct<word:string,n:bigint>>"
+# ---- encoding and scoring
 
 
-def _scorer(model, table, ranks, frequent):
+def _encoder(ranks, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = Subwords(_encoder(ranks).encoding, *table.value)
-        w, known, end = model.value, frequent.value[0], frequent.value[1]
-
-        def out(rows: list, ids: list, targets: list, of: list) -> pa.RecordBatch:
-            total = np.zeros(len(rows))
-            if ids:
-                x, t, o = np.concatenate(ids), np.concatenate(targets), np.concatenate(of)
-                for at in range(0, len(x), 256):
-                    np.add.at(total, o[at : at + 256], log_probabilities(w, x[at : at + 256], t[at : at + 256]).sum(axis=1, dtype=np.float64))
-            cols = [list(c) for c in zip(*rows, strict=True)]
-            cols[4] = [share + float(v) / LN10 for share, v in zip(cols[4], total, strict=True)]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["row", "n_tokens", "n_known", "base", "score", "n_subwords", "rare"])
+        subwords = Subwords(tokenizer(ranks).encoding)
+        known, end = frequent.value
+        rare_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+        for batch in batches:
+            n_tokens, n_known, base, ids, rares = [], [], [], [], []
+            for text in batch.column(batch.num_columns - 1):
+                words, parts, rare = words_of(text.as_py()), [], Counter()
+                sums, found = 0.0 if end is None else end, int(end is not None)
+                for at in range(0, len(words), CHUNK):
+                    some = words[at : at + CHUNK]
+                    parts.append(subwords.ids(some))
+                    logs = np.fromiter(map(known.get, some, repeat(np.nan)), float, len(some))
+                    unknown = np.isnan(logs)
+                    missing = int(unknown.sum())
+                    found += len(some) - missing
+                    sums += float(np.nansum(logs))
+                    if missing:
+                        rare.update(compress(some, unknown.tolist()))
+                n_tokens.append(len(words) + 1)
+                n_known.append(found)
+                base.append(sums)
+                ids.append(b"".join(parts))
+                rares.append([{"word": k.decode("utf-8", "replace"), "n": v} for k, v in rare.items()])
+            made = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(ids, pa.binary()), pa.array(rares, rare_type)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "n_tokens", "n_known", "base", "ids", "rare"])
 
+    return run
+
+
+def _scorer(model, table):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_heap()
+        w, (kind, share) = model.value, table.value
         for batch in batches:
-            rows, ids, targets, of, n = [], [], [], [], 0
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = words_of(text.as_py())
-                base, found, rare = end if end is not None else 0.0, int(end is not None), Counter()
-                for x in words:
-                    lp = known.get(x)
-                    if lp is None:
-                        rare[x] += 1
-                    else:
-                        base += lp
-                        found += 1
-                own, share = subwords.ids(words)
-                own = np.array([*own, 0], np.int32)
-                at = len(rows)
-                rows.append((row, len(words) + 1, found, base, share, len(own), [{"word": k.decode("utf-8", "replace"), "n": v} for k, v in rare.items()]))
-                last = -(-len(own) // STRIDE)
-                for a in range(0, last, 4096):  # texts of any length, in bounded pieces
-                    i, t = windows(own, a, min(last, a + 4096))
-                    ids.append(i.astype(np.int32))
-                    targets.append(t.astype(np.int32))
-                    of.append(np.full(len(i), at))
-                    n += len(i)
-                if n >= 2048:
-                    yield out(rows, ids, targets, of)
-                    rows, ids, targets, of, n = [], [], [], [], 0
-            if rows:
-                yield out(rows, ids, targets, of)
+            total, sizes = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+            held: list[tuple] = []
+
+            def drain():
+                x, t = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+                of = np.repeat([h[2] for h in held], [len(h[0]) for h in held])
+                for at in range(0, len(x), SCORED):
+                    sums = log_probabilities(w, x[at : at + SCORED], t[at : at + SCORED]).sum(axis=1, dtype=np.float64)
+                    np.add.at(total, of[at : at + SCORED], sums / LN10)
+                held.clear()
+
+            n = 0
+            for row, ids in enumerate(batch.column(batch.num_columns - 1)):
+                ids = ids.as_buffer()
+                own = np.frombuffer(ids, "<u2")
+                sizes[row] = len(own) + 1
+                total[row] += share[own].sum()
+                for piece in pieces(kind, ids):
+                    held.append((*piece, row))
+                    n += len(piece[0])
+                    if n >= PIECE:
+                        drain()
+                        n = 0
+            if held:
+                drain()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(total), pa.array(sizes)], names=[*batch.schema.names[:-1], "score", "n_subwords"])
 
     return run
 
@@ -410,7 +493,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     spark = docs.sparkSession
     key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
     held_out = F.crc32(key.cast("binary")) % 5 == 1
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), held_out.alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"), key.alias("key"))
+    row = F.monotonically_increasing_id()  # stands still once the ids are stored
+    rows = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("id"), held_out.alias("held_out"), F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(ROUNDS)).cast("int").alias("round"), F.col(f"`{text_col}`").cast("string").alias("text"))
     training = rows.where(~F.col("held_out"))
     ranks = spark.sparkContext.broadcast(vocabulary(path))
     counts = word_counts(training.select("text"))
@@ -429,24 +513,27 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     known = {r["word"].encode(): float(np.log10(r["n"] + 0.5)) for r in counts.where(octave >= cut).collect()}
     frequent = spark.sparkContext.broadcast((known, float(np.log10(ends + 0.5)) if ends else None))
 
+    made = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("ids", T.BinaryType()), ("rare", T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])))]
+    schema = T.StructType([*rows.schema.fields[:-1], *[T.StructField(k, t) for k, t in made]])
+    encoded = stored(rows.mapInArrow(_encoder(ranks, frequent), schema), "encoded")
+
     encoding = Tokenizer(ranks.value).encoding
-    initial = np.zeros(1 << 16, bool)
-    for i in range(encoding.n_vocab):
-        initial[i] = encoding.decode_single_token_bytes(i)[:1] == b" "
-    ids = subword_counts(counts, ranks)
-    kind, share, sums = classes(ids[: encoding.n_vocab], initial[: encoding.n_vocab], ends)
-    table = spark.sparkContext.broadcast((kind, share))
-    weights = train(training.select("key", "text"), initial_weights(sums), table, ranks) if ends else initial_weights(sums)
-
-    run = _scorer(spark.sparkContext.broadcast(weights), table, ranks, frequent)
-    parts = rows.select("row", "text").mapInArrow(run, _SCORED.replace("doc_key string, ", ""))
-    parts = stored(parts, "scored")
-    rare = parts.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
+    initial = np.array([encoding.decode_single_token_bytes(i)[:1] == b" " for i in range(encoding.n_vocab)])
+    learned = encoded.where(~F.col("held_out"))
+    kind, share, sums = classes(subword_counts(learned.select("ids"))[: encoding.n_vocab], initial, ends)
+    weights = initial_weights(sums)
+    if ends:
+        weights = train(learned.select("round", "ids"), weights, spark.sparkContext.broadcast(kind))
+
+    kept = encoded.select("row", "id", "held_out", "n_tokens", "n_known", "base", "ids")
+    schema = T.StructType([*kept.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("n_subwords", T.LongType())])
+    out = kept.mapInArrow(_scorer(spark.sparkContext.broadcast(weights), spark.sparkContext.broadcast((kind, share))), schema)
+    rare = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
     less = counts.where(octave < cut).select("word", F.col("n").alias("c"))
     rare = rare.join(less, "word", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_base"), F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known")
     )
-    out = rows.select("row", "id", "held_out").join(parts.drop("rare"), "row").join(rare, "row", "left")
+    out = out.join(rare, "row", "left")
     norm = float(np.log10(n + 0.5 * (v + 1)))
     # without training documents the end is as unknown as any word
     unseen_end = 0.0 if ends else float(np.log10(0.5))

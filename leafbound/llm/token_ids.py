@@ -72,10 +72,10 @@ class Tokenizer:
 
 
 def tokenizer(ranks) -> Tokenizer:
-    """The worker's tokenizer for a broadcast vocabulary; made once per process."""
-    if "t" not in _OWN:
-        _OWN["t"] = Tokenizer(ranks.value)
-    return _OWN["t"]
+    """The worker's tokenizer for a broadcast vocabulary; made once per process, anew when another vocabulary was sent."""
+    if _OWN.get("ranks") != ranks.value:
+        _OWN.update(ranks=ranks.value, tokenizer=Tokenizer(ranks.value))
+    return _OWN["tokenizer"]
 
 
 class Capacities:
