@@ -47,9 +47,9 @@ from .token_ids import Tokenizer, tokenizer, vocabulary
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 CONTEXT, STRIDE, WIDTH, HIDDEN, GROUPS, MEMBERS, BINS = 32, 28, 16, 16, 32, 32, 64
 CLASSES, LAST = GROUPS * MEMBERS, WIDTH - 1
-ROUNDS, BATCH, POOL, RATE, SEED, FAN = 3, 256, 4096, 0.012, 11, 16
+ROUNDS, BATCHES, POOL, RATE, SEED, FAN = 3, (128, 256, 256), 4096, 0.012, 11, 16
 SCORED, PIECE, CHUNK = 512, 4096, 100_000
-TOP_WORDS, CACHE, COUNTER, LN10 = 200_000, 500_000, 300_000, float(np.log(10))
+TOP_WORDS, CACHE, COUNTER, LN10 = 200_000, 500_000, 500_000, float(np.log(10))
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -57,6 +57,11 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_LOWER).split()
 
 
+def strings(words) -> pa.Array:
+    """Words, which are whole UTF-8 sequences, as an array of strings."""
+    return pa.array(list(words), pa.binary()).view(pa.string())
+
+
 # ---- counting
 
 
@@ -64,7 +69,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+        return pa.RecordBatch.from_arrays([strings(seen), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
     for batch in batches:
         for text in batch.column(0):
@@ -283,7 +288,7 @@ class Adam:
 
     def step(self, g: dict) -> None:
         self.t += 1
-        rate, a, b = np.float32(self.rate * min(1.0, self.t / 20)), np.float32(1 - 0.9**self.t), np.float32(1 - 0.99**self.t)
+        rate, a, b = np.float32(self.rate * min(1.0, self.t / 10)), np.float32(1 - 0.9**self.t), np.float32(1 - 0.99**self.t)
         for k, x in self.w.items():
             m, v, some = self.m[k], self.v[k], g[k]
             if k == "e":  # rows that weren't met stand still
@@ -305,19 +310,31 @@ class Subwords(dict):
 
     def __init__(self, encoding, known: dict):
         super().__init__()
-        self.encode, self.known = encoding.encode_ordinary, known
+        self.encode, self.known, self.initial = encoding.encode_ordinary, known, initial(encoding)
 
-    def __missing__(self, word: bytes) -> tuple[bytes, float]:
-        got = self[word] = array("H", self.encode(" " + word.decode("utf-8", "replace"))).tobytes(), self.known.get(word, math.nan)
-        return got
+    def learn(self, words: list[bytes]) -> None:
+        """New words in one go: no piece reaches over a space, and each word's first piece alone begins with one."""
+        ids = np.array(self.encode(" " + b" ".join(words).decode("utf-8", "replace")), np.uint16)
+        starts, raw, known = np.flatnonzero(self.initial[ids]), ids.tobytes(), self.known.get
+        ends = [*(2 * starts[1:]).tolist(), len(raw)]
+        for word, a, b in zip(words, (2 * starts).tolist(), ends, strict=True):
+            self[word] = raw[a:b], known(word, math.nan)
 
     def of(self, words: list[bytes]) -> tuple[bytes, np.ndarray]:
         if len(self) > CACHE:
             self.clear()
-        got = list(map(self.__getitem__, words))
+        got = list(map(self.get, words))
+        if None in got:
+            self.learn(list({w for w, g in zip(words, got, strict=True) if g is None}))
+            got = [self[w] if g is None else g for w, g in zip(words, got, strict=True)]
         return b"".join([g[0] for g in got]), np.array([g[1] for g in got])
 
 
+def initial(encoding) -> np.ndarray:
+    """Which ids begin a word."""
+    return np.array([encoding.decode_single_token_bytes(i)[:1] == b" " for i in range(encoding.n_vocab)])
+
+
 def windows(ids: np.ndarray, first: int, last: int, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Windows first..last - 1 of a text's class ids, the end token included: inputs (n, CONTEXT) and targets (n, stride)."""
     n, size = last - first, len(ids)
@@ -330,7 +347,7 @@ def windows(ids: np.ndarray, first: int, last: int, stride: int = STRIDE) -> tup
     targets = np.full(n * stride, -1, np.int16)
     some = ids[first * stride : min(last * stride, size)]
     targets[: len(some)] = some
-    return np.lib.stride_tricks.sliding_window_view(inputs, CONTEXT)[::stride], targets.reshape(n, stride)
+    return np.ndarray((n, CONTEXT), np.int16, inputs, strides=(2 * stride, 2)), targets.reshape(n, stride)
 
 
 def pieces(kind: np.ndarray, ids, stride: int = STRIDE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -401,8 +418,8 @@ def train(encoded: DataFrame, weights: dict, kind) -> dict:
             def learn():
                 ids, targets = (np.concatenate([h[i] for h in held]) for i in (0, 1))
                 mix = np.random.default_rng(total).permutation(len(ids))
-                for at in range(0, len(mix), BATCH):
-                    some = mix[at : at + BATCH]
+                for at in range(0, len(mix), BATCHES[round_]):
+                    some = mix[at : at + BATCHES[round_]]
                     adam.step(gradients(w, ids[some], targets[some]))
 
             for batch in batches:
@@ -433,9 +450,8 @@ def _encoder(ranks, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, end = frequent.value
         subwords = Subwords(tokenizer(ranks).encoding, known)
-        rare_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
         for batch in batches:
-            n_tokens, n_known, base, ids, rares = [], [], [], [], []
+            n_tokens, n_known, base, ids, rare_words, rare_counts, ends = [], [], [], [], [], [], [0]
             for text in batch.column(batch.num_columns - 1):
                 words, parts, rare = words_of(text.as_py()), [], Counter()
                 sums, found = 0.0 if end is None else end, int(end is not None)
@@ -453,8 +469,11 @@ def _encoder(ranks, frequent):
                 n_known.append(found)
                 base.append(sums)
                 ids.append(b"".join(parts))
-                rares.append([{"word": k.decode("utf-8", "replace"), "n": v} for k, v in rare.items()])
-            made = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(ids, pa.binary()), pa.array(rares, rare_type)]
+                rare_words.extend(rare)
+                rare_counts.extend(rare.values())
+                ends.append(len(rare_words))
+            rares = pa.StructArray.from_arrays([strings(rare_words), pa.array(rare_counts, pa.int64())], ["word", "n"])
+            made = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rares)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "n_tokens", "n_known", "base", "ids", "rare"])
 
     return run
@@ -525,9 +544,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     encoded = stored(rows.mapInArrow(_encoder(ranks, frequent), schema), "encoded")
 
     encoding = Tokenizer(ranks.value).encoding
-    initial = np.array([encoding.decode_single_token_bytes(i)[:1] == b" " for i in range(encoding.n_vocab)])
     learned = encoded.where(~F.col("held_out"))
-    kind, share, sums = classes(subword_counts(learned.select("ids"))[: encoding.n_vocab], initial, ends)
+    kind, share, sums = classes(subword_counts(learned.select("ids"))[: encoding.n_vocab], initial(encoding), ends)
     weights = initial_weights(sums)
     if ends:
         weights = train(learned.select("round", "ids"), weights, spark.sparkContext.broadcast(kind))
