@@ -10,12 +10,15 @@ A key shared by more than BUCKET_LIMIT lines isn't paired out when EDITS is 1. I
 instead: the whole line but one of PIECES pieces, which one edit leaves alone too. What meets is verified
 with a banded bit-parallel edit distance (three bits a step), written as a fold.
 
-Linked lines form classes; of each class the first occurrence by document id and line number stays.
+Linked lines form classes; of each class the first occurrence by document id and line number stays. A
+line that very many documents have is a partial minimum in every task, and never one task's work: firsts
+are matched to their places by row and line number, and lines to their classes by broadcast or salted joins.
 
 Defined cases: null and empty texts have no lines; short lines are never touched; null ids come last; of
 rows with equal ids, the one read first comes first; repeated rows lose their lines to the first; an empty
 table gives an empty result; `keep_lines` keeps other columns, whatever their names.
-Lines are told apart by 64-bit hashes, but no link is made without comparing the lines themselves.
+Very long lines take as many steps as they have characters, in one row; very long texts are one row's lines.
+Lines are told apart by 128-bit hashes, but no link is made without comparing the lines themselves.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, if_small, stored
+from .common import components, discard, if_small, join_skewed, stored
 
 EDITS, MIN_CHARS, BUCKET_LIMIT, PIECES = 1, 20, 16, 16
 
@@ -95,59 +98,68 @@ def within(x: str, y: str, edits: int) -> Column:
 def links(lines: DataFrame, edits: int = EDITS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """Pairs (a, b) of lids of all lines (lid, line, n) at most `edits` apart; lines is stored and distinct."""
     shared = _shared(lines, *_segment_keys(edits))
+    used = [shared]
     if edits == 1:
-        hot = shared.where(F.col("size") > bucket_limit).select("lid").distinct()
-        fine = _shared(lines.join(if_small(stored(hot, "hot")), "lid", "left_semi"), *_piece_keys())
+        hot = stored(shared.where(F.col("size") > bucket_limit).select("lid").distinct(), "hot")
+        fine = _shared(lines.join(if_small(hot), "lid", "left_semi"), *_piece_keys())
         met = _meeting(shared.where(F.col("size") <= bucket_limit)).union(_meeting(fine)).distinct()
+        used += [hot, fine]
     else:
         met = _meeting(shared)
     met = stored(met, "met")
     ids = stored(met.select(F.explode(F.array("a", "b")).alias("lid")).distinct(), "ids")
     texts = stored(lines.join(if_small(ids), "lid").select("lid", "line"), "texts")
     x, y = texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), texts.select(F.col("lid").alias("b"), F.col("line").alias("y"))
-    return stored(met.join(x, "a").join(y, "b").where(within("x", "y", edits)).select("a", "b"), "links")
+    found = stored(met.join(x, "a").join(y, "b").where(within("x", "y", edits)).select("a", "b"), "links")
+    discard(*used, met, ids, texts)
+    return found
 
 
 def _occurrences(rows: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
-    """rows: (_n, _id, _text). (_n, _id, at, lid, first: whether the occurrence stays, near, n_links) of long lines, and the links."""
+    """rows: (_n, _id, _text), stored. All long lines (_n, at, lid, class, n_links), and of each class its first occurrence (class, n, at, lid)."""
     trimmed = F.expr("transform(split(coalesce(_text, ''), '\n'), (l, i) -> struct(i AS at, regexp_replace(l, '^[ \t\x0b\x0c\r]+|[ \t\x0b\x0c\r]+$', '') AS line))")
     exploded = rows.select("_n", "_id", F.explode(trimmed).alias("l")).select("_n", "_id", "l.at", "l.line", F.char_length("l.line").alias("n")).where(F.col("n") >= MIN_CHARS)
-    exploded = exploded.select("_n", "_id", "at", F.xxhash64("line").alias("lid"), "line", "n")
+    exploded = exploded.select("_n", "_id", "at", F.unhex(F.md5(F.col("line").cast("binary"))).alias("lid"), "line", "n")
     seen = stored(exploded.select("_n", "_id", "at", "lid"), "occurrences")
     lines = stored(exploded.groupBy("lid").agg(F.first("line").alias("line"), F.first("n").alias("n")), "lines")
     pairs = links(lines, edits)
+    discard(lines)
     roots = components(pairs).selectExpr("node lid", "root")
     degree = pairs.select(F.explode(F.array("a", "b")).alias("lid")).groupBy("lid").agg(F.count("*").alias("n_links"))
     linked = stored(roots.join(degree, "lid"), "linked")
-    seen = seen.join(if_small(linked), "lid", "left").withColumn("class", F.coalesce("root", "lid"))
-    order = F.struct(F.col("_id").isNull().alias("no"), F.col("_id").alias("id"), F.col("_n").alias("n"), "at")
-    firsts = seen.groupBy("class").agg(F.min(F.struct(order.alias("o"), F.col("lid").alias("lid"))).alias("f"))
-    out = seen.join(firsts, "class")
-    return out.select(
-        "_n", "_id", "at", ((F.col("f.o.n") == F.col("_n")) & (F.col("f.o.at") == F.col("at"))).alias("first"),
-        (F.col("f.lid") != F.col("lid")).alias("near"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-    ), pairs
+    seen = join_skewed(seen, linked, "lid", F.col("_n")).select("_n", "_id", "at", "lid", F.coalesce("root", "lid").alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    order = F.struct(F.col("_id").isNull().alias("no"), F.col("_id").alias("id"), F.col("_n").alias("n"), F.col("at").alias("at"), F.col("lid").alias("lid"))
+    firsts = stored(seen.groupBy("class").agg(F.min(order).alias("f")).select("class", "f.n", "f.at", "f.lid", F.lit(True).alias("first")), "firsts")
+    return seen, firsts
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows numbered once and stored: a number that is worked out twice may fall on another row."""
+    return stored(docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"), F.monotonically_increasing_id().alias("_n")), "numbered")
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
-    """Per document: id, n_lines (long ones), n_exact and n_near (lines that go, as copies or near copies of an earlier line), n_links (links of its lines to other texts)."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"), F.monotonically_increasing_id().alias("_n"))
-    ids = stored(rows.select("_n", "_id"), "ids")
-    out, _ = _occurrences(rows, edits)
-    gone = ~F.col("first")
-    out = out.groupBy("_n").agg(
-        F.count("*").alias("n_lines"), F.count_if(gone & ~F.col("near")).alias("n_exact"), F.count_if(gone & F.col("near")).alias("n_near"), F.sum("n_links").alias("n_links")
-    )
-    zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_lines", "n_exact", "n_near", "n_links")]
-    return ids.join(out, "_n", "left").select(F.col("_id").alias(id_col), *zero)
+    """Per document: id, n_lines (long ones), n_exact and n_near (lines that go, as copies or near copies of an earlier line), n_links (links of its lines to other texts), line_classes (the class of each of its long lines, in order: the least of its lines' hashes)."""
+    rows = _numbered(docs, id_col, text_col)
+    seen, firsts = _occurrences(rows, edits)
+    kept = firsts.groupBy(F.col("n").alias("_n")).agg(F.count("*").alias("n_first"))
+    own = seen.groupBy("_n").agg(F.count("*").alias("n_lines"), F.sum("n_links").alias("n_links"), F.sort_array(F.collect_list(F.struct("at", "class"))).alias("c"))
+    # only lines with links can be near copies
+    linked = seen.where("n_links > 0")
+    heads = stored(firsts.join(linked.select("class").distinct(), "class", "left_semi").select("class", F.col("lid").alias("head")), "heads")
+    near = join_skewed(linked, heads, "class", F.col("_n"), "inner").where("lid <> head").groupBy("_n").agg(F.count("*").alias("n_near"))
+    out = rows.select("_n", "_id").join(own, "_n", "left").join(kept, "_n", "left").join(near, "_n", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    classes = F.coalesce(F.transform("c", lambda x: F.lower(F.hex(x["class"]))), F.array().cast("array<string>"))
+    return out.select(F.col("_id").alias(id_col), zero("n_lines").alias("n_lines"), (zero("n_lines") - zero("n_first") - zero("n_near")).alias("n_exact"), zero("n_near").alias("n_near"), zero("n_links").alias("n_links"), classes.alias("line_classes"))
 
 
 def keep_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
     """docs with the text of each row freed of lines that an earlier row or line has; the columns stay."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = stored(docs.select(row, F.monotonically_increasing_id().alias("_n")), "rows")
-    out, _ = _occurrences(rows.select("_n", F.col(f"_row.`{id_col}`").alias("_id"), F.col(f"_row.`{text_col}`").alias("_text")), edits)
-    gone = out.where(~F.col("first")).groupBy("_n").agg(F.collect_set("at").alias("_gone"))
+    seen, firsts = _occurrences(rows.select("_n", F.col(f"_row.`{id_col}`").alias("_id"), F.col(f"_row.`{text_col}`").alias("_text")), edits)
+    gone = seen.join(firsts.select(F.col("n").alias("_n"), "at", "first"), ["_n", "at"], "left").where("first IS NULL").groupBy("_n").agg(F.collect_set("at").alias("_gone"))
     rows = rows.join(gone, "_n", "left").withColumn("_l", F.split(F.col(f"_row.`{text_col}`"), "\n"))
     kept = F.array_join(F.expr("transform(filter(transform(_l, (l, i) -> struct(l AS l, i AS i)), x -> NOT array_contains(_gone, x.i)), x -> x.l)"), "\n")
     text = F.when(F.col("_gone").isNull(), F.col(f"_row.`{text_col}`")).otherwise(kept)

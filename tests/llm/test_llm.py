@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from leafbound.llm import classifier, decontaminate, html_text, licenses, line_dedup, lm_scoring, mixing, quality_rules, simhash, token_ids
+from leafbound.llm import classifier, common, decontaminate, html_text, licenses, line_dedup, lm_scoring, mixing, quality_rules, simhash, token_ids
 from leafbound.llm.common import components
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -227,13 +227,38 @@ def test_line_dedup(spark):
     line = "this is a line of more than twenty characters"
     rows = [(2, f"{line}\nshort\nshort"), (1, f"first\n{line}\n  {line}  "), (3, line.replace("line", "lime") + "\nother text that nobody else has at all"), (None, line), (4, None), (5, "")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r["doc_id"]: tuple(r)[1:] for r in line_dedup.measure(df).collect()}
+    out = line_dedup.measure(df).collect()
+    got = {r["doc_id"]: tuple(r)[1:5] for r in out}
+    classes = {r["doc_id"]: r["line_classes"] for r in out}
+    assert classes[1] == 2 * classes[2] == [*classes[None], classes[3][0]] and len(classes[3]) == 2 and classes[3][1] not in classes[1] and classes[4] == []
     assert got == {1: (2, 1, 0, 2), 2: (1, 1, 0, 1), 3: (2, 0, 1, 1), None: (1, 1, 0, 1), 4: (0, 0, 0, 0), 5: (0, 0, 0, 0)}
     kept = {r["doc_id"]: r["text"] for r in line_dedup.keep_lines(df).collect()}
     assert kept == {1: f"first\n{line}", 2: "short\nshort", 3: "other text that nobody else has at all", None: "", 4: None, 5: ""}
     assert line_dedup.measure(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_shuffled(spark, monkeypatch):
+    sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    plain = {r["doc_id"]: tuple(r)[1:5] for r in line_dedup.measure(sf).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    monkeypatch.setattr("leafbound.llm.common.FEW", 0)
+    monkeypatch.setattr(line_dedup, "join_skewed", lambda *a, **k: common.join_skewed(*a, **k, rows=0))  # the salted way
+    try:
+        got = {r["doc_id"]: tuple(r)[1:5] for r in line_dedup.measure(sf.repartition("doc_id")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == plain
+    for r in sf.collect():
+        assert plain[r["doc_id"]][0] == sum(len(x.strip(" \t\x0b\x0c\r")) >= line_dedup.MIN_CHARS for x in (r["text"] or "").split("\n"))
+
+
+def test_line_dedup_very_long(spark):
+    line = "abcdefgh " * 1000
+    rows = [(1, line + "x"), (2, line + "y"), (3, "\n".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(30_000)))]
+    got = {r["doc_id"]: tuple(r)[1:5] for r in line_dedup.measure(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1][:3] == (1, 0, 0) and got[2][:3] == (1, 0, 1) and got[3][0] == 30_000
+
+
 # ---- 5
 
 
