@@ -1,20 +1,31 @@
 """Main text of web pages from streaming parser events and smoothed text-to-tag ratios.
 
-The standard library's parser feeds blocks: runs of text between block-level tags, each with its number of
-characters and tags. Blocks in menus, forms, adverts and the like never count. The others' ratios of
-characters to tags are smoothed with a Gaussian, and those at or above one standard deviation form the
-content clusters. The clusters' characters decide between the page's regions: its articles, its main
-element, or else the innermost container that holds nearly all of them. All of the region's blocks are the
-text, short ones too.
-
-Defined cases: null and empty pages have empty text; pages without a region of content give what blocks
-are left; markup that never closes is closed by its parents; repeated rows repeat; pages of any length are
-read whole; other columns are ignored.
+The standard library's parser feeds blocks: runs of text between block-level tags, each with its characters,
+those within links, and its number of tags. Each block's ratio of unlinked characters to tags is smoothed with
+a Gaussian along the page; blocks at or above one standard deviation form the content clusters.
+
+Names of elements and classes only hint: a part they call a menu, an advert, comments and so on goes as
+long as there is content outside such parts: an article or main element, a first heading, or a fair share of
+all unlinked text. While there is none of these, the part with such a heading or else with the most text is
+taken for a wrapper and opened, so what wraps the whole page loses nothing, whatever it is called. What goes
+takes no part in the ratios.
+
+Of what is left, the clusters choose: their own blocks; those of an article or main element that holds
+clusters, and of a container with a cluster right in it; what stands between clusters; and headings before any of these.
+Blocks that are links for the most part are kept only in articles. Where articles hold nearly all
+clustered text, nothing outside them is kept.
+
+Defined cases: null and empty pages have empty text; pages without clusters give what blocks are left;
+markup that never closes is closed by its parents; nesting of any depth takes linear time and space;
+repeated rows repeat; pages of any length are read whole; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -23,100 +34,114 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-SIGMA, HELD = 1.0, 0.9
+#: Width of the smoothing in blocks; the share of unlinked text that counts as content outside hinted parts; the share of clustered text from which articles hold it all.
+SIGMA, REST, HELD = 1.0, 0.25, 0.8
 #: Elements by their role in HTML.
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre "
     "section summary table tbody td tfoot th thead title tr ul option select".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("head script style noscript template nav aside form button select textarea iframe object svg canvas dialog menu footer".split())
-OUTSIDE = frozenset(["header"])  # kept only as an article's or main element's own
+SILENT = frozenset("head script style noscript template button select textarea iframe object svg canvas".split())
+HINTED = frozenset("nav aside form dialog menu footer".split())
 CONTAINERS = frozenset("body div section article main td center".split())
-ENDS_P = BLOCKS - {"option", "select", "title", "head", "html", "body"}
+HEADINGS = "h1 h2 h3 h4 h5 h6".split()
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+HOLDS_P = frozenset("div section article main body td th li table blockquote form nav aside header footer".split())
+HOLDS_ITEMS = frozenset("ul ol dl table select menu".split())
+NO_END_OF_P = frozenset("option select title head html body".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 PARTS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus disclaimer gdpr login menu modal nav navbar navigation "
-    "newsletter notice notices pager pagination paywall popup promo promoted promotion reader-comments related replies respond search share sharing shares sidebar sidebars signup skip social sponsor sponsored subscribe "
+    "newsletter notice notices pager pagination paywall popup promo promoted promotion related replies respond search share sharing shares sidebar sidebars signup skip social sponsor sponsored subscribe "
     "subscription toolbar widget widgets".split()
 )
-PARTS_OUTSIDE = frozenset("header footer masthead topbar top-bar bottom".split())
-_PIECES, _HIDDEN = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])"), re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+PARTS_OUTSIDE = frozenset("header footer masthead topbar bottom".split())
+QUALIFIERS = frozenset("has no with without is not".split())
+_PIECES, _HIDDEN = re.compile(r"[_-]+|(?<=[a-z])(?=[A-Z])"), re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _REACH = int(3 * SIGMA + 0.5)
 KERNEL = np.exp(-0.5 * (np.arange(-_REACH, _REACH + 1) / SIGMA) ** 2)
 KERNEL /= KERNEL.sum()
 
 
+def hinted(tag: str, attrs: list, inside: bool) -> bool:
+    """Whether an element calls itself something other than content. inside: within an article or main element, which have headers and footers of their own."""
+    if tag in HINTED or (tag == "header" and not inside):
+        return True
+    for name, value in attrs:
+        if name == "hidden" or (name == "aria-hidden" and value == "true"):
+            return True
+        if not value:
+            continue
+        if (name == "role" and value.lower() in ROLES) or (name == "style" and _HIDDEN.search(value)):
+            return True
+        if name in ("class", "id"):
+            for token in value.split():
+                pieces = [x.lower() for x in _PIECES.split(token) if x]
+                ends = {pieces[0], pieces[-1]} if pieces and pieces[0] not in QUALIFIERS else set()
+                if ends & PARTS or (not inside and ends & PARTS_OUTSIDE):
+                    return True
+    return False
+
+
 class Blocks(HTMLParser):
-    """Blocks of a page: text, tags, containers it lies in. Blocks in parts that aren't content are left out."""
+    """Blocks of a page, and the nodes they lie in: containers and hinted elements, each with its parent."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple] = []  # (tag, excluded, containers, within an article or main)
-        self.blocks: list[tuple[str, int, tuple]] = []
+        self.nodes: list[tuple[int, str, bool]] = [(-1, "", False)]  # parent, tag, hinted
+        self.stack: list[tuple] = []  # (tag, silent, node, within an article or main, within a link)
+        self.open: Counter = Counter()
+        self.blocks: list[tuple[str, int, int, int, str]] = []  # text, linked characters, tags, node, heading or ""
         self.parts: list[str] = []
-        self.tags = self.n = 0
-        self.kind: dict[int, str] = {}
+        self.tags = self.linked = 0
 
     def _state(self) -> tuple:
-        return self.stack[-1] if self.stack else ("", False, (), False)
+        return self.stack[-1] if self.stack else ("", False, 0, False, False)
 
-    def _close_block(self) -> None:
+    def finish_block(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
-            _, excluded, containers, _ = self._state()
-            if text and not excluded:
-                self.blocks.append((text, self.tags, containers))
+            if text:
+                self.blocks.append((text, self.linked, self.tags, self._state()[2], next((h for h in HEADINGS if self.open[h]), "")))
             self.parts = []
-        self.tags = 0
-
-    def _excluded(self, tag: str, attrs: list, inside: bool) -> bool:
-        if tag in NEVER or (tag in OUTSIDE and not inside):
-            return True
-        for name, value in attrs:
-            if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
-            if not value:
-                continue
-            if name == "role" and value.lower() in ROLES:
-                return True
-            if name == "style" and _HIDDEN.search(value):
-                return True
-            if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-                pieces = {x.lower() for x in _PIECES.split(value)}
-                if pieces & PARTS or (not inside and pieces & PARTS_OUTSIDE):
-                    return True
-        return False
+        self.tags = self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
             if tag == "hr":
-                self._close_block()
+                self.finish_block()
             elif tag == "br":
                 self.parts.append(" ")
             self.tags += 1
             return
         if tag in BLOCKS:
-            self._close_block()
-            if tag in ENDS_P:
-                self._implied(("p",), ("div", "section", "article", "main", "body", "td", "th", "li", "table", "blockquote", "form", "nav", "aside", "header", "footer"))
+            self.finish_block()
+            if tag not in NO_END_OF_P:
+                self._implied(("p",), HOLDS_P)
             if tag in SIBLINGS:
-                self._implied(SIBLINGS[tag], ("ul", "ol", "dl", "table", "select", "menu"))
-        _, excluded, containers, inside = self._state()
-        excluded = excluded or self._excluded(tag, attrs, inside)
-        if tag in CONTAINERS:
-            self.n += 1
-            self.kind[self.n] = tag
-            containers = (*containers, self.n)
-        self.stack.append((tag, excluded, containers, inside or tag in ("article", "main")))
+                self._implied(SIBLINGS[tag], HOLDS_ITEMS)
+        _, silent, node, inside, link = self._state()
+        hint = not silent and tag not in ("html", "body", "article", "main") and hinted(tag, attrs, inside)
+        if hint or tag in CONTAINERS:
+            self.nodes.append((node, tag, hint))
+            node = len(self.nodes) - 1
+        self.stack.append((tag, silent or tag in SILENT, node, inside or tag in ("article", "main"), link or tag == "a"))
+        self.open[tag] += 1
         self.tags += 1
 
-    def _implied(self, tags: tuple, until: tuple) -> None:
+    def _cut(self, at: int) -> None:
+        """Closes the element at that place of the stack and all in it."""
+        self.open.subtract(x[0] for x in self.stack[at:])
+        del self.stack[at:]
+
+    def _implied(self, tags: tuple, until: frozenset) -> None:
         """The end tags that a new block stands for."""
+        if not any(self.open[t] for t in tags):
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] in tags:
-                del self.stack[i:]
+                self._cut(i)
                 return
             if self.stack[i][0] in until:
                 return
@@ -124,17 +149,16 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCKS:
-            tags = self.tags
-            self._close_block()
-            self.tags = 0 if tags else 0
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                return
+            self.finish_block()
+        if self.open[tag]:
+            self._cut(next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag))
 
     def handle_data(self, data: str) -> None:
-        if not self._state()[1]:
+        _, silent, _, _, link = self._state()
+        if not silent:
             self.parts.append(data)
+            if link:
+                self.linked += len(data.strip())
 
 
 def content(ratios: np.ndarray) -> np.ndarray:
@@ -146,6 +170,41 @@ def content(ratios: np.ndarray) -> np.ndarray:
     return (smooth >= ratios.std()) & (smooth > 0)
 
 
+def left_out(nodes: list[tuple[int, str, bool]], of: list[int], mass: list[float], first: list[bool]) -> list[bool]:
+    """For each node whether it lies in a hinted part that goes. Of the blocks: their nodes; their unlinked characters; whether they are a first heading."""
+    part, in_article = [-1] * len(nodes), [False] * len(nodes)  # the innermost hinted node of each
+    own, mains, parts = [0.0] * len(nodes), [False] * len(nodes), [[] for _ in nodes]
+    for i, (parent, tag, hint) in enumerate(nodes):
+        part[i] = i if hint else part[parent] if parent >= 0 else -1
+        in_article[i] = tag in ("article", "main") or (parent >= 0 and in_article[parent])
+        if hint and part[parent] >= 0:
+            parts[part[parent]].append(i)
+    free, main = 0.0, False  # what is in no hinted part
+    for n, m, h in zip(of, mass, first, strict=True):
+        is_main = h or in_article[n]
+        if part[n] < 0:
+            free, main = free + m, main or is_main
+        else:
+            own[part[n]], mains[part[n]] = own[part[n]] + m, mains[part[n]] or is_main
+    held, holds = list(own), list(mains)
+    for i in range(len(nodes) - 1, 0, -1):  # children come after their parents
+        if nodes[i][2] and (up := part[nodes[i][0]]) >= 0:
+            held[up], holds[up] = held[up] + held[i], holds[up] or holds[i]
+    top = [(not holds[i], -held[i], i) for i, n in enumerate(nodes) if n[2] and part[n[0]] < 0]
+    heapq.heapify(top)
+    opened, total = set(), sum(mass)
+    while top and not main and free <= REST * total:
+        _, _, i = heapq.heappop(top)
+        opened.add(i)
+        free, main = free + own[i], mains[i]
+        for j in parts[i]:
+            heapq.heappush(top, (not holds[j], -held[j], j))
+    out = [False] * len(nodes)
+    for i, (parent, _, hint) in enumerate(nodes):
+        out[i] = (hint and i not in opened) or (parent >= 0 and out[parent])
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page, blocks joined by newlines."""
     if not html:
@@ -153,23 +212,32 @@ def main_text(html: str | None) -> str:
     page = Blocks()
     page.feed(html)
     page.close()
-    page._close_block()
-    if not page.blocks:
+    page.finish_block()
+    nodes, blocks = page.nodes, page.blocks
+    gone = left_out(nodes, [b[3] for b in blocks], [max(0, len(b[0]) - b[1]) for b in blocks], [b[4] == "h1" for b in blocks])
+    blocks = [b for b in blocks if not gone[b[3]]]
+    if not blocks:
         return ""
-    sizes = np.array([len(b[0]) for b in page.blocks], float)
-    mass = np.where(content(sizes / np.array([max(1, b[1]) for b in page.blocks])), sizes, 0.0)
-    held: dict[int, float] = {}
-    for (_, _, containers), m in zip(page.blocks, mass, strict=True):
-        for c in containers:
-            held[c] = held.get(c, 0.0) + m
-    total = mass.sum()
-    for kind in ("article", "main"):
-        regions = {c for c, m in held.items() if page.kind[c] == kind and (m > 0 or not total)}
-        if regions and (not total or sum(m for b, m in zip(page.blocks, mass, strict=True) if regions & set(b[2])) >= 0.5 * total):
-            return "\n".join(b[0] for b in page.blocks if regions & set(b[2]))
-    # containers are numbered in page order, so of those that hold nearly everything the last one is innermost
-    region = max((c for c, m in held.items() if total and m >= HELD * total), default=None)
-    return "\n".join(b[0] for b in page.blocks if region is None or region in b[2])
+    sizes, linked, tags = (np.array(x, float) for x in zip(*((len(b[0]), b[1], max(1, b[2])) for b in blocks), strict=True))
+    plain = 2 * linked <= sizes
+    in_cluster = content(np.maximum(sizes - linked, 0) / tags) & plain
+    clustered = np.flatnonzero(in_cluster).tolist()
+    if not clustered:
+        return "\n".join(b[0] for b in blocks)
+    container, article = [-1] * len(nodes), [-1] * len(nodes)  # the innermost of each node; of articles the outermost
+    for i, (parent, tag, _) in enumerate(nodes):
+        container[i] = i if tag in CONTAINERS or parent < 0 else container[parent]
+        article[i] = article[parent] if parent >= 0 and article[parent] >= 0 else i if tag in ("article", "main") else -1
+    with_cluster = {container[blocks[i][3]] for i in clustered}
+    articles = {article[blocks[i][3]] for i in clustered} - {-1}
+    if sum(sizes[i] for i in clustered if article[blocks[i][3]] >= 0) >= HELD * sizes[clustered].sum():
+        return "\n".join(b[0] for b in blocks if article[b[3]] in articles)
+    kept = [
+        in_cluster[i] or article[b[3]] in articles or (plain[i] and (container[b[3]] in with_cluster or clustered[0] < i < clustered[-1])) for i, b in enumerate(blocks)
+    ]
+    for i in range(len(blocks) - 2, -1, -1):  # headings, from the last one up
+        kept[i] = kept[i] or (kept[i + 1] and bool(blocks[i][4]))
+    return "\n".join(b[0] for b, k in zip(blocks, kept, strict=True) if k)
 
 
 def _of_pages(pages: pd.Series) -> pd.Series:

@@ -70,10 +70,52 @@ def test_html_without_article():
     assert text.startswith("Long text") and text.endswith("Tail.") and "x" not in text.split("\n")[-1]
 
 
+ARTICLE = "<h1>Title</h1><p>" + "A long sentence of the article. " * 12 + "</p><p>Short one.</p><p>" + "More text that goes on and on. " * 10 + "</p>"
+PLAIN = "\n".join(["Title", " ".join(["A long sentence of the article."] * 12), "Short one.", " ".join(["More text that goes on and on."] * 10)])
+
+
+@pytest.mark.parametrize("before,after", [
+    ('<div class="layout has-sidebar"><article>', "</article></div>"), ('<div id="page" class="no-sidebar"><article>', "</article></div>"), ('<section class="notice"><article>', "</article></section>"),
+    ('<div class="social-policy-article">', "</div>"), ("<form><div>", "</div></form>"), ('<div class="elementor-widget-container"><div class="content">', "</div></div>"), ("<main>", "</main>"), ("<table><tr><td>", "</td></tr></table>"), ("", ""),
+])
+def test_html_wrappers(before, after):
+    noise = "<nav><a href=1>Home</a> <a href=2>News</a></nav><div class=ad>Buy this now.</div>"
+    foot = '<div class="comments"><p>' + "I say something about it all. " * 40 + "</p></div><footer>All rights</footer>"
+    assert html_text.main_text(f"<body>{noise}{before}{ARTICLE}{after}<div><a href=1>one</a><a href=2>two</a><a href=3>three</a></div>{foot}</body>") == PLAIN
+
+
+def test_html_parts_beside_the_body():
+    page = "<div class=page><h1>Title</h1><p>The lead of it.</p><div class=body><p>" + "Text of the body, a long one. " * 30 + "</p></div><section><p>The closing part of the page.</p></section></div>"
+    lines = html_text.main_text(page).split("\n")
+    assert lines[:2] == ["Title", "The lead of it."] and lines[-1] == "The closing part of the page."
+
+
+def test_html_clusters_decide(monkeypatch):
+    links = "<div>" + "".join(f"<p><i>{i}</i> <b>May</b></p>" for i in range(12)) + "</div>"
+    page = f"<body>{links}<div>{ARTICLE}</div>{links}</body>"
+    assert html_text.main_text(page) == PLAIN
+    import numpy as np
+
+    monkeypatch.setattr(html_text, "content", lambda ratios: np.ones(len(ratios), bool))
+    assert html_text.main_text(page) != PLAIN
+
+
+def test_html_deep_and_long():
+    import time
+
+    began = time.time()
+    assert html_text.main_text("<div class=nav>" * 50_000 + "deep text" + "</div>" * 50_000) == "deep text"
+    assert html_text.main_text("<b><p>" * 20_000 + "x" + "</i></p>" * 20_000) == "x"
+    assert len(html_text.main_text("<p>" + "words and more words " * 50 + "</p>" * 2 + "<p>next paragraph, a long one. " * 20_000).split("\n")) == 20_001
+    assert time.time() - began < 60
+
+
 def test_html_odd(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "plain text"), (4, "u", "<p>unclosed <b>deep" * 50), (4, "u", "<article></article>"), (5, "u", "&#x41;&bogus; <")]
     got = html_text.pages_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
     assert len(got) == 6 and all(r["n_chars"] == len(r["text"]) for r in got)
+    none = spark.createDataFrame([], "page_id bigint, url string, html string, text string, n_chars int")
+    assert html_text.pages_text(none).collect() == [] and html_text.pages_text(none).columns == ["page_id", "url", "text", "n_chars"]
     assert {r["page_id"]: r["text"] for r in got}[1] == "" and got[2]["text"] == "plain text"
 
 
