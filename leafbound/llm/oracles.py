@@ -25,27 +25,38 @@ FROM e JOIN x USING (host)
 
 
 def _licenses() -> str:
-    from .licenses import RIGHTS, SENTENCES, patterns
+    from .licenses import BLANK, END, LEADER, NUMBER, OTHER, RIGHTS, SHORT, VERSION, known, patterns
 
-    known = ", ".join(f"('{k}', '{v}')" for k, v in SENTENCES.items())
-    steps, at = [], "q0"
-    for i, (a, b, p) in enumerate(patterns(), 1):
-        steps.append(f"q{i} AS (SELECT * REPLACE (regexp_replace(rest, '{p}', '', 'g') AS rest, list_concat(found, list_transform(regexp_extract_all(rest, '{p}', 1), lambda v: '{a}' || v || '{b}')) AS found) FROM {at})")
-        at = f"q{i}"
-    return rf"""
-WITH k(n, i) AS (VALUES {known}),
-d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-s AS (SELECT r, doc_id, list_filter(string_split(regexp_replace(CASE WHEN regexp_matches(t, '{RIGHTS}') THEN t ELSE '' END, '([.!?;:])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)), lambda x: regexp_matches(x, '{RIGHTS}')) AS s FROM d),
-u AS (SELECT r, unnest(s) AS x, unnest(range(len(s))) AS o FROM s),
-m AS (SELECT u.r, u.o, '<' || k.i || '@' || regexp_extract(x, '\b([0-9]+(?:\.[0-9]+)*)', 1) || '>' AS e FROM u
-  JOIN k ON k.n = trim(regexp_replace(regexp_replace(x, '\b[0-9]+(?:\.[0-9]+)*', '#', 'g'), '[^a-z0-9#]+', ' ', 'g'))),
-g AS (SELECT r, count(*) AS n_known, string_agg(e, '' ORDER BY o) AS q FROM m GROUP BY r),
-q0 AS (SELECT s.doc_id, len(s.s) AS n_sentences, coalesce(n_known, 0) AS n_known, coalesce(q, '') AS q, coalesce(q, '') AS rest, []::varchar[] AS found FROM s LEFT JOIN g USING (r)),
+    table = ", ".join(f"('{k}', '{v}')" for k, v in known().items())
+
+    def reading(x: str, text: str) -> str:
+        """Tables that end in {x}z: (r, s, n_known, q, rest, found) of each document."""
+        steps, at = [], f"{x}q0"
+        for i, (a, b, p) in enumerate(patterns(), 1):
+            steps.append(f"{x}q{i} AS (SELECT * REPLACE (regexp_replace(rest, '{p}', '', 'g') AS rest, list_concat(found, list_transform(regexp_extract_all(rest, '{p}', 1), lambda v: '{a}' || v || '{b}')) AS found) FROM {at})")
+            at = f"{x}q{i}"
+        return rf"""
+{x}s AS (SELECT r, list_filter(string_split(regexp_replace(regexp_replace({text}, '{VERSION}', 'v \\1', 'g'), '{END}', '\1' || chr(10), 'g'), chr(10)), lambda x: regexp_matches(x, '{RIGHTS}')) AS s FROM d),
+{x}u AS (SELECT r, unnest(s) AS x, unnest(range(len(s))) AS o FROM {x}s),
+{x}m AS (SELECT r, o, '<' || k.i || '@' || regexp_extract(x, '\b([0-9]+(?:\.[0-9]+)*)', 1) || '>' AS e FROM {x}u
+  JOIN k ON k.n = trim(regexp_replace(regexp_replace(x, '{NUMBER}', '#', 'g'), '{OTHER}', ' ', 'g'))),
+{x}g AS (SELECT r, count(*) AS n_known, string_agg(e, '' ORDER BY o) AS q FROM {x}m GROUP BY r),
+{x}q0 AS (SELECT r, s, coalesce(n_known, 0) AS n_known, coalesce(q, '') AS q, coalesce(q, '') AS rest, []::varchar[] AS found FROM {x}s LEFT JOIN {x}g USING (r)),
 {", ".join(steps)},
-z AS (SELECT *, list_filter(found, lambda x, i: list_position(found, x) = i) AS l FROM {at})
-SELECT doc_id, n_sentences::bigint AS n_sentences, n_known::bigint AS n_known, q AS sentence_ids, array_to_string(l, ',') AS licenses,
-  (length(rest) - length(replace(rest, '>', '')))::bigint AS n_left,
-  CASE WHEN len(l) > 1 THEN 'several' WHEN len(l) = 1 THEN 'one' WHEN n_sentences > 0 THEN 'unknown' ELSE 'none' END AS verdict FROM z
+{x}z AS (SELECT * FROM {at})"""
+
+    joined = f"translate(regexp_replace(regexp_replace(t, '{LEADER}', '\\1', 'g'), '{BLANK}', chr(2), 'g'), chr(10) || chr(2), ' ' || chr(10))"
+    return rf"""
+WITH k(n, i) AS (VALUES {table}),
+c AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT r, doc_id, regexp_replace(CASE WHEN regexp_matches(t, '{RIGHTS}') THEN t ELSE '' END, '{SHORT}', chr(10) || chr(10) || 'spdx-license-identifier \1' || chr(10) || chr(10), 'g') AS t FROM c),
+{reading("l", "t")},
+{reading("p", joined)},
+b AS (SELECT d.doc_id, lz.n_known > pz.n_known AS by_line, lz, pz, CASE WHEN len(list_filter(regexp_extract_all(lz.q, '<([^@>]*)@', 1), lambda x: NOT list_contains(regexp_extract_all(pz.q, '<([^@>]*)@', 1), x))) > 0 THEN list_concat(pz.found, lz.found) ELSE pz.found END AS f FROM d JOIN lz ON d.r = lz.r JOIN pz ON d.r = pz.r),
+w AS (SELECT doc_id, CASE WHEN by_line THEN lz ELSE pz END AS z, len(lz.s) > 0 OR len(pz.s) > 0 AS speaks, list_filter(f, lambda x, i: list_position(f, x) = i) AS l FROM b)
+SELECT doc_id, len(z.s)::bigint AS n_sentences, z.n_known::bigint AS n_known, z.q AS sentence_ids, array_to_string(l, ',') AS licenses,
+  (length(z.rest) - length(replace(z.rest, '>', '')))::bigint AS n_left,
+  CASE WHEN len(l) > 1 THEN 'several' WHEN len(l) = 1 THEN 'one' WHEN speaks THEN 'unknown' ELSE 'none' END AS verdict FROM w
 """
 
 

@@ -583,6 +583,67 @@ def test_licenses(spark):
     assert got == {1: ("MIT", "one"), 2: ("Apache-2.0", "one"), 3: ("Apache-2.0,CC-BY-NC-4.0", "several"), 4: ("", "unknown"), 5: ("", "none"), 6: ("", "none"), 7: ("GPL-3", "one"), 8: ("", "none")}
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = """Copyright (c) 2020, A. Author. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES."""
+NAMES = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+APACHE_FULL = "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   APPENDIX: How to apply the Apache License to your work.\n\n" + APACHE
+GPL_FULL = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Preamble\n\n  The GNU General Public License is a free, copyleft license for software and other kinds of works.\n\n" + GPL
+
+
+@pytest.mark.parametrize("leader", ["", "# ", " * ", "// "])
+def test_full_licenses(spark, leader):
+    import textwrap
+
+    texts = {"MIT": MIT, "BSD-2-Clause": BSD.format(""), "BSD-3-Clause": BSD.format(NAMES), "Apache-2.0": APACHE, "GPL-3-or-later": GPL, "MPL-2.0": MPL}
+    wrap = lambda t: "\n".join(leader + line for p in t.split("\n") for line in (textwrap.wrap(p, 72) or [""]))
+    rows = [(k, f(v)) for k, v in texts.items() for f in (lambda t: t, wrap, lambda t: "Read this\n\n" + wrap(t) + "\n\nmore")]
+    rows += [("Apache-2.0", APACHE_FULL), ("GPL-3", GPL_FULL), ("MIT", "This project is licensed\nunder the MIT License."), ("MIT", "x\n" + leader + "SPDX-License-Identifier: MIT\nint x;"), ("GPL-2.0-or-later", "// SPDX-License-Identifier: GPL-2.0-or-later"), ("MIT", "no full stop before\nReleased under the MIT License.")]
+    out = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string").withColumn("_t", F.lit(1)).withColumn("_p", F.lit(2))).collect()
+    assert [(r["doc_id"], r["licenses"]) for r in out] == [(k, k) for k, _ in rows]
+
+
+def test_licence_tables():
+    known = licenses.known()
+    assert {i for _, ids in licenses.RULES for i in ids} <= set(known.values())
+    for k in known:  # no sentence that the splitter would cut, or that isn't looked up
+        assert re.search(licenses.RIGHTS, k) and k == re.sub(licenses.OTHER, " ", k).strip()
+
+
+def test_licenses_odd(spark):
+    assert licenses.scan(docs(spark, [])).count() == 0
+    got = licenses.scan(docs(spark, [(1, "Released under the MIT License. " * 20_000, "en", "s", 0), (2, MIT, "en", "s", 0), (2, MIT, "en", "s", 0)])).collect()
+    assert [(r["licenses"], r["n_known"]) for r in got] == [("MIT", 20_000), ("MIT", 4), ("MIT", 4)]
+
+
 # ---- 10
 
 
