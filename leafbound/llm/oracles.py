@@ -65,13 +65,13 @@ SQL["op9_licenses"] = _licenses()
 SQL["op3_decontamination"] = r"""
 WITH s(c) AS (VALUES ('[\x00-\x2F\x3A-\x60\x7B-\x7F]+')),
 d AS (SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), (SELECT c FROM s)), lambda x: x <> '') AS w FROM documents),
-i AS (SELECT item_id::varchar AS item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), (SELECT c FROM s)), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT item_id::varchar AS item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), (SELECT c FROM s)), lambda x: x <> '') AS w FROM benchmark),
 j AS (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS p FROM i WHERE len(w) > 0),
 v AS (SELECT DISTINCT item, n, array_to_string(w[p:p + n - 1], ' ') AS gram FROM j),
 g AS (SELECT k, n, p, array_to_string(w[p:p + n - 1], ' ') AS gram FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM v))),
 h AS (SELECT DISTINCT k, p, n, item FROM g JOIN v USING (n, gram)),
 c AS (SELECT k, count(DISTINCT q) AS n_hit FROM (SELECT k, unnest(range(p, p + n)) AS q FROM h) GROUP BY k),
-t AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT k, item FROM h) GROUP BY k)
+t AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT k, item FROM h WHERE item IS NOT NULL) GROUP BY k)
 SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN c USING (k) LEFT JOIN t USING (k)
 """

@@ -184,13 +184,13 @@ def brute_contamination(rows, items):
         w, hit, found = words(text), set(), set()
         for item, t in items:
             iw = words(t)
-            if not iw or item is None:
+            if not iw:
                 continue
             n = min(13, len(iw))
             grams = {tuple(iw[i : i + n]) for i in range(len(iw) - n + 1)}
             for i in range(len(w) - n + 1):
                 if tuple(w[i : i + n]) in grams:
-                    found.add(str(item))
+                    found |= {str(item)} - {"None"}
                     hit.update(range(i, i + n))
         sha = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         out.append((doc_id, len(w), len(hit), len(found), sha, bool(hit) and 20 * len(hit) >= len(w)))
@@ -212,6 +212,23 @@ def test_decontamination(spark, limit):
     assert sorted(repr(tuple(r)) for r in got.collect()) == brute_contamination(rows, items)
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_decontamination_long(spark, limit, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 64)
+    rng = random.Random(4)
+    long = " ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(700))
+    rows = [(i, "x " + " ".join(long.split()[at : at + 14]) + " y " * 3) for i, at in enumerate([*range(0, 680, 17), 56, 57, 63, 64, 65, 116])] + [(100, long), (101, long * 30)]
+    got = decontaminate.measure(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(1, long), (None, long[:100])], "item_id bigint, text string"), limit=limit)
+    assert sorted(repr(tuple(r)) for r in got.collect()) == brute_contamination(rows, [(1, long), (None, long[:100])])
+
+
+def test_decontamination_of_a_very_long_item(spark):
+    item = " ".join(f"w{i * 7919 % 100_003}" for i in range(200_000))
+    rows = [(1, " ".join(item.split()[150_000:150_040])), (2, "clean words only")]
+    got = {r["doc_id"]: r["n_hit"] for r in decontaminate.measure(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()}
+    assert got == {1: 40, 2: 0}
+
+
 def test_keep_clean(spark):
     item = " ".join(f"word{i}" for i in range(20))
     rows = [(1, item + " more"), (2, "clean text"), (3, None), (None, "clean"), (2, item)]
