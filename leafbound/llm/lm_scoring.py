@@ -45,16 +45,17 @@ from .common import stored
 from .token_ids import Tokenizer, tokenizer, vocabulary
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-CONTEXT, STRIDE, WIDTH, HIDDEN, GROUPS, MEMBERS, BINS = 32, 28, 16, 16, 32, 32, 64
+CONTEXT, STRIDE, WIDTH, HIDDEN, GROUPS, MEMBERS, BINS = 24, 20, 16, 16, 24, 32, 64
 CLASSES, LAST = GROUPS * MEMBERS, WIDTH - 1
-ROUNDS, BATCHES, POOL, RATE, SEED, FAN = 3, (128, 256, 256), 4096, 0.012, 11, 16
-SCORED, PIECE, CHUNK = 512, 4096, 100_000
+ROUNDS, BATCHES, POOL, RATE, SEED, FAN = 3, (160, 320, 320), 5120, 0.012, 11, 16
+SCORED, PIECE, CHUNK = 640, 5120, 100_000
 TOP_WORDS, CACHE, COUNTER, LN10 = 200_000, 500_000, 500_000, float(np.log(10))
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").translate(_LOWER).split()
+def words_of(text: pa.StringScalar) -> list[bytes]:
+    raw = text.as_buffer()
+    return raw.to_pybytes().translate(_LOWER).split() if raw else []
 
 
 def strings(words) -> pa.Array:
@@ -73,7 +74,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column(0):
-            words = words_of(text.as_py())
+            words = words_of(text)
             for at in range(0, len(words), CHUNK):
                 seen.update(words[at : at + CHUNK])
                 if len(seen) > COUNTER:
@@ -453,7 +454,7 @@ def _encoder(ranks, frequent):
         for batch in batches:
             n_tokens, n_known, base, ids, rare_words, rare_counts, ends = [], [], [], [], [], [], [0]
             for text in batch.column(batch.num_columns - 1):
-                words, parts, rare = words_of(text.as_py()), [], Counter()
+                words, parts, rare = words_of(text), [], Counter()
                 sums, found = 0.0 if end is None else end, int(end is not None)
                 for at in range(0, len(words), CHUNK):
                     some = words[at : at + CHUNK]

@@ -434,7 +434,7 @@ def test_lm_rare_words_take_the_join(spark, small, monkeypatch):
 def test_lm_windows_score_each_token_once(stride):
     import numpy as np
 
-    for n in (1, 5, 27, 28, 29, 31, 32, 33, 100, 257):
+    for n in (1, 5, 19, 20, 21, 23, 24, 25, 28, 32, 100, 257):
         ids = (np.arange(1, n + 1) % 50).astype(np.int16)
         count = -(-n // stride)
         for cut in {0, count // 2}:  # in one piece or two
@@ -479,7 +479,7 @@ def test_lm_gradients(monkeypatch, stride):
     w = {k: v.astype(float) for k, v in lm_scoring.initial_weights(rng.integers(1, 9, lm_scoring.CLASSES)).items()}
     x, t = rng.integers(0, lm_scoring.CLASSES, (2, lm_scoring.CONTEXT)), rng.integers(0, lm_scoring.CLASSES, (2, stride))
     x[0, :9], t[1, -4:] = -1, -1
-    t[0, : stride - 23] = -1  # where its inputs are padding
+    t[0, : stride - 15] = -1  # where its inputs are padding
     g = lm_scoring.gradients(w, x, t)
     rows, some = g["e"]
     g["e"] = np.zeros_like(w["e"])
