@@ -8,6 +8,7 @@ with function names put into the other dialect, gives the SQL that checks it.
 
 from __future__ import annotations
 
+import importlib
 import re
 import uuid
 from dataclasses import dataclass
@@ -102,8 +103,15 @@ def oracle(name: str) -> str:
     return f"WITH {', '.join(parts)} SELECT * FROM {name}"
 
 
+def oracle_over(name: str, sql: str) -> str:
+    """DuckDB SQL written for itself, over the result of an operator that both dialects share."""
+    parts = [f"{n} AS ({for_duckdb(_INPUT.sub(r'\1', OPS[n].sql))})" for n in _order(name, {})]
+    return f"WITH {', '.join(parts)} SELECT * FROM ({sql})"
+
+
 def apply(name: str, **frames: DataFrame) -> DataFrame:
     """The operator over given DataFrames; inputs that aren't given are derived from others that are."""
+    importlib.import_module("leafbound.operators.catalogue")  # declares the operators
     spark = next(iter(frames.values())).sparkSession if frames else SparkSession.active()
     names: dict[str, str] = {}
 
