@@ -115,13 +115,17 @@ def links(lines: DataFrame, edits: int = EDITS, bucket_limit: int = BUCKET_LIMIT
     return found
 
 
-def _occurrences(rows: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
-    """rows: (_n, _id, _text), stored. All long lines (_n, at, lid, class, n_links), and of each class its first occurrence (class, n, at, lid)."""
-    trimmed = F.expr("transform(split(coalesce(_text, ''), '\n'), (l, i) -> struct(i AS at, regexp_replace(l, '^[ \t\x0b\x0c\r]+|[ \t\x0b\x0c\r]+$', '') AS line))")
-    exploded = rows.select("_n", "_id", F.explode(trimmed).alias("l")).select("_n", "_id", "l.at", "l.line", F.char_length("l.line").alias("n")).where(F.col("n") >= MIN_CHARS)
-    exploded = exploded.select("_n", "_id", "at", F.unhex(F.md5(F.col("line").cast("binary"))).alias("lid"), "line", "n")
-    seen = stored(exploded.select("_n", "_id", "at", "lid"), "occurrences")
-    lines = stored(exploded.groupBy("lid").agg(F.first("line").alias("line"), F.first("n").alias("n")), "lines")
+def _occurrences(rows: DataFrame, edits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows: (_n, _id, _text). All rows (_n, _id); all long lines (_n, at, lid, class, n_links); and of each class its first occurrence (class, n, at, lid).
+
+    Rows and lines come from one stored table: a number that is worked out twice may fall on another row."""
+    trimmed = F.expr(f"""filter(transform(split(coalesce(_text, ''), '\n'), (l, i) -> struct(i AS at, regexp_replace(l, '^[ \t\x0b\x0c\r]+|[ \t\x0b\x0c\r]+$', '') AS line)), x -> char_length(x.line) >= {MIN_CHARS})""")
+    lid = F.unhex(F.md5(F.col("l.line").cast("binary")))
+    row = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("line")))  # stands for the row itself
+    seen = stored(rows.select("_n", "_id", F.explode(F.concat(row, trimmed)).alias("l")).select("_n", "_id", "l.at", lid.alias("lid")), "occurrences")
+    ids, seen = seen.where("at < 0").select("_n", "_id"), seen.where("at >= 0")
+    lines = rows.select(F.explode(trimmed).alias("l")).select(lid.alias("lid"), "l.line").groupBy("lid").agg(F.first("line").alias("line"))
+    lines = stored(lines.withColumn("n", F.char_length("line")), "lines")
     pairs = links(lines, edits)
     discard(lines)
     roots = components(pairs).selectExpr("node lid", "root")
@@ -130,25 +134,20 @@ def _occurrences(rows: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
     seen = join_skewed(seen, linked, "lid", F.col("_n")).select("_n", "_id", "at", "lid", F.coalesce("root", "lid").alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     order = F.struct(F.col("_id").isNull().alias("no"), F.col("_id").alias("id"), F.col("_n").alias("n"), F.col("at").alias("at"), F.col("lid").alias("lid"))
     firsts = stored(seen.groupBy("class").agg(F.min(order).alias("f")).select("class", "f.n", "f.at", "f.lid", F.lit(True).alias("first")), "firsts")
-    return seen, firsts
-
-
-def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows numbered once and stored: a number that is worked out twice may fall on another row."""
-    return stored(docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"), F.monotonically_increasing_id().alias("_n")), "numbered")
+    return ids, seen, firsts
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
     """Per document: id, n_lines (long ones), n_exact and n_near (lines that go, as copies or near copies of an earlier line), n_links (links of its lines to other texts), line_classes (the class of each of its long lines, in order: the least of its lines' hashes)."""
-    rows = _numbered(docs, id_col, text_col)
-    seen, firsts = _occurrences(rows, edits)
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"), F.monotonically_increasing_id().alias("_n"))
+    ids, seen, firsts = _occurrences(rows, edits)
     kept = firsts.groupBy(F.col("n").alias("_n")).agg(F.count("*").alias("n_first"))
     own = seen.groupBy("_n").agg(F.count("*").alias("n_lines"), F.sum("n_links").alias("n_links"), F.sort_array(F.collect_list(F.struct("at", "class"))).alias("c"))
     # only lines with links can be near copies
     linked = seen.where("n_links > 0")
     heads = stored(firsts.join(linked.select("class").distinct(), "class", "left_semi").select("class", F.col("lid").alias("head")), "heads")
     near = join_skewed(linked, heads, "class", F.col("_n"), "inner").where("lid <> head").groupBy("_n").agg(F.count("*").alias("n_near"))
-    out = rows.select("_n", "_id").join(own, "_n", "left").join(kept, "_n", "left").join(near, "_n", "left")
+    out = ids.join(own, "_n", "left").join(kept, "_n", "left").join(near, "_n", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     classes = F.coalesce(F.transform("c", lambda x: F.lower(F.hex(x["class"]))), F.array().cast("array<string>"))
     return out.select(F.col("_id").alias(id_col), zero("n_lines").alias("n_lines"), (zero("n_lines") - zero("n_first") - zero("n_near")).alias("n_exact"), zero("n_near").alias("n_near"), zero("n_links").alias("n_links"), classes.alias("line_classes"))
@@ -158,7 +157,7 @@ def keep_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with the text of each row freed of lines that an earlier row or line has; the columns stay."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = stored(docs.select(row, F.monotonically_increasing_id().alias("_n")), "rows")
-    seen, firsts = _occurrences(rows.select("_n", F.col(f"_row.`{id_col}`").alias("_id"), F.col(f"_row.`{text_col}`").alias("_text")), edits)
+    _, seen, firsts = _occurrences(rows.select("_n", F.col(f"_row.`{id_col}`").alias("_id"), F.col(f"_row.`{text_col}`").alias("_text")), edits)
     gone = seen.join(firsts.select(F.col("n").alias("_n"), "at", "first"), ["_n", "at"], "left").where("first IS NULL").groupBy("_n").agg(F.collect_set("at").alias("_gone"))
     rows = rows.join(gone, "_n", "left").withColumn("_l", F.split(F.col(f"_row.`{text_col}`"), "\n"))
     kept = F.array_join(F.expr("transform(filter(transform(_l, (l, i) -> struct(l AS l, i AS i)), x -> NOT array_contains(_gone, x.i)), x -> x.l)"), "\n")
