@@ -40,7 +40,9 @@ op("w21_layout_similarity", "Mean likeness of columns, fonts, margins and orient
 op("w22_visual_continuity", "How a page breaks with its surroundings within two pages, nearer ones weighing more.", f"""
 SELECT file_id, page_number, CASE WHEN n = 0 THEN 0.5D ELSE 1 - s / CASE n WHEN 1 THEN 1D WHEN 2 THEN 1.5D WHEN 3 THEN 1.5D + 1 / 3D ELSE 1.5D + 1 / 3D + 0.25D END END AS break
 FROM (SELECT file_id, page_number, {" + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END" for c in ("c1", "c2", "c3", "c4"))} AS n, {" + ".join(f"coalesce({c} / {d}D, 0D)" for c, d in (("c1", 2), ("c2", 1), ("c3", 1), ("c4", 2)))} AS s
-  FROM (SELECT file_id, page_number, {", ".join(f"CASE WHEN {f}(num_columns, {k}) OVER w IS NULL THEN NULL ELSE (greatest(0D, 1 - 0.3D * abs(num_columns - {f}(num_columns, {k}) OVER w)) + CASE WHEN orientation = {f}(orientation, {k}) OVER w THEN 1D ELSE 0D END) / 2D END AS c{i}" for i, (f, k) in enumerate((("lag", 2), ("lag", 1), ("lead", 1), ("lead", 2)), 1))} FROM {{visual}} {W}))
+  FROM (SELECT file_id, page_number, {", ".join(f"CASE WHEN n{i}_num_columns IS NOT NULL THEN @sum(a{i}) / size(a{i}) END AS c{i}" for i in range(1, 5))}
+    FROM (SELECT file_id, page_number, {", ".join(f"n{i}_num_columns, filter({_SIM.replace('p_', f'n{i}_')}, v -> v IS NOT NULL) AS a{i}" for i in range(1, 5))}
+      FROM (SELECT file_id, page_number, {", ".join(f"{x} AS c_{x}, " + ", ".join(f"{f}({x}, {k}) OVER w AS n{i}_{x}" for i, (f, k) in enumerate((("lag", 2), ("lag", 1), ("lead", 1), ("lead", 2)), 1)) for x in ("num_columns", "font_size", *_margins, "orientation"))} FROM {{visual}} {W}))))
 """)
 op("w23_vlm_similarity", "Likeness of neighbouring pages: layout, header and footer, columns, white space, signature vectors.", """
 SELECT label AS file_id, vec_id AS page_number, bround(sim, 6) AS similarity, CASE WHEN sim < 0.3D THEN bround(1 - sim, 6) END AS confidence
