@@ -402,6 +402,24 @@ def test_simhash_documents(spark, small):
     assert len(kept) == len(set(group))
 
 
+def test_simhash_pivots(spark):
+    """The table's coordinates are the distances to the pivots, and their differences discard."""
+    x = 0x9F3C5A7711E0B2D4
+    signed = x - (1 << 64)
+    row = simhash._tabulated(spark.createDataFrame([(signed,)], "fp bigint")).first()
+    assert [row[f"coords{i // 8}"] >> 8 * (i % 8) & 127 for i in range(simhash.PIVOTS)] == [(x ^ p).bit_count() for p in simhash.pivots()]
+
+
+@pytest.mark.parametrize("hot", [1, 5, 10_000])
+def test_simhash_hot_fingerprints(spark, hot):
+    """Documents of common fingerprints get their group by broadcast, the others by the join; none twice, none lost."""
+    rows = [(i, "one common text of all" if i % 2 else f"text number {i} {i * i}", "en", "s", 0) for i in range(100)]
+    fps = common.stored(docs(spark, rows).select(F.col("doc_id").alias("_first"), simhash.fingerprints(F.col("text")).alias("fp")))
+    got = simhash._with_groups(fps, simhash._groups(fps), hot).collect()
+    assert sorted(r["_first"] for r in got) == list(range(100))
+    assert {r["_least"] for r in got if r["_first"] % 2} == {1}
+
+
 # ---- 7
 
 
