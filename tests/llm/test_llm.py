@@ -337,6 +337,83 @@ def test_classifier_odd(spark):
     assert classifier.score(docs(spark, []), labels.limit(0)).count() == 0
 
 
+def plain_cotraining(rows, labels):
+    """The same rules, densely and in one place: probabilities of one label for all rows."""
+    import numpy as np
+
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    xs = [np.zeros((len(rows), classifier.TEXT_DIMS)), np.zeros((len(rows), classifier.PAGE_DIMS))]
+    for n, r in enumerate(rows):
+        xs[0][n, [int(i) for i in classifier.text_view(r["text"])]] = [0.6 if i < 112 else 0.2 for i in classifier.text_view(r["text"])]
+        xs[1][n, classifier.page_view(r["lang"], r["source"], r["n_chars"])] = 0.2
+    y = np.array([labels.get(r["doc_id"], np.nan) for r in rows], float)
+    held = np.array([zlib.crc32(str(r["doc_id"]).encode()) % 4 == 0 for r in rows])
+    train, test, pool = ~np.isnan(y) & ~held, ~np.isnan(y) & held, np.isnan(y)
+    each = lambda y: np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    ws = []
+    for x in xs:
+        w, m, v = np.zeros(x.shape[1]), 0, 0
+        for t in range(1, 101):
+            g = x[train].T @ ((sig(x[train] @ w) - y[train]) * each(y[train])) + 1e-4 * w
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w - 0.3 * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        ws.append(w)
+    taught = []
+    for _ in range(3):
+        margins = [x[pool] @ w for x, w in zip(xs, ws)]
+        for _ in range(2):
+            new = []
+            for k, (x, w) in enumerate(zip(xs, ws)):
+                other = margins[1 - k]
+                sure = np.abs(other) > 2
+                label = (other[sure] > 0).astype(float)
+                sets = [(x[train], y[train])] + ([(x[pool][sure], label)] if 0 < label.sum() < len(label) else [])
+                taught.append(len(sets) - 1)
+                g = sum(z.T @ ((sig(z @ w) - q) * each(q)) for z, q in sets)
+                h = sum((z * (0.25 * each(q) * z.sum(1))[:, None]).sum(0) for z, q in sets)
+                new.append(w - (g + 1e-4 * w) / (h + 1e-4))
+            ws = new
+    scales = [classifier._small_fit((x[test] @ w)[:, None], y[test]) for x, w in zip(xs, ws)]
+    z = np.column_stack([a + b * (x @ w) for (a, b), x, w in zip(scales, xs, ws)])
+    mix = classifier._small_fit(z[test], y[test])
+    return sig(mix[0] + z @ mix[1:]), sum(taught)
+
+
+def test_classifier_against_plain(spark, monkeypatch):
+    """All rounds over 200 documents, in several partitions; some views teach."""
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 6000").orderBy("doc_id").limit(200)
+    ids = {r["doc_id"] for r in rows.select("doc_id").collect()}
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), int(i % 3 == 0)) for i in sorted(ids) if i % 7 < 4], "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: r for r in classifier.score(rows.repartition(7), labels).collect()}
+    taught = 0
+    for name, col in (("quality", "quality_score"), ("toxic", "toxic_score")):
+        want, n = plain_cotraining(rows.collect(), {r["doc_id"]: r[name] for r in labels.collect()})
+        taught += n
+        for r, p in zip(rows.collect(), want, strict=True):
+            assert got[r["doc_id"]][col] == pytest.approx(p, abs=1e-6)
+    assert taught > 0
+
+
+def test_classifier_views_are_apart(spark):
+    """The record's view stands still when the text changes, and the text's when the record does."""
+    labels = spark.createDataFrame([(i, i % 2, i // 2 % 2) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    rows = [(i, f"word{i % 2} text number {i}", "en", f"s{i % 4}", 20) for i in range(60)]
+    more = [(100, "one word1", "en", "s1", 20), (101, "TWO\n\n2 2 2!", "en", "s1", 20), (102, "one word1", "de", None, None)]
+    got = {r["doc_id"]: r for r in classifier.score(docs(spark, rows + more), labels).collect()}
+    assert got[100]["page_score"] == got[101]["page_score"] != got[102]["page_score"]
+    assert got[100]["text_score"] == got[102]["text_score"] != got[101]["text_score"]
+
+
+def test_classifier_odd_rows(spark):
+    """Clashing columns, one labelled id many times, very long texts."""
+    rows = docs(spark, [(i % 60, f"word{i % 2} " * (200_000 if i == 3 else 5), "en", "s", 5) for i in range(200)])
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    odd = rows.withColumn("i", F.lit("x")).withColumn("known", F.lit(1)).withColumn("y0", F.lit(2)).withColumn("page", F.lit(3)).withColumn("_v", F.lit(4))
+    got = classifier.score(odd, labels).collect()
+    assert len(got) == 200 and all((r["quality_score"] > 0.5) == (r["doc_id"] % 2 == 1) for r in got)
+
+
 # ---- 6
 
 
