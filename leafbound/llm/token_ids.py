@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-ROW, POOL_TOKENS, CACHE, END = 2048, 1 << 21, 200_000, 50256
+ROW, POOL_TOKENS, CACHE, END = 2048, 1 << 21, 100_000, 50256
 #: Fixed value: how byte-level BPE cuts text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SCHEMA = "bin_id string, n_tokens int, n_segments int, doc_ids array<bigint>, ordinals array<bigint>, pieces array<int>, cu_seqlens array<int>, position_resets array<int>, input_ids binary"
@@ -171,6 +171,8 @@ def _packer(ranks, row: int, pool_tokens: int):
                 yield from drain()
         pack()
         yield from drain(True)
+        encode.seen.clear()  # workers stay, idle, while other stages run
+        pa.default_memory_pool().release_unused()
 
     return run
 
