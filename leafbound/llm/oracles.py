@@ -97,3 +97,22 @@ o AS (SELECT t.*, whole, rest, md5('17|' || whole || '|' || coalesce(doc_id::var
 e AS (SELECT *, whole + (rest > 0 AND sum(n) OVER (PARTITION BY domain, lang, source ORDER BY h) <= rest)::int AS times FROM o)
 SELECT doc_id, domain, lang, source, n AS n_tokens, unnest(range(times))::bigint AS epoch FROM e
 """
+
+
+SQL["op11_source_divergence"] = r"""
+WITH d AS (SELECT coalesce(lang,'') lang, coalesce(source,'') source, row_number() over () k, coalesce(text,'') t FROM documents),
+w AS (SELECT k, lang, source, unnest(regexp_extract_all(translate(t,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) term FROM d),
+c AS (SELECT lang, term, source, count(*) n FROM w GROUP BY ALL),
+v AS (SELECT lang, term, count(DISTINCT k) docs, count(*) n FROM w GROUP BY ALL HAVING count(DISTINCT k) >= 30),
+l AS (SELECT lang, count(*) vv, sum(n)::hugeint nn FROM v GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+k AS (SELECT c.lang, c.source, c.term, c.n FROM c JOIN v USING (lang, term)),
+s AS (SELECT g.lang, g.source, coalesce(sum(k.n),0)::hugeint nn FROM g LEFT JOIN k USING (lang, source) GROUP BY ALL),
+p AS (SELECT s.lang, s.source, v.term, coalesce(k.n,0) n, (1 + 1000000000::hugeint*(coalesce(k.n,0)+5) // (s.nn + 5*l.vv))::bigint p, (1 + 1000000000::hugeint*(v.n+5) // (l.nn + 5*l.vv))::bigint q
+  FROM s JOIN l USING (lang) JOIN v USING (lang) LEFT JOIN k ON k.lang=s.lang AND k.source=s.source AND k.term=v.term),
+e AS (SELECT a.lang, a.source, b.source item, sum(abs(a.p-b.p))::bigint x FROM p a JOIN p b ON a.lang=b.lang AND a.term=b.term AND a.source<>b.source GROUP BY ALL),
+pr AS (SELECT a.lang, a.source, 'pair' part, b.source item, coalesce(e.x, 0)::bigint AS value FROM g a JOIN g b ON a.lang=b.lang AND a.source<>b.source LEFT JOIN e ON e.lang=a.lang AND e.source=a.source AND e.item=b.source),
+u AS (SELECT * FROM pr UNION ALL SELECT lang, source, 'term', term, p-q FROM p WHERE n>0 AND p>q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::int AS rank FROM u)
+SELECT lang, source, part, item, value, rank FROM r WHERE part='pair' OR rank<=50
+"""
