@@ -116,3 +116,19 @@ u AS (SELECT * FROM pr UNION ALL SELECT lang, source, 'term', term, p-q FROM p W
 r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::int AS rank FROM u)
 SELECT lang, source, part, item, value, rank FROM r WHERE part='pair' OR rank<=50
 """
+
+SQL["op12_collocations"] = r"""
+WITH t AS (SELECT row_number() OVER () AS k, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents),
+p AS (SELECT k, lang, unnest(p) AS p, unnest(range(len(p))) AS j FROM t),
+w AS (SELECT k, j, lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+x AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, w[i] AS phrase, 1 AS size FROM x UNION ALL SELECT lang, w[i] || ' ' || w[i + 1], 2 FROM x WHERE i < len(w) UNION ALL SELECT lang, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2], 3 FROM x WHERE i + 1 < len(w)),
+f AS (SELECT lang, phrase, size, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, count(*) AS n FROM x GROUP BY lang),
+c AS (SELECT lang, phrase, size, a, unnest(range(1, size)) AS k, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+h AS (SELECT c.lang, c.phrase, c.size, c.a, c.k, l.a AS l, r.a AS r, (1000000::hugeint * c.a * c.a // (l.a::hugeint * r.a))::bigint AS score FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[:k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+s AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+m AS (SELECT lang, phrase, max(a) AS around FROM (SELECT lang, unnest([array_to_string(w[:2], ' '), array_to_string(w[2:], ' ')]) AS phrase, a FROM c WHERE size = 3) GROUP BY ALL),
+o AS (SELECT s.*, n.n, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank FROM s JOIN n USING (lang) LEFT JOIN m ON m.lang = s.lang AND m.phrase = s.phrase WHERE around IS NULL OR 100 * around < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontaminate, divergence, html_text, licenses, line_dedup, lm_scoring, mixing, quality_rules, simhash, token_ids
+from . import classifier, collocations, decontaminate, divergence, html_text, licenses, line_dedup, lm_scoring, mixing, quality_rules, simhash, token_ids
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

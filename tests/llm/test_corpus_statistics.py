@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from leafbound.llm import byte_words, divergence
+from leafbound.llm import byte_words, collocations, divergence
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 SF = "/root/testdata/sf0.001"
@@ -113,3 +113,87 @@ def test_divergence_odd(spark):
 
     huge = [(1, "word " * (3 * (divergence.READ // 5)) + "end", "en", "s", 0), (2, "word", "en", "t", 0)]
     assert sys.getsizeof(huge[0][1]) > divergence.READ and audited(spark.createDataFrame(huge, DOCS), least=1) == brute_divergence(huge, 1)
+
+
+# ---- 12
+
+
+def brute_phrases(rows, least=10, covered=50, top=2000):
+    f, n = Counter(), Counter()
+    for _, text, lang, *_ in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            f.update((lang, " ".join(words[i : i + k])) for k in (1, 2, 3) for i in range(len(words) - k + 1))
+    found, around = [], Counter()
+    for (lang, phrase), a in f.items():
+        words = phrase.split(" ")
+        if a < least or len(words) < 2:
+            continue
+        cuts = [(10**6 * a * a // (f[lang, " ".join(words[:k])] * f[lang, " ".join(words[k:])]), k) for k in range(1, len(words))]
+        score, k = min(cuts)
+        found.append((lang, phrase, a, f[lang, " ".join(words[:k])], f[lang, " ".join(words[k:])], n[lang], score))
+        if len(words) == 3:
+            for w in (words[:2], words[1:]):
+                around[lang, " ".join(w)] = max(around[lang, " ".join(w)], a)
+    found = [x for x in found if around[x[0], x[1]] == 0 or 100 * around[x[0], x[1]] < covered * x[2]]
+    out = []
+    for lang in {x[0] for x in found}:
+        mine = sorted((x for x in found if x[0] == lang), key=lambda x: (-x[6], -x[2], x[1].encode()))
+        out += [(x[0], i, *x[1:]) for i, x in enumerate(mine[:top], 1)]
+    return sorted(out)
+
+
+def mined(df, **how):
+    got = collocations.mine(df, **how)
+    assert [t for _, t in got.dtypes] == ["string", "bigint", "string"] + ["bigint"] * 5
+    return sorted(map(tuple, got.collect()))
+
+
+PHRASES = [" ".join(random.Random(i).choice(["a", "b", "A", "aa", "é", "the", "x-y", "b.", "a,", "\t", "!", "q\n"]) for _ in range(60)) for i in range(60)]
+
+
+@pytest.mark.parametrize("read,cells", [(8 << 20, 29), (500, 29), (8 << 20, 4)])
+def test_phrases(spark, read, cells, monkeypatch):
+    """In one shard and in many; with counters for all, and with so few that no candidate is ruled out."""
+    monkeypatch.setattr(collocations, "READ", read)
+    if cells < 16:
+        monkeypatch.setattr(collocations, "sketch", lambda rows, least, cells: np.full(cells // 8, 255, np.uint8))
+    rows = [(i, t, ["en", "de", None][i % 5 % 3], None, 0) for i, t in enumerate(PHRASES)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    assert mined(df) == brute_phrases(rows) != []
+    assert mined(df, top=5, covered=90) == brute_phrases(rows, top=5, covered=90)
+
+
+def test_phrases_of_a_table(small, monkeypatch):
+    monkeypatch.setattr(collocations, "GATHERED", 1000)
+    assert mined(small) == brute_phrases(list(map(tuple, small.collect())))
+
+
+def test_phrases_by_shuffled_joins(small, monkeypatch):
+    monkeypatch.setattr(collocations, "is_small", lambda df: False)
+    assert mined(small) == brute_phrases(list(map(tuple, small.collect())))
+
+
+def test_sketch_is_an_upper_bound(spark, small):
+    rows = small.selectExpr("lang", "text").limit(50)
+    bits, mask = collocations.sketch(rows, 3, 1 << 16), (1 << 16) - 1
+    f = Counter()
+    for r in rows.collect():
+        f.update((r["lang"], w) for w in re.findall(r"[^\x20\x09.,;:!?\x0A-\x0D]+", lower(r["text"])))
+    for (lang, w), n in f.items():
+        data = np.frombuffer(w.encode(), np.uint8)
+        cell = int(next(collocations.Shard(lang, data, np.array([0, len(data)])).hashes())[0]) & mask
+        assert n < 3 or bits[cell >> 3] >> (cell & 7) & 1
+
+
+def test_phrases_odd(spark):
+    assert mined(spark.createDataFrame(ODD * 5, DOCS), least=2) == brute_phrases(ODD * 5, 2)
+    assert mined(spark.createDataFrame([], DOCS)) == []
+    clash = spark.createDataFrame([(*r, 1, 2, "x", 4) for r in ODD * 10], DOCS + ", n int, rank int, phrase string, score int")
+    assert mined(clash) == brute_phrases(ODD * 10)
+    huge = [(1, "one two, three four five " * (collocations.READ // 20), "en", "s", 0)]
+    assert mined(spark.createDataFrame(huge, DOCS)) == brute_phrases(huge)
+    with pytest.raises(ValueError):
+        collocations.mine(spark.createDataFrame(ODD, DOCS), least=256)
