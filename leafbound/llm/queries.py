@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, collocations, decontaminate, divergence, html_text, licenses, line_dedup, lm_scoring, mixing, quality_rules, simhash, token_ids
+from . import classifier, collocations, decontaminate, divergence, html_text, licenses, line_dedup, lm_scoring, mixing, quality_rules, simhash, token_ids, toxicity
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

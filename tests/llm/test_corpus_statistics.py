@@ -2,12 +2,13 @@
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from leafbound.llm import byte_words, collocations, divergence
+from leafbound.llm import byte_words, collocations, divergence, toxicity
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 SF = "/root/testdata/sf0.001"
@@ -197,3 +198,84 @@ def test_phrases_odd(spark):
     assert mined(spark.createDataFrame(huge, DOCS)) == brute_phrases(huge)
     with pytest.raises(ValueError):
         collocations.mine(spark.createDataFrame(ODD, DOCS), least=256)
+
+
+# ---- 13
+
+
+def test_features():
+    reader = toxicity.Reader({"scum$": 5.0, "lowei": 3.0, "meh$": 0.8})
+    get = lambda t: dict(zip(toxicity.FEATURES, reader.features(t), strict=True))
+    f = get("You are SCUM!! and loweischaft, meh. Say it: scum.")
+    assert f["hits_0.7"] == 4 and f["hits_2.5"] == 3 and f["hits_3.5"] == 2 and f["strongest"] == 5 and f["second"] == 3 and f["third"] == 0.8 and f["different"] == 3
+    assert f["near_you"] == 2 and [round(9 * f[x], 9) for x in ("density_2.5", "you_rate", "shouted_share", "calls_rate", "runs_of_marks")] == [3, 1, 1, 2, 1]
+    g = get("such $cum, l0weigang")
+    assert g["hits_2.5"] == 2 == g["disguised_hits"] and g["disguised_rate"] == pytest.approx(2 / 3)
+    assert get("scum-free")["hits_0.7"] == 0 and len(reader.features(None)) == len(toxicity.FEATURES) == len(reader.features("\n \t"))
+    once = reader.features("word " * 1000)
+    assert all(np.isfinite(once)) and once == toxicity.Reader(reader.lexicon).features("word " * 1000)
+
+
+def test_lexicon_weights():
+    lead = np.array(["rare", "both", "mine", "many"], object)
+    got = toxicity.learn_lexicon(lead, np.array([3.0, 50, 20, 60]), np.array([0.0, 500, 1, 0]), 100, 1000)
+    assert set(got) == {"mine", "many"} and got["many"] > got["mine"]
+
+
+def test_isotonic():
+    rng = np.random.default_rng(2)
+    raw, y = rng.integers(0, 30, 200) / 3, (rng.random(200) < 0.5).astype(float)
+    xs, ps = toxicity.isotonic(raw, y)
+    at = np.unique(raw)
+    mean, n = np.array([y[raw == v].mean() for v in at]), np.array([(raw == v).sum() for v in at])
+    # The best rising fit at k is the greatest, over starts, of the least, over ends, mean of a stretch around k.
+    best = [max(min((mean * n)[i : j + 1].sum() / n[i : j + 1].sum() for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))]
+    assert np.allclose(np.interp(at, xs, ps), best) and (np.diff(ps) >= 0).all()
+
+
+def test_trees_learn_what_no_single_feature_tells():
+    rng = np.random.default_rng(3)
+    x = rng.random((1500, 4))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
+    model = toxicity.Boosted(x[:1000], y[:1000])
+    assert ((model.raw(x[1000:]) > 0) == (y[1000:] > 0.5)).mean() > 0.95
+    feature, cut, value = model.trees[0]
+    for row in x[:50]:  # a tree against a walk through it
+        at = 0
+        while at < len(feature) and feature[at] >= 0:
+            at = 2 * at + 1 + int(model.binned(row[None])[0, feature[at]] > cut[at])
+        assert model._leaf(model.trees[0], model.binned(row[None]))[0] == value[at]
+    assert len(model.raw(x[:0])) == 0
+
+
+def test_toxicity_held_out(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, labels).collect()}
+    assert len(got) == docs.count()
+    held = [(r["toxic"], got[r["doc_id"]]) for r in labels.collect() if r["doc_id"] in got and got[r["doc_id"]]["held_out"]]
+    assert all((zlib.crc32(str(i).encode()) % 4 == 2) == r["held_out"] and (r["score"] >= 0.3) == r["predicted"] and 0 <= r["score"] <= 1 for i, r in got.items())
+    toxic, clean = [r["predicted"] for y, r in held if y == 1], [r["predicted"] for y, r in held if y == 0]
+    assert sum(toxic) > 0.9 * len(toxic) > 90 and sum(clean) < 0.01 * len(clean)
+
+
+def test_toxicity_reads_texts_alone(spark, small):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    scores = lambda df, marks=labels: {r["doc_id"]: r["score"] for r in toxicity.score(df, marks).collect()}
+    plain = scores(small)
+    assert scores(small.selectExpr("doc_id", "text", "'x' lang", "'y' source", "1 n_chars").repartition(7)) == plain
+    unseen = labels.selectExpr("doc_id", "quality", "CASE WHEN crc32(cast(cast(doc_id as string) as binary)) % 4 = 2 THEN 1 - toxic ELSE toxic END toxic")
+    assert scores(small, unseen) == plain
+
+
+def test_toxicity_odd(spark):
+    labels = "doc_id bigint, quality int, toxic int"
+    none = spark.createDataFrame([], labels)
+    got = toxicity.score(spark.createDataFrame(ODD, DOCS), none)
+    assert got.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")] and [r["score"] for r in got.collect()] == [0.0] * 7
+    assert [r["held_out"] for r in got.collect() if r["doc_id"] is None] == [False]
+    assert toxicity.score(spark.createDataFrame([], DOCS), none).collect() == []
+    marks = spark.createDataFrame([(2, 1, 1), (3, 1, None), (None, 1, 1), (99, 0, 1), (4, None, 0), (4, 1, 0), (1, 1, 0)], labels)
+    clash = spark.createDataFrame([(*r, 1, 2, 3.0) for r in ODD], DOCS + ", toxic int, y int, score double")
+    got = toxicity.score(clash, marks).collect()
+    assert len(got) == 7 and len({r["score"] for r in got if r["doc_id"] == 4}) == 1 and all(0 <= r["score"] <= 1 for r in got)
