@@ -30,13 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .byte_words import buffers, cut, group, spelled
+from .byte_words import buffers
 from .common import if_small, is_small, stored
 
 #: Occurrences a phrase must have, the longest phrase, the share (percent) of a longer phrase that makes it redundant, phrases of a language.
 LEAST, LONGEST, COVERED, TOP = 10, 3, 50, 2000
 #: Bytes of a shard; log2 of the most counters; counters of a block; entries that a task gathers before it passes them on.
-READ, CELLS, BLOCK, GATHERED = 8 << 20, 29, 1 << 16, 4 << 20
+READ, CELLS, BLOCK, GATHERED = 4 << 20, 29, 1 << 16, 4 << 20
 #: Salts for the joins on hot parts and for the first selection of the best.
 SALTS = 16
 #: Classes of bytes: words, and separators of pieces; space and tab are neither.
@@ -44,19 +44,29 @@ PIECE = np.zeros(256, bool)
 PIECE[np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8)] = True
 WORD = ~PIECE
 WORD[[9, 32]] = False
+_BLANK = bytes(i if WORD[i] else 32 for i in range(256))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)  # odd multipliers
 
 
+class _Numbers(dict):
+    """Words by the order in which they first come."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Shard:
     """Words of texts of one language, numbered, and the pieces they stand in."""
 
     def __init__(self, lang: str, data: np.ndarray, edges: np.ndarray):
-        starts, ends = cut(data, edges, WORD)
-        self.ids, first, self.keys = group(data, starts, ends)
-        self.names = [w.decode("latin-1") for w in spelled(data, starts, ends, first)]
-        piece = np.cumsum(PIECE[data], dtype=np.int64)[starts] + np.searchsorted(edges, starts, "right")
+        data = np.insert(data, edges[1:-1], ord("\n"))  # texts end pieces
+        inside, numbers = WORD[data], _Numbers()
+        self.ids = np.fromiter(map(numbers.__getitem__, data.tobytes().translate(_BLANK).split()), np.int64)
+        self.keys = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
+        self.names = [w.decode("latin-1") for w in numbers]
+        piece = np.cumsum(PIECE[data], dtype=np.int32)[inside & ~np.concatenate([[False], inside[:-1]])]
         self.ahead = [piece[: len(piece) - k] == piece[k:] for k in range(LONGEST)]  # whether the word k on is in the same piece
-        self.breaks = np.flatnonzero(~self.ahead[1]) + 1
         self.seed = np.uint64(xxhash.xxh64_intdigest(lang.encode()))
 
     def _hash(self, so_far: np.ndarray | np.uint64, keys: np.ndarray) -> np.ndarray:
@@ -76,39 +86,48 @@ class Shard:
         """The counter of every occurrence of every phrase."""
         return np.concatenate([(h & np.uint64(mask))[ok] for h, ok in zip(self.hashes(), self.ahead, strict=True)])
 
-    def candidates(self, bits: np.ndarray, mask: int) -> list[list[str]]:
-        """By number of words, the different phrases whose counters, and those of their parts, reach the threshold."""
-        out, passed, number, count = [], None, None, 1
-        for k, (h, ok) in enumerate(zip(self.hashes(), self.ahead, strict=True)):
+    def candidates(self, bits: np.ndarray, mask: int) -> tuple[np.ndarray, list[list[str]], np.ndarray]:
+        """Which words reach the threshold by their counter; by number of words from 2 on, the different phrases that do, and all their parts; which words of the text stand in any."""
+
+        def reach(h: np.ndarray) -> np.ndarray:
             cell = h & np.uint64(mask)
-            good = ok & (bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-            if k:
-                good &= passed[:-1] & passed[1:]
-            at = np.flatnonzero(good)
+            return (bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+        hashes = self.hashes()
+        next(hashes)
+        words = reach(self._hash(self.seed, self.keys))
+        passed, number, out, covered = words[self.ids], self.ids, [], np.zeros(len(self.ids), bool)
+        for k, (h, ok) in enumerate(zip(hashes, self.ahead[1:], strict=True), 1):
+            at = np.flatnonzero(ok & passed[:-1] & passed[1:])
+            at = at[reach(h[at])]
             # A phrase is numbered by its first k words' number and its last word.
-            key = (number[at] if k else 0) * len(self.names) + self.ids[at + k]
-            _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-            number = np.zeros(len(h), np.int64)
-            number[at] = inverse
-            passed, count = good, len(first)
-            out.append([" ".join(self.names[i] for i in self.ids[a : a + k + 1]) for a in at[first]])
-        return out
+            _, first, inverse = np.unique(number[at] * len(self.names) + self.ids[at + k], return_index=True, return_inverse=True)
+            passed, number = np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+            passed[at], number[at] = True, inverse
+            for j in range(k + 1):
+                covered[at + j] = True
+            out.append([" ".join([self.names[i] for i in some]) for some in self.ids[at[first][:, None] + np.arange(k + 1)].tolist()])
+        return words, out, covered
 
     def count(self, bits: np.ndarray, mask: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The candidates, their numbers of words and of occurrences."""
-        by_length = self.candidates(bits, mask)
-        phrases, sizes = [p for ps in by_length for p in ps], np.repeat(np.arange(1, LONGEST + 1), [len(ps) for ps in by_length])
-        if not phrases:
-            return phrases, sizes, sizes
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for i, p in enumerate(phrases):
-            automaton.add_word(f" {p} ", i)
-        automaton.make_automaton()
-        # Words that reach no threshold end pieces, too: no candidate holds them.
-        known = set(by_length[0])
-        shown = np.array([w if w in known else "\n" for w in self.names] + ["\n"], object)
-        text = f" {' '.join(shown[np.insert(self.ids, self.breaks, len(self.names))])} "
-        return phrases, sizes, np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int64), minlength=len(phrases))
+        """Candidates and single words that may be their parts, their numbers of words and of occurrences."""
+        words, by_length, covered = self.candidates(bits, mask)
+        phrases = [p for ps in by_length for p in ps]
+        singles = np.flatnonzero(words)
+        sizes = np.repeat(np.arange(1, LONGEST + 1), [len(singles), *map(len, by_length)])
+        n = np.bincount(self.ids, minlength=len(words))[singles]
+        if phrases:
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for i, p in enumerate(phrases):
+                automaton.add_word(f" {p} ", i)
+            automaton.make_automaton()
+            # Words outside of all candidates are left out; a line end stands where a piece ends or words are missing.
+            at = np.flatnonzero(covered)
+            gaps = np.flatnonzero((np.diff(at) > 1) | ~self.ahead[1][at[:-1]]) + 1
+            shown = np.array([*self.names, "\n"], object)
+            text = f" {' '.join(shown[np.insert(self.ids[at], gaps, len(self.names))])} "
+            n = np.append(n, np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int64), minlength=len(phrases)))
+        return [*(self.names[i] for i in singles), *phrases], sizes, n
 
 
 def shards(batch: pa.RecordBatch) -> Iterator[tuple[str, Shard]]:
