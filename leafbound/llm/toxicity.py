@@ -24,7 +24,9 @@ result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -46,7 +48,9 @@ YOU = frozenset("you your yours yourself yourselves u ur du dich dir dein deine
 LOOKS = str.maketrans("013457@$!|€", "oieastasiie")
 #: Steps of the lexicon's weights at which densities are taken; words between a hit and a word for the reader.
 TIERS, NEAR = (0.7, 1.5, 2.5, 3.5, 5.0), 6
-_TOKEN = re.compile(r"\S+")
+_TOKEN, _RUNS = re.compile(r"\S+"), re.compile(rb"[!?]{2,}")
+#: Kinds of bytes: 1 capitals, 2 digits, 3 signs, 4 other marks, 5 other letters (and all beyond ASCII).
+_KINDS = bytes(1 if 65 <= i < 91 else 2 if 48 <= i < 58 else 3 if i in b"#*$%&|<>@" else 0 if i <= 32 or i == 127 else 5 if i >= 128 or 97 <= i < 123 else 4 for i in range(256))
 _TRIM = "\"'`.,;:!?()[]{}<>*_~#%&+-=/\\|^“”„‘’«»¡¿…–—"
 _KEPT = 300_000  # words that a worker remembers
 
@@ -80,48 +84,54 @@ def entries(text: str | None) -> set[str]:
     return {x for w in words for x in leads(w)}
 
 
-class Reader:
-    """Turns texts into features by one lexicon."""
+class Reader(dict):
+    """Turns texts into features by one lexicon; remembers tokens."""
 
     def __init__(self, lexicon: dict[str, float]):
-        self.lexicon, self.seen = lexicon, {}
-
-    def weight(self, token: str) -> tuple[str, float, float, bool, bool]:
-        """Of a token: its word, its weight, that of its undisguised form where it differs, whether it is disguised, whether it means the reader."""
-        if (found := self.seen.get(token)) is None:
-            word, plain, mixed = forms(token)
-            best = lambda w: max((self.lexicon.get(x, 0.0) for x in leads(w)), default=0.0)
-            shown = best(word)
-            hidden = best(plain) if plain != word else 0.0
-            if len(self.seen) > _KEPT:
-                self.seen.clear()
-            found = self.seen[token] = (word, max(shown, hidden), hidden, mixed, word in YOU)
+        self.lexicon, self.heads = lexicon, {x[:LEAD_LEAST] for x in lexicon}
+
+    def _best(self, word: str) -> float:
+        if f"{word}$"[:LEAD_LEAST] not in self.heads:  # no lead of the word begins like an entry
+            return 0.0
+        return max((self.lexicon.get(x, 0.0) for x in leads(word)), default=0.0)
+
+    def __missing__(self, token: str) -> tuple[str, float, float, bool, bool, bool]:
+        """Of a token: its word, its weight, that of its undisguised form where it differs, whether it is disguised, means the reader, is shouted."""
+        word, plain, mixed = forms(token)
+        hidden = self._best(plain) if plain != word else 0.0
+        found = self[token] = (word, max(self._best(word), hidden), hidden, mixed, word in YOU, len(token) > 2 and token.isupper())
         return found
 
     def features(self, text: str | None) -> list[float]:
+        if len(self) > _KEPT:
+            self.clear()
         text = text or ""
         tokens = _TOKEN.findall(text)
-        rows = [self.weight(t) for t in tokens]
-        n, size = max(1, len(rows)), max(1, len(text))
-        hits = [(i, w) for i, (_, w, _, _, _) in enumerate(rows) if w > 0]
-        best: dict[str, float] = {}
-        for i, w in hits:
-            best[rows[i][0]] = w
+        known = [(self[t], n) for t, n in Counter(tokens).items()]  # what order doesn't matter to is read once a token
+        n, size = max(1, len(tokens)), max(1, len(text))
+        hits = [(r, c) for r, c in known if r[1] > 0]
+        best = {r[0]: r[1] for r, _ in hits}
         top = sorted(best.values(), reverse=True)[:3] + [0.0] * 3
-        at_you = np.array([i for i, r in enumerate(rows) if r[4]], np.int64)
-        strong = np.array([i for i, w in hits if w >= TIERS[1]], np.int64)
-        near = 0
-        if len(at_you) and len(strong):
-            spot = np.searchsorted(at_you, strong)
-            gap = np.minimum(np.abs(strong - at_you[np.maximum(spot - 1, 0)]), np.abs(at_you[np.minimum(spot, len(at_you) - 1)] - strong))
-            near = int((gap <= NEAR).sum())
-        over = [sum(w >= t for _, w in hits) for t in TIERS]
-        upper, alpha = sum(map(str.isupper, text)), max(1, sum(map(str.isalpha, text)))
-        count = text.count
+        yours = sum(c for r, c in known if r[4])
+        strong = {t for t in tokens if self[t][1] >= TIERS[1]} if top[0] >= TIERS[1] else ()
+        near, strongly = 0, 0
+        if strong:
+            at = np.array([i for i, t in enumerate(tokens) if t in strong], np.int64)
+            strongly = len(at)
+            if yours:
+                at_you = np.array([i for i, t in enumerate(tokens) if self[t][4]], np.int64)
+                spot = np.searchsorted(at_you, at)
+                gap = np.minimum(np.abs(at - at_you[np.maximum(spot - 1, 0)]), np.abs(at_you[np.minimum(spot, yours - 1)] - at))
+                near = int((gap <= NEAR).sum())
+        over = [sum(c for r, c in hits if r[1] >= t) for t in TIERS]
+        raw = text.encode("utf-8", "replace")
+        kinds = raw.translate(_KINDS)
+        upper, digits, signs, marks, letters = (kinds.count(k) for k in range(1, 6))
+        calls, asks = raw.count(b"!"), raw.count(b"?")
         return [
-            *over, *[x / n for x in over], top[0], top[1], top[2], sum(best.values()), sum(w for _, w in hits) / n, len(best), sum(1 for i, _ in hits if rows[i][2] > 0), near, near / max(1, len(strong)), len(at_you) / n,
-            upper / alpha, sum(len(t) > 2 and t.isupper() for t in tokens) / n, sum(map(count, _TRIM)) / size, count("!") / n, count("?") / n, len(re.findall(r"[!?]{2,}", text)) / n, sum(r[3] for r in rows) / n,
-            sum(map(str.isdigit, text)) / size, sum(map(count, "#*$%&|<>@")) / size, sum(a == b for a, b in zip(tokens, tokens[1:], strict=False)) / n, len({r[0] for r in rows}) / n, np.log1p(len(rows)), sum(len(r[0]) for r in rows) / n,
+            *over, *[x / n for x in over], top[0], top[1], top[2], sum(best.values()), sum(r[1] * c for r, c in hits) / n, len(best), sum(c for r, c in hits if r[2] > 0), near, near / max(1, strongly), yours / n,
+            upper / max(1, upper + letters), sum(c for r, c in known if r[5]) / n, (marks + signs) / size, calls / n, asks / n, len(_RUNS.findall(raw)) / n if calls + asks > 1 else 0.0, sum(c for r, c in known if r[3]) / n,
+            digits / size, signs / size, sum(map(eq, tokens, tokens[1:])) / n, len({r[0] for r, _ in known}) / n, float(np.log1p(len(tokens))), sum(len(r[0]) * c for r, c in known) / n,
         ]
 
 
