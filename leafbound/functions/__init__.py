@@ -1,0 +1 @@
+"""Column and frame functions that several operators share."""

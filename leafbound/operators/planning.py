@@ -1,6 +1,10 @@
 """Where expensive reading is worth its cost: plans, samples, orders, presets."""
 
-from leafbound.operators.text import INDICATORS, any_of
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from leafbound.functions.windows import beside, running
+from leafbound.operators.pairs import near, short_files
 from leafbound.plans.ops import op, view
 
 #: Seconds a page costs by strategy.
@@ -29,28 +33,59 @@ def rows(names: list[str], values: list[tuple]) -> str:
 
 op("o1_page_needs_ocr", "Pages with hardly any text under large images.", r"""
 SELECT file_id, page_number, CASE WHEN n > 50 THEN false WHEN image_share > 0.8D THEN true ELSE false END AS needs_ocr, CASE WHEN n > 50 THEN 'has text' WHEN image_share > 0.8D THEN 'image page' ELSE 'little content' END AS reason
-FROM (SELECT file_id, page_number, length(@rall(text;r'^\s+|\s+$';'')) AS n, cast(doc_id % 10 AS double) / 10 AS image_share FROM {pages_seeded})""")
+FROM (SELECT file_id, page_number, length(regexp_replace(text, r'^\s+|\s+$', '')) AS n, cast(doc_id % 10 AS double) / 10 AS image_share FROM {pages_seeded})""", per_page=True)
+view("file_pages", "How many pages each file has.", "SELECT file_id, count(*) AS n FROM {pages_doc} GROUP BY file_id")
 _sampled = "page_number - 1 IN (0, cast(floor(n / 5D) AS int), cast(floor(2 * n / 5D) AS int), cast(floor(3 * n / 5D) AS int), cast(floor(4 * n / 5D) AS int))"
-op("o2_pdf_needs_ocr", "Whether half of five evenly placed pages need it.", f"SELECT file_id, count(*) AS sampled, (avg(CASE WHEN needs_ocr THEN 1D ELSE 0D END) >= 0.5D) AS needs_ocr FROM (SELECT file_id, page_number, needs_ocr, count(*) OVER (PARTITION BY file_id) AS n FROM {{o1_page_needs_ocr}}) WHERE n <= 5 OR {_sampled} GROUP BY file_id")
+op("o2_pdf_needs_ocr", "Whether half of five evenly placed pages need it.", f"SELECT file_id, count(*) AS sampled, (avg(CASE WHEN needs_ocr THEN 1D ELSE 0D END) >= 0.5D) AS needs_ocr FROM (SELECT p.file_id, page_number, needs_ocr, n FROM {{o1_page_needs_ocr}} p JOIN {{file_pages}} f ON p.file_id IS NOT DISTINCT FROM f.file_id) WHERE n <= 5 OR {_sampled} GROUP BY file_id")
 op("o3_sample_linspace", "Five pages from first to last, evenly.", "SELECT DISTINCT file_id, i, cast(floor(i * (n - 1) / 4D) AS bigint) AS page_index FROM (SELECT file_id, n, explode(sequence(0, 4)) AS i FROM (SELECT file_id, count(*) AS n FROM {pages_doc} GROUP BY file_id) WHERE n > 5)")
-op("o4_ocr_page_limit", "The first three pages of a file that need reading; the others wait.", "SELECT file_id, page_number, needs_ocr, (needs_ocr AND sum(CASE WHEN needs_ocr THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY page_number ROWS UNBOUNDED PRECEDING) <= 3) AS chosen FROM {o1_page_needs_ocr}")
+
+
+def first_unread(pages: DataFrame, most: int) -> DataFrame:
+    """Which pages that need reading are among the first `most` of their file."""
+    counted = running(pages, "_n", F.col("needs_ocr").cast("int"))
+    return counted.select("file_id", "page_number", "needs_ocr", (F.col("needs_ocr") & (F.col("_n") <= most)).alias("chosen"))
+
+
+op("o4_ocr_page_limit", "The first three pages of a file that need reading; the others wait.", lambda o1_page_needs_ocr: first_unread(o1_page_needs_ocr, 3))
+view("page_content", "Whether each page has text and images.", r"SELECT file_id, page_number, length(regexp_replace(text, r'^\s+|\s+$', '')) > 50 AS t, has_images AS i FROM {pages_seeded}", per_page=True)
 op("o5_analyze_document", "Pages with text, images, both or neither, and what that makes of the file.", r"""
 SELECT file_id, count(*) AS total, count_if(t AND NOT i) AS text_pages, count_if(i AND NOT t) AS image_pages, count_if(t AND i) AS mixed_pages, count_if(NOT t AND NOT i) AS empty_pages,
   CASE WHEN count_if(i AND NOT t) > count(*) * 0.8D THEN 'image-based' WHEN count_if(t AND NOT i) > count(*) * 0.8D THEN 'text-based' ELSE 'mixed' END AS kind
-FROM (SELECT file_id, length(@rall(text;r'^\s+|\s+$';'')) > 50 AS t, has_images AS i FROM {pages_seeded}) GROUP BY file_id""")
-op("o6_profile_document", "What a plan needs to know of a file.", "SELECT p.file_id, count(*) AS pages, cast(sum(length(p.text)) AS bigint) AS n_chars, count_if(b.potential) AS potential, count_if(length(p.text) > 500) AS long_pages FROM {pages_seeded} p JOIN {t8_potential_boundary} b ON p.file_id = b.file_id AND p.page_number = b.page_number GROUP BY p.file_id")
+FROM {page_content} GROUP BY file_id""")
+
+def critical(page_facts: DataFrame) -> DataFrame:
+    """Every page with whether it may start a document, is near one that may, or is of a short file."""
+    pages = beside(page_facts.select("file_id", "page_number", "n_chars", "has_images", "promising"), ["page_number"], back=1, ahead=1)
+    pages = pages.withColumn("potential", F.col("promising") | F.col("before1").isNull() | F.col("after1").isNull()).drop("before1", "after1")
+    return short_files(beside(pages, ["potential"], back=2, ahead=2).withColumn("near", near("potential", 2)), 10)
+
+
+view("critical_pages", "What the plan of a file goes by.", critical)
+op("o6_profile_document", "What a plan needs to know of a file.", "SELECT file_id, count(*) AS pages, cast(sum(n_chars) AS bigint) AS n_chars, count_if(potential) AS potential, count_if(n_chars > 500) AS long_pages FROM {critical_pages} GROUP BY file_id")
 op("o7_critical_pages", "How well each page must be read, and why.", """
-SELECT file_id, page_number, CASE WHEN potential THEN 'high' WHEN near OR n <= 10 THEN 'medium' WHEN length(text) > 500 AND NOT has_images THEN 'skip' ELSE 'fast' END AS strategy,
-  CASE WHEN potential THEN 'potential_boundary' WHEN n <= 10 THEN 'small_document' WHEN near THEN 'boundary_context' WHEN length(text) > 500 AND NOT has_images THEN 'has_embedded_text' ELSE 'default' END AS reason
-FROM (SELECT p.file_id, p.page_number, p.text, p.has_images, b.potential, c.medium AS near, count(*) OVER (PARTITION BY p.file_id) AS n FROM {pages_seeded} p JOIN {t8_potential_boundary} b ON p.file_id = b.file_id AND p.page_number = b.page_number JOIN {w8_context_pages} c ON p.file_id = c.file_id AND p.page_number = c.page_number)""")
+SELECT file_id, page_number, CASE WHEN potential THEN 'high' WHEN near OR short THEN 'medium' WHEN n_chars > 500 AND NOT has_images THEN 'skip' ELSE 'fast' END AS strategy,
+  CASE WHEN potential THEN 'potential_boundary' WHEN short THEN 'small_document' WHEN near THEN 'boundary_context' WHEN n_chars > 500 AND NOT has_images THEN 'has_embedded_text' ELSE 'default' END AS reason FROM {critical_pages}""")
 op("o8_page_strategy", "Pages by strategy of each file.", "SELECT file_id, count_if(strategy = 'high') AS high, count_if(strategy = 'medium') AS medium, count_if(strategy = 'fast') AS fast, count_if(strategy = 'skip') AS skipped FROM {o7_critical_pages} GROUP BY file_id")
-op("o9_processing_order", "Pages in the order they are read; skipped ones aren't.", """
-SELECT file_id, page_number, strategy, cast(row_number() OVER (PARTITION BY file_id ORDER BY CASE strategy WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, page_number) AS bigint) AS position FROM {o7_critical_pages} WHERE strategy <> 'skip'""")
+
+
+def reading_order(planned: DataFrame) -> DataFrame:
+    """Pages that aren't skipped, numbered in the order they are read: those to be read best first, then by page."""
+    ranks = {"high": 1, "medium": 2}
+    read = planned.where("strategy <> 'skip'").select("file_id", "page_number", "strategy", *[(F.col("strategy") == k).cast("int").alias(k) for k in ranks])
+    for name, own in (("_high", F.col("high")), ("_medium", F.col("medium")), ("_rest", 1 - F.col("high") - F.col("medium"))):
+        read = running(read, name, own)
+    totals = planned.groupBy(F.col("file_id").alias("_file")).agg(*[F.count_if(F.col("strategy") == k).alias(f"n_{k}") for k in ranks])
+    read = read.join(totals, F.col("file_id").eqNullSafe(F.col("_file")))
+    position = F.when(F.col("high") == 1, F.col("_high")).when(F.col("medium") == 1, F.col("n_high") + F.col("_medium")).otherwise(F.col("n_high") + F.col("n_medium") + F.col("_rest"))
+    return read.select("file_id", "page_number", "strategy", position.cast("bigint").alias("position"))
+
+
+op("o9_processing_order", "Pages in the order they are read; skipped ones aren't.", lambda o7_critical_pages: reading_order(o7_critical_pages))
 op("o10_estimated_time", "Seconds a file will take.", f"SELECT file_id, bround(sum(CASE strategy {' '.join(f"WHEN '{k}' THEN {v}D" for k, v in COST.items())} ELSE 5D END), 6) AS seconds FROM {{o7_critical_pages}} GROUP BY file_id")
 op("o11_adaptive_ocr_config", "Each page's configuration when a model decides.", "SELECT file_id, page_number, CASE WHEN high_quality OR llm THEN 'high' ELSE 'fast' END AS config FROM {w7_near_boundary}")
 op("o12_select_configuration", "The preset for a file by its first ten pages.", """
 SELECT a.file_id, CASE WHEN h.construction THEN 'construction' WHEN a.scanned THEN 'high_accuracy' WHEN a.n > 100 THEN 'fast' WHEN a.tables AND a.images THEN 'high_accuracy' ELSE 'general' END AS preset, a.mean_words
-FROM (SELECT file_id, count(*) AS n, bround(avg(word_count), 6) AS mean_words, bool_or(has_tables) AS tables, bool_or(has_images) AS images, bool_or(word_count < 50 AND has_images) AS scanned FROM {pages_seeded} WHERE page_number <= 10 GROUP BY file_id) a JOIN {t10_type_hints} h ON a.file_id = h.file_id""")
+FROM (SELECT file_id, count(*) AS n, bround(avg(word_count), 6) AS mean_words, bool_or(has_tables) AS tables, bool_or(has_images) AS images, bool_or(word_count < 50 AND has_images) AS scanned FROM {pages_seeded} WHERE page_number <= 10 GROUP BY file_id) a JOIN {t10_type_hints} h ON a.file_id IS NOT DISTINCT FROM h.file_id""")
 view("profiles", "Quality profiles.", rows(["level", "least", "dpi", "steps", "gpu", "batch"], PROFILES))
 view("file_quality", "A file's quality, skew and noise, by what is known of its pages.", "SELECT file_id, avg(coalesce(ocr_confidence, 0.5D)) AS quality, cast(min(doc_id) % 4 AS double) AS skew, cast(max(doc_id) % 30 AS double) AS noise, count(*) AS pages, bool_or(has_tables) AS tables, min(doc_id) % 5 = 0 AS handwritten FROM {pages_seeded} GROUP BY file_id")
 op("o14_generate_config", "The profile for a file's quality, with adjustments.", """
@@ -62,7 +97,7 @@ op("o19_profiles", "Pipeline profiles.", rows(["profile", "dpi", "engine", "thre
 view("modes", "Deployment modes.", rows(["mode", "temperature", "max_tokens", "page_chars", "context", "batch", "llm_weight", "rule_weight"], MODES))
 op("o20_deployment_presets", "Deployment modes, plain and with the focus on construction papers.", "SELECT mode, focus, temperature, max_tokens, CASE WHEN focus THEN least(1200, page_chars + 200) ELSE page_chars END AS page_chars, CASE WHEN focus THEN least(4, context + 1) ELSE context END AS context, batch, llm_weight, rule_weight FROM (SELECT m.*, explode(array(true, false)) AS focus FROM {modes} m)")
 op("o21_detector_presets", "Detector presets.", rows(["preset", "construction", "rule", "llm", "vlm", "min_confidence", "min_signals"], PRESETS))
-op("o22_indicator_pages", "Pages with a word of the model's list, by file.", f"SELECT file_id, count_if({any_of('lower(text)', INDICATORS)}) AS n FROM {{pages_seeded}} GROUP BY file_id")
+op("o22_indicator_pages", "Pages with a word of the model's list, by file.", "SELECT file_id, count_if(indicated) AS n FROM {page_facts} GROUP BY file_id")
 RANK = "CASE priority WHEN 'high' THEN 1 WHEN 'normal' THEN 2 ELSE 3 END"
 view("waiting_tasks", "Waiting tasks with the hour in which they came.", f"SELECT task_id, priority, {RANK} AS rank, ts, ((year(ts) * 100 + month(ts)) * 100 + day(ts)) * 100 + hour(ts) AS hour FROM {{tasks}} WHERE status = 'pending'")
 

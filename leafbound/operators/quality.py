@@ -19,71 +19,58 @@ LEGAL = ["agreement", "party", "parties", "whereas", "therefore", "shall", "here
 TRIPLES = "|".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyz")
 
 count = lambda col, p: f"size(regexp_extract_all({col}, r'{p}', 0))"
-without = lambda col, p: f"length(@rall({col}¦r'{p}'¦''))"
+without = lambda col, p: f"length(regexp_replace({col}, r'{p}', ''))"
 GIBBERISH = f"(length(w) > 5 AND (regexp_like(w, r'[bcdfghjklmnpqrstvwxyz]{{4,}}') OR regexp_like(w, r'{TRIPLES}') OR (length(w) - {without('w', '[aeiou]')}) / cast(length(w) AS double) < 0.2D))"
 
-view("ocr_pages", "Pages with the wear of scanning: doubled marks, split words, confused letters.", r"""
-SELECT file_id, page_number, doc_id, CASE WHEN lang = 'en' THEN 'en' ELSE 'xx' END AS expected, concat(CASE doc_id % 8 WHEN 0 THEN concat('From: a @ grnail . com', chr(10), 'To: c@d.org', chr(10), 'Subject: rn tl1e thec ~~~ ', chr(10)) WHEN 1 THEN concat('lnvoice ||| INVOICE # 77 total $ 1,200.50 due 2024-03-05 @@@', chr(10))
-  WHEN 2 THEN 'th e cl vv O l 1 and t o work ( now ) , "  quoted  " well-' WHEN 3 THEN concat('section 4 ARTICLE 5 whereas party shall', chr(10), chr(10), chr(10), chr(10), chr(10), 'xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx   #### ##### ----', chr(10)) WHEN 4 THEN 'end.Next,then;so   I1 11 Il ____ ' ELSE '' END,
-  text) AS text FROM {pages_doc}
-""")
-view("char_counts", "Classes of characters and suspicious runs of each page.", f"""
-SELECT file_id, page_number, doc_id, expected, text, length(text) AS n, length(text) - {without("text", r"\p{L}")} AS letters, length(text) - {without("text", r"\p{Nd}")} AS digits, length(text) - {without("text", r"[ \t\n\r\f\x0B\x1c-\x1f\x85\xa0]")} AS spaces,
-  length(text) - {without("text", r"[!-/:-@\[-`{-~]")} AS marks, {count("text", r"[\x01-\x08\x0B\x0C\x0E-\x1F]")} + {count("text", r"[|]{3,}")} + {count("text", r"[~]{3,}")} + {count("text", r"[#]{5,}")} + {count("text", r"[@]{3,}")} AS suspicious FROM {{ocr_pages}}""")
-op("q1_char_confidence", "How the characters are mixed.", """
-SELECT file_id, page_number, CASE WHEN n = 0 THEN 0D ELSE greatest(0D, CASE WHEN letters / cast(n AS double) BETWEEN 0.6D AND 0.85D THEN least(1D, c + 0.1D) ELSE c END) END AS confidence
-FROM (SELECT file_id, page_number, n, letters, CASE WHEN n = 0 THEN 0D ELSE 1 - CASE WHEN (n - letters - digits - spaces - marks) / cast(n AS double) > 0.1D THEN least((n - letters - digits - spaces - marks) / cast(n AS double) * 2, 0.5D) ELSE 0D END - CASE WHEN suspicious > 0 THEN least(suspicious / cast(n AS double) * 10, 0.5D) ELSE 0D END END AS c FROM {char_counts})""")
-view("page_words", "Words of plain letters of each page, in lower case.", r"""
-SELECT file_id, page_number, expected, text, words, array_sort(words) AS sorted, size(words) AS n FROM (SELECT file_id, page_number, expected, text, filter(regexp_extract_all(lower(text), r'[\p{L}\p{N}_]+', 0), w -> regexp_like(w, r'^[a-z]+$')) AS words FROM {ocr_pages})""")
 _common = ", ".join(f"'{w}'" for w in COMMON)
-view("word_counts", "Kinds of words of each page; whether one word is over a fifth of them (then it recurs a fifth further on in sorted order).", f"""
-SELECT file_id, page_number, expected, text, n, size(filter(words, w -> w IN ({_common}))) AS common, size(filter(words, w -> w NOT IN ({_common}) AND length(w) BETWEEN 2 AND 15)) AS fair, size(filter(words, w -> w NOT IN ({_common}) AND length(w) > 20)) AS long,
-  size(filter(words, w -> {GIBBERISH})) AS gibberish, CASE WHEN n = 0 THEN false ELSE size(filter(sequence(1, n - n DIV 5), i -> element_at(sorted, i) = element_at(sorted, i + n DIV 5))) > 0 END AS repetitive FROM {{page_words}}""".replace("n DIV 5", "cast(floor(n / 5D) AS int)"))
-_word = "CASE WHEN n = 0 THEN 0D ELSE least(1D, (common + 0.3D * fair - 0.2D * long) / n * CASE WHEN gibberish > n * 0.1D THEN 0.8D ELSE 1D END * CASE WHEN repetitive THEN 0.7D ELSE 1D END) END"
-op("q2_word_confidence", "How many words are known or of fair length.", f"SELECT file_id, page_number, bround({_word}, 9) AS confidence FROM {{word_counts}}")
-op("q3_gibberish", "Words that can't be words: runs of consonants, tripled letters, hardly a vowel.", "SELECT file_id, page_number, cast(gibberish AS bigint) AS gibberish, cast(n AS bigint) AS n_words FROM {word_counts}")
-_strip = r"@rall(s¦r'^\s+|\s+$'¦'')"
-view("structure", "Sentences, spaces and lines of each page.", rf"""
-SELECT file_id, page_number, text, size(sentences) AS n_sentences, size(filter(sentences, s -> regexp_like(s, r'^\s*\p{{Lu}}'))) AS capital, size(filter(sentences, s -> size(regexp_extract_all(s, r'[^\s]+', 0)) BETWEEN 3 AND 50)) AS fair,
-  contains(text, '   ') AS wide, {count("text", r"[.!?,][a-zA-Z]")} AS tight, size(filter(lines, s -> NOT regexp_like(s, r'[^\s]'))) AS blank, size(lines) AS n_lines
-FROM (SELECT file_id, page_number, text, split(text, r'[.!?]+') AS sentences, split(text, r'\n') AS lines FROM <ocr_pages>)""".replace("<", "{").replace(">)", "})"))
-_structure = "CASE WHEN text = '' THEN 0D ELSE (least((0.3D * capital + 0.7D * fair) / n_sentences, 1D) + 1 - CASE WHEN wide THEN 0.2D ELSE 0D END - CASE WHEN tight > 5 THEN 0.3D ELSE 0D END + CASE WHEN blank / cast(n_lines AS double) > 0.5D THEN 0.5D ELSE 1D END) / 3 END"
-op("q4_structure_confidence", "Sentences, spacing and lines as they should be.", f"SELECT file_id, page_number, bround({_structure}, 9) AS confidence FROM {{structure}}")
 _pairs = " + ".join(count("lower(text)", rf"(?:^|[^\p{{L}}\p{{N}}_]){s}\s+[\p{{L}}\p{{N}}_]") for s in STEMS)
-view("language", "Common words and pairs.", f"SELECT file_id, page_number, expected, n, common, {_pairs} AS pairs FROM {{word_counts}}")
+view("page_figures", "What all scores of a page go by, in one pass over its text: classes of characters, kinds of words, sentences, lines.", rf"""
+SELECT *, size(filter(words, w -> w IN ({_common}))) AS common, size(filter(words, w -> w NOT IN ({_common}) AND length(w) BETWEEN 2 AND 15)) AS fair, size(filter(words, w -> w NOT IN ({_common}) AND length(w) > 20)) AS long, size(filter(words, w -> {GIBBERISH})) AS gibberish,
+  CASE WHEN n = 0 THEN false ELSE size(filter(sequence(1, n - cast(floor(n / 5D) AS int)), i -> element_at(sorted, i) = element_at(sorted, i + cast(floor(n / 5D) AS int)))) > 0 END AS repetitive,
+  size(sentences) AS n_sentences, size(filter(sentences, s -> regexp_like(s, r'^\s*\p{{Lu}}'))) AS capital, size(filter(sentences, s -> size(regexp_extract_all(s, r'[^\s]+', 0)) BETWEEN 3 AND 50)) AS even, size(filter(lines, s -> NOT regexp_like(s, r'[^\s]'))) AS blank, size(lines) AS n_lines
+FROM (SELECT *, array_sort(words) AS sorted, size(words) AS n FROM (
+SELECT file_id, page_number, expected, text, length(text) AS n_chars, length(text) - {without("text", r"\p{L}")} AS letters, length(text) - {without("text", r"\p{Nd}")} AS digits, length(text) - {without("text", r"[ \t\n\r\f\x0B\x1c-\x1f\x85\xa0]")} AS spaces,
+  length(text) - {without("text", r"[!-/:-@\[-`{-~]")} AS marks, {count("text", r"[\x01-\x08\x0B\x0C\x0E-\x1F]")} + {count("text", r"[|]{3,}")} + {count("text", r"[~]{3,}")} + {count("text", r"[#]{5,}")} + {count("text", r"[@]{3,}")} AS suspicious,
+  filter(regexp_extract_all(lower(text), r'[\p{{L}}\p{{N}}_]+', 0), w -> regexp_like(w, r'^[a-z]+$')) AS words, {_pairs} AS pairs, contains(text, '   ') AS wide, {count("text", r"[.!?,][a-zA-Z]")} AS tight, split(text, r'[.!?]+') AS sentences, split(text, r'\n') AS lines FROM <ocr_pages>))""".replace("<ocr_pages>", "{ocr_pages}"), per_page=True)
+_odd = "(n_chars - letters - digits - spaces - marks) / cast(n_chars AS double)"
+_mixed = f"(1 - CASE WHEN {_odd} > 0.1D THEN least({_odd} * 2, 0.5D) ELSE 0D END - CASE WHEN suspicious > 0 THEN least(suspicious / cast(n_chars AS double) * 10, 0.5D) ELSE 0D END)"
+_chars = f"CASE WHEN n_chars = 0 THEN 0D ELSE greatest(0D, CASE WHEN letters / cast(n_chars AS double) BETWEEN 0.6D AND 0.85D THEN least(1D, {_mixed} + 0.1D) ELSE {_mixed} END) END"
+op("q1_char_confidence", "How the characters are mixed.", f"SELECT file_id, page_number, {_chars} AS confidence FROM {{page_figures}}", per_page=True)
+_word = "CASE WHEN n = 0 THEN 0D ELSE least(1D, (common + 0.3D * fair - 0.2D * long) / n * CASE WHEN gibberish > n * 0.1D THEN 0.8D ELSE 1D END * CASE WHEN repetitive THEN 0.7D ELSE 1D END) END"
+op("q2_word_confidence", "How many words are known or of fair length.", f"SELECT file_id, page_number, bround({_word}, 9) AS confidence FROM {{page_figures}}", per_page=True)
+op("q3_gibberish", "Words that can't be words: runs of consonants, tripled letters, hardly a vowel.", "SELECT file_id, page_number, cast(gibberish AS bigint) AS gibberish, cast(n AS bigint) AS n_words FROM {page_figures}", per_page=True)
+_structure = "CASE WHEN text = '' THEN 0D ELSE (least((0.3D * capital + 0.7D * even) / n_sentences, 1D) + 1 - CASE WHEN wide THEN 0.2D ELSE 0D END - CASE WHEN tight > 5 THEN 0.3D ELSE 0D END + CASE WHEN blank / cast(n_lines AS double) > 0.5D THEN 0.5D ELSE 1D END) / 3 END"
+op("q4_structure_confidence", "Sentences, spacing and lines as they should be.", f"SELECT file_id, page_number, bround({_structure}, 9) AS confidence FROM {{page_figures}}", per_page=True)
 _language = "CASE WHEN expected <> 'en' THEN 0.5D WHEN n = 0 THEN 0D WHEN pairs > 0 THEN (common / cast(n AS double) + least(pairs / 20D, 1D)) / 2 ELSE common / cast(n AS double) END"
-op("q5_language_confidence", "How English the text is; other languages are neutral.", f"SELECT file_id, page_number, bround({_language}, 9) AS confidence FROM {{language}}")
+op("q5_language_confidence", "How English the text is; other languages are neutral.", f"SELECT file_id, page_number, bround({_language}, 9) AS confidence FROM {{page_figures}}", per_page=True)
 _dates = " + ".join(count("text", d) for d in DATES)
 op("q6_pattern_confidence", "Addresses, dates and amounts, null where there are none.", f"""
 SELECT file_id, page_number, CASE WHEN emails > 0 THEN 1D END AS email, CASE WHEN dates > 0 THEN least(dates / 5D, 1D) END AS dates, CASE WHEN amounts > 0 THEN least(amounts / 3D, 1D) END AS currency
-FROM (SELECT file_id, page_number, {count("text", EMAIL)} AS emails, {_dates} AS dates, {count("text", CURRENCY)} AS amounts FROM {{ocr_pages}})""")
+FROM (SELECT file_id, page_number, {count("text", EMAIL)} AS emails, {_dates} AS dates, {count("text", CURRENCY)} AS amounts FROM {{ocr_pages}})""", per_page=True)
 _words = lambda ws: "(" + " + ".join(f"cast(regexp_like(lower(text), r'{ascii_word(w)}') AS int)" for w in ws) + ")"
 op("q7_document_confidence", "Signs of an e-mail, an invoice, a contract, scored as each.", f"""
 SELECT file_id, page_number, bround(({" + ".join(f"cast(regexp_like(text, r'(?im)^{h}:') AS int)" for h in ("from", "to", "subject", "date"))}) / 4D / 3 + least({count("text", EMAIL)} / 2D, 1D) / 3 + least(({" + ".join(f"cast(contains(lower(text), '{p}') AS int)" for p in PHRASES)}) / 3D, 1D) / 3, 9) AS email,
   bround((least({_words(INVOICE)} / 3D, 1D) + least({count("text", AMOUNT)} / 3D, 1D) + CASE WHEN regexp_like(text, r'(?i)invoice\\s*#?\\s*:?\\s*\\d+') THEN 1D ELSE 0D END) / 3, 9) AS invoice,
-  bround((least({_words(LEGAL)} / 4D, 1D) + least({count("text", r"(?i)(?:section|article|clause)\s+\d+")} / 3D, 1D)) / 2, 9) AS contract, 0.5D AS other FROM {{ocr_pages}}""".replace("\\\\", "\\"))
-view("page_scores", "The four scores of each page side by side.", f"""
-SELECT c.file_id, c.page_number, c.confidence AS chars, w.confidence AS words, s.confidence AS structure, l.confidence AS language FROM {{q1_char_confidence}} c JOIN {{q2_word_confidence}} w ON c.file_id = w.file_id AND c.page_number = w.page_number
-JOIN {{q4_structure_confidence}} s ON c.file_id = s.file_id AND c.page_number = s.page_number JOIN {{q5_language_confidence}} l ON c.file_id = l.file_id AND c.page_number = l.page_number""")
+  bround((least({_words(LEGAL)} / 4D, 1D) + least({count("text", r"(?i)(?:section|article|clause)\s+\d+")} / 3D, 1D)) / 2, 9) AS contract, 0.5D AS other FROM {{ocr_pages}}""".replace("\\\\", "\\"), per_page=True)
 view("page_quality", "All scores of a page, its overall confidence and what is wrong with it.", rf"""
-SELECT p.file_id, p.page_number, p.text, s.chars, s.words, s.structure, s.language, CASE WHEN p.text = '' THEN 0D ELSE 0.25D * s.chars + 0.3D * s.words + 0.2D * s.structure + 0.25D * s.language END AS overall,
-  CASE WHEN p.text = '' THEN array('no_text_detected') ELSE filter(array(CASE WHEN s.chars < 0.7D THEN 'suspicious_characters' END, CASE WHEN s.words < 0.6D THEN 'low_word_recognition' END, CASE WHEN s.structure < 0.6D THEN 'poor_text_structure' END, CASE WHEN s.language < 0.5D THEN 'language_detection_failed' END,
-    CASE WHEN regexp_like(p.text, r'[|~#@]{{3,}}') THEN 'ocr_artifacts_detected' END, CASE WHEN regexp_like(p.text, r'[\p{{L}}\p{{N}}_]{{25,}}') THEN 'word_boundary_errors' END, CASE WHEN {count("p.text", r"\n\n\n")} > 3 THEN 'excessive_line_breaks' END, CASE WHEN regexp_like(p.text, r'(^|[^\p{{L}}\p{{N}}_])rn([^\p{{L}}\p{{N}}_]|$)') THEN 'rn_to_m_errors' END,
-    CASE WHEN regexp_like(p.text, r'(^|[^\p{{L}}\p{{N}}_])[0O]([^\p{{L}}\p{{N}}_]|$)') THEN 'zero_o_confusion' END, CASE WHEN regexp_like(p.text, r'(^|[^\p{{L}}\p{{N}}_])[Il1]{{2,}}([^\p{{L}}\p{{N}}_]|$)') THEN 'i_l_1_confusion' END), x -> x IS NOT NULL) END AS issues
-FROM <ocr_pages> p JOIN <page_scores> s ON p.file_id = s.file_id AND p.page_number = s.page_number""".replace("<ocr_pages>", "{ocr_pages}").replace("<page_scores>", "{page_scores}"))
+SELECT file_id, page_number, text, chars, words, structure, language, CASE WHEN text = '' THEN 0D ELSE 0.25D * chars + 0.3D * words + 0.2D * structure + 0.25D * language END AS overall,
+  CASE WHEN text = '' THEN array('no_text_detected') ELSE filter(array(CASE WHEN chars < 0.7D THEN 'suspicious_characters' END, CASE WHEN words < 0.6D THEN 'low_word_recognition' END, CASE WHEN structure < 0.6D THEN 'poor_text_structure' END, CASE WHEN language < 0.5D THEN 'language_detection_failed' END,
+    CASE WHEN regexp_like(text, r'[|~#@]{{3,}}') THEN 'ocr_artifacts_detected' END, CASE WHEN regexp_like(text, r'[\p{{L}}\p{{N}}_]{{25,}}') THEN 'word_boundary_errors' END, CASE WHEN {count("text", r"\n\n\n")} > 3 THEN 'excessive_line_breaks' END, CASE WHEN regexp_like(text, r'(^|[^\p{{L}}\p{{N}}_])rn([^\p{{L}}\p{{N}}_]|$)') THEN 'rn_to_m_errors' END,
+    CASE WHEN regexp_like(text, r'(^|[^\p{{L}}\p{{N}}_])[0O]([^\p{{L}}\p{{N}}_]|$)') THEN 'zero_o_confusion' END, CASE WHEN regexp_like(text, r'(^|[^\p{{L}}\p{{N}}_])[Il1]{{2,}}([^\p{{L}}\p{{N}}_]|$)') THEN 'i_l_1_confusion' END), x -> x IS NOT NULL) END AS issues
+FROM (SELECT file_id, page_number, text, {_chars} AS chars, bround({_word}, 9) AS words, bround({_structure}, 9) AS structure, bround({_language}, 9) AS language FROM <page_figures>)""".replace("<page_figures>", "{page_figures}"), per_page=True)
 _bucket = "CASE WHEN text = '' THEN 'empty' WHEN overall >= 0.9D THEN 'excellent' WHEN overall >= 0.8D THEN 'good' WHEN overall >= 0.6D THEN 'fair' WHEN overall >= 0.4D THEN 'poor' ELSE 'very_poor' END"
-op("q8_overall_confidence", "The page's confidence.", "SELECT file_id, page_number, bround(overall, 6) AS confidence FROM {page_quality}")
-op("q9_quality_bucket", "Excellent to very poor.", f"SELECT file_id, page_number, {_bucket} AS quality FROM {{page_quality}}")
-op("q10_issues", "What is wrong with a page, in fixed order.", "SELECT file_id, page_number, array_join(issues, ',') AS issues FROM {page_quality}")
+op("q8_overall_confidence", "The page's confidence.", "SELECT file_id, page_number, bround(overall, 6) AS confidence FROM {page_quality}", per_page=True)
+op("q9_quality_bucket", "Excellent to very poor.", f"SELECT file_id, page_number, {_bucket} AS quality FROM {{page_quality}}", per_page=True)
+op("q10_issues", "What is wrong with a page, in fixed order.", "SELECT file_id, page_number, array_join(issues, ',') AS issues FROM {page_quality}", per_page=True)
 op("q11_suggestions", "What may help; manual review always.", """
 SELECT file_id, page_number, array_join(filter(array(CASE WHEN array_contains(issues, 'suspicious_characters') THEN 'improve scan quality' END, CASE WHEN array_contains(issues, 'low_word_recognition') THEN 'check language settings' END, CASE WHEN array_contains(issues, 'poor_text_structure') THEN 'adjust layout analysis' END,
-  CASE WHEN array_contains(issues, 'ocr_artifacts_detected') THEN 'apply preprocessing' END, CASE WHEN array_contains(issues, 'word_boundary_errors') THEN 'adjust word segmentation' END, 'manual review'), x -> x IS NOT NULL), '; ') AS suggestions FROM {page_quality}""")
+  CASE WHEN array_contains(issues, 'ocr_artifacts_detected') THEN 'apply preprocessing' END, CASE WHEN array_contains(issues, 'word_boundary_errors') THEN 'adjust word segmentation' END, 'manual review'), x -> x IS NOT NULL), '; ') AS suggestions FROM {page_quality}""", per_page=True)
 op("q12_metrics", "Characters, words, lines and vocabulary of a page.", r"""
 SELECT file_id, page_number, cast(length(text) AS bigint) AS n_chars, cast(size(w) AS bigint) AS n_words, cast(size(split(text, r'\n')) AS bigint) AS n_lines, cast(size(array_distinct(transform(w, x -> lower(x)))) AS bigint) AS n_distinct, CASE WHEN size(w) > 0 THEN bround(length(array_join(w, '')) / cast(size(w) AS double), 6) END AS mean_length
-FROM (SELECT file_id, page_number, text, regexp_extract_all(text, r'[^ \t\n\r\f]+', 0) AS w FROM {ocr_pages})""")
+FROM (SELECT file_id, page_number, text, regexp_extract_all(text, r'[^ \t\n\r\f]+', 0) AS w FROM {ocr_pages})""", per_page=True)
 op("q13_quality_summary", "Of each file: mean confidence, pages to review, issues found.", "SELECT file_id, bround(avg(overall), 6) AS mean_confidence, count_if(overall > 0 AND overall < 0.7D) AS n_review, array_join(transform(array_sort(filter(collect_list(CASE WHEN overall > 0 AND overall < 0.7D THEN page_number END), x -> x IS NOT NULL)), x -> cast(x AS string)), ',') AS review, cast(sum(size(issues)) AS bigint) AS n_issues FROM {page_quality} GROUP BY file_id")
 op("q14_page_report", "One page's scores: page 3 of each file.", f"SELECT file_id, page_number, bround(chars, 6) AS chars, bround(words, 6) AS words, bround(structure, 6) AS structure, bround(language, 6) AS language, {_bucket} AS quality FROM {{page_quality}} WHERE page_number = 3")
 op("q15_enhance_page", "Pages whose text is to be repaired: too unsure, and not empty.", "SELECT file_id, page_number, (text <> '' AND overall < 0.6D) AS repair, CASE WHEN overall < 0.4D THEN 'aggressive' WHEN overall < 0.6D THEN 'normal' ELSE 'none' END AS mode FROM {page_quality}")
 op("q16_processing_stats", "Counters over all pages.", "SELECT count(*) AS pages, count_if(text <> '') AS read, count_if(overall < 0.6D) AS low, bround(avg(overall), 6) AS mean_confidence FROM {page_quality}")
 op("q17_validators", "Addresses, links, telephone numbers, dates, amounts and percentages found.", rf"""
-SELECT file_id, page_number, cast({count("text", EMAIL)} AS bigint) AS emails, cast({count("text", r"https?://[^\s]+")} AS bigint) AS urls, cast({count("text", r"\d{3}[-.]\d{3}[-.]\d{4}")} AS bigint) AS phones, cast({_dates} AS bigint) AS dates, cast({count("text", CURRENCY)} AS bigint) AS amounts, cast({count("text", r"\d+(?:\.\d+)?%")} AS bigint) AS percentages FROM <ocr_pages>""".replace("<ocr_pages>", "{ocr_pages}"))
+SELECT file_id, page_number, cast({count("text", EMAIL)} AS bigint) AS emails, cast({count("text", r"https?://[^\s]+")} AS bigint) AS urls, cast({count("text", r"\d{3}[-.]\d{3}[-.]\d{4}")} AS bigint) AS phones, cast({_dates} AS bigint) AS dates, cast({count("text", CURRENCY)} AS bigint) AS amounts, cast({count("text", r"\d+(?:\.\d+)?%")} AS bigint) AS percentages FROM <ocr_pages>""".replace("<ocr_pages>", "{ocr_pages}"), per_page=True)

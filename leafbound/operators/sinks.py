@@ -6,16 +6,32 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafbound.plans.ops import op
+from leafbound.functions.intervals import cover
+from leafbound.plans.ops import op, view
 
-op("s4_bytes_source", "Files given whole: how long, and a checksum of each page's text.", "SELECT file_id, page_number, cast(length(text) AS bigint) AS n_chars, md5(text) AS checksum FROM {pages_doc}")
+op("s4_bytes_source", "Files given whole: how long, and a checksum of each page's text.", "SELECT file_id, page_number, cast(length(text) AS bigint) AS n_chars, md5(text) AS checksum FROM {pages_doc}", per_page=True)
 op("s8_upload_sink", "Uploads that are accepted: PDFs of 500 MB at most.", """
-SELECT page_id, url, CASE WHEN NOT contains(lower(url), '.') THEN 'no name' WHEN size_mb > 500 THEN 'too large' WHEN page_id % 3 = 2 THEN 'not a PDF' ELSE 'accepted' END AS verdict FROM (SELECT page_id, url, page_id * 37 % 800 AS size_mb FROM {pages})""")
+SELECT page_id, url, CASE WHEN NOT contains(lower(url), '.') THEN 'no name' WHEN size_mb > 500 THEN 'too large' WHEN suffix <> 'pdf' THEN 'not a PDF' ELSE 'accepted' END AS verdict FROM {uploads}""")
 op("s9_split_sink", "The parts of each file with their folders.", "SELECT file_id, name, concat(file_id, '/', name, '.pdf') AS path, page_count FROM {b20_split_naming}")
-op("s10_rag_export", "A JSON document for each file with previews of its pages.", """
-SELECT b.file_id, b.start_page, concat('{"file": "', b.file_id, '", "type": "', coalesce(b.document_type, 'unknown'), '", "pages": [', array_join(transform(array_sort(collect_list(p.page_number)), n -> cast(n AS string)), ', '), ']}') AS json, cast(sum(length(left(p.text, 200))) AS bigint) AS preview_chars, cast(sum(p.word_count) AS bigint) AS word_count
-FROM {b4_segment_pages} b JOIN {pages_seeded} p ON p.file_id = b.file_id AND p.page_number BETWEEN b.start_page AND b.end_page WHERE p.text <> '' GROUP BY b.file_id, b.start_page, b.document_type""")
-op("s11_delete", "Pages left after files were deleted.", "SELECT file_id, page_number FROM {pages_doc} WHERE file_id NOT IN ('src1', 'src3')")
+view("page_previews", "What an export shows of each page.", "SELECT file_id, page_number, left(text, 200) AS preview, word_count, ocr_confidence FROM {pages_seeded}", per_page=True)
+
+
+def rag_export(found: DataFrame, previews: DataFrame) -> DataFrame:
+    """A JSON document for each range, with previews of its pages that have text."""
+    shown = cover(previews.where("preview <> ''"), found.select("file_id", "start_page", "end_page", "confidence", "document_type"))
+    page = F.struct(F.col("page_number").alias("page"), "preview", "word_count", F.col("ocr_confidence").alias("confidence"))
+    docs = shown.groupBy("file_id", "start_page", "end_page", "confidence", "document_type").agg(F.array_sort(F.collect_list(page)).alias("pages"), F.sum(F.length("preview")).alias("preview_chars"), F.sum("word_count").alias("word_count"))
+    body = F.struct(F.col("file_id").alias("file"), F.coalesce("document_type", F.lit("unknown")).alias("type"), F.bround("confidence", 6).alias("confidence"), "start_page", "end_page", "pages")
+    return docs.select("file_id", "start_page", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"), "preview_chars", "word_count")
+
+
+def without_files(pages: DataFrame, deleted: list[str]) -> DataFrame:
+    """Pages left after files were deleted; those of the null file stay."""
+    return pages.where(F.coalesce(~F.col("file_id").isin(deleted), F.lit(True)))
+
+
+op("s10_rag_export", "A JSON document for each document found, with previews of its pages.", lambda b4_segment_pages, page_previews: rag_export(b4_segment_pages, page_previews))
+op("s11_delete", "Pages left after files were deleted.", lambda pages_doc: without_files(pages_doc, ["src1", "src3"]).select("file_id", "page_number"))
 
 
 def cached(df: DataFrame) -> DataFrame:
@@ -25,6 +41,4 @@ def cached(df: DataFrame) -> DataFrame:
 
 def write_parts(pages: DataFrame, parts: DataFrame, path: str) -> None:
     """pages (file_id, page_number, ...) written by part: one folder for each file and part. parts: (file_id, start_page, end_page)."""
-    p = parts.select(F.col("file_id").alias("_f"), "start_page", "end_page")
-    inside = (F.col("file_id") == F.col("_f")) & F.col("page_number").between(F.col("start_page"), F.col("end_page"))
-    pages.join(p, inside).drop("_f", "end_page").write.mode("overwrite").partitionBy("file_id", "start_page").parquet(path)
+    cover(pages, parts.select("file_id", "start_page", "end_page")).drop("end_page").write.mode("overwrite").partitionBy("file_id", "start_page").parquet(path)

@@ -1,17 +1,22 @@
-"""Operators as declarative SQL over named inputs.
+"""Operators over named inputs, each one SELECT or one function of DataFrames.
 
-An operator is one SELECT whose inputs stand in braces: base tables, derived views or other operators. On
-Spark every input is a DataFrame behind a temporary view, so a chain of operators is one lazy plan that
-Catalyst optimises as a whole; `apply` runs any operator over DataFrames of the caller's own. The same text,
-with function names put into the other dialect, gives the SQL that checks it.
+The inputs of a SELECT stand in braces, those of a function are its parameters' names: base tables, derived views or other
+operators. Every input is a DataFrame, so a chain of operators is one lazy plan that Catalyst optimises as a
+whole; `apply` runs any operator over DataFrames of the caller's own.
+
+Operators marked `per_page` look at one page at a time and give one row for it. Over the base tables they run before pages
+are numbered: file_id and page_number stand for a page's place then (see sources/pages.py), and only what they
+give is dealt out and numbered, never the text.
 """
 
 from __future__ import annotations
 
 import importlib
+import inspect
 import re
 import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,115 +27,84 @@ _INPUT = re.compile(r"\{([a-z]\w*)\}")
 @dataclass(frozen=True)
 class Op:
     name: str
-    sql: str
     about: str
+    sql: str | None
+    build: Callable[..., DataFrame] | None
     query: bool  # whether it is offered as a query, not only as an input
-    checked: bool = True  # whether the other dialect can say the same
+    per_page: bool
+    given: tuple[str, str] | None = None  # an input that callers may hand in, and the SELECT that holds then
 
     @property
     def inputs(self) -> list[str]:
-        return list(dict.fromkeys(_INPUT.findall(self.sql)))
+        return list(inspect.signature(self.build).parameters) if self.build else list(dict.fromkeys(_INPUT.findall(self.sql)))
 
 
 OPS: dict[str, Op] = {}
 
 
-def op(name: str, about: str, sql: str, query: bool = True, checked: bool = True) -> None:
+def op(name: str, about: str, what: str | Callable[..., DataFrame], query: bool = True, per_page: bool = False, given: tuple[str, str] | None = None) -> None:
     if name in OPS or name in TABLES:
         raise ValueError(f"{name} is taken")
-    OPS[name] = Op(name, sql.strip(), about, query, checked)
-
-
-def view(name: str, about: str, sql: str) -> None:
-    op(name, about, sql, query=False)
-
-
-# Functions of one dialect under their names in the other.
-_NAMES = {
-    "regexp_like": "regexp_matches", "size": "len", "transform": "list_transform", "filter": "list_filter", "split": "string_split_regex", "element_at": "list_extract", "array": "list_value",
-    "array_join": "array_to_string", "array_sort": "list_sort", "collect_list": "list", "explode": "unnest", "sequence": "generate_series", "array_contains": "list_contains", "array_distinct": "list_distinct",
-    "array_max": "list_max", "array_min": "list_min", "format_string": "printf", "array_except": "list_except_", "flatten": "flatten", "arrays_overlap": "list_has_any", "array_union": "list_union_", "unix_micros": "epoch_us",
-    "stddev_pop": "stddev_pop", "get_json_object": "json_extract_string", "bround": "round_even",
-}
-_CALL = re.compile(r"\b(" + "|".join(_NAMES) + r")\(")
-
-
-def _macros(sql: str, spark: bool) -> str:
-    """@name(a;b) forms, for what differs in more than a name. Innermost first."""
-    forms = {
-        "slice": (r"slice({0}, {1}, {2})", r"({0})[{1}:({1}) + ({2}) - 1]"),
-        "last": (r"slice({0}, -least({1}, size({0})), {1})", r"({0})[-{1}:]"),
-        "rall": (r"regexp_replace({0}, {1}, {2})", r"regexp_replace({0}, {1}, {2}, 'g')"),
-        "sum": (r"aggregate({0}, 0D, (a, v) -> a + v)", r"coalesce(list_sum({0}), 0)"),
-        "zip": (r"zip_with({0}, {1}, (a, b) -> {2})", r"list_transform(list_zip({0}, {1}), lambda p: {3})"),
-    }
-    while found := list(re.finditer(rf"@({'|'.join(forms)})\(", sql)):
-        m = found[-1]  # nothing stands inside the last one
-        args, depth, quoted, at, start = [], 1, False, m.end(), m.end()
-        while depth:
-            c = sql[at]
-            quoted ^= c == "'"
-            if not quoted:
-                depth += (c == "(") - (c == ")")
-                if depth == 1 and c in ";¦" or not depth:
-                    args.append(sql[start:at].strip())
-                    start = at + 1
-            at += 1
-        sql = sql[: m.start()] + forms[m[1]][0 if spark else 1].format(*args) + sql[at:]
-    return sql
-
-
-def for_duckdb(sql: str) -> str:
-    sql = _macros(sql, False)
-    sql = _CALL.sub(lambda m: _NAMES[m[1]] + "(", sql)
-    sql = re.sub(r"\(([a-z]\w*), ([a-z]\w*)\) -> ", r"lambda \1, \2: ", sql)
-    sql = re.sub(r"\b([a-z]\w*) -> ", r"lambda \1: ", sql)
-    sql = re.sub(r"\b(\d+(?:\.\d+)?)D\b", r"\1::double", sql)
-    return re.sub(r"\br'", "'", sql)
-
-
-def _order(name: str, seen: dict[str, None]) -> dict[str, None]:
-    for i in OPS[name].inputs:
-        if i in OPS and i not in seen:
-            _order(i, seen)
-    seen[name] = None
-    return seen
+    text = isinstance(what, str)
+    OPS[name] = Op(name, about, what.strip() if text else None, None if text else what, query, per_page, given)
 
 
-def oracle(name: str) -> str:
-    """DuckDB SQL for an operator over the base tables."""
-    parts = [f"{n} AS ({for_duckdb(_INPUT.sub(r'\1', OPS[n].sql))})" for n in _order(name, {})]
-    return f"WITH {', '.join(parts)} SELECT * FROM {name}"
+def view(name: str, about: str, what: str | Callable[..., DataFrame], per_page: bool = False, given: tuple[str, str] | None = None) -> None:
+    op(name, about, what, query=False, per_page=per_page, given=given)
 
 
-def oracle_over(name: str, sql: str) -> str:
-    """DuckDB SQL written for itself, over the result of an operator that both dialects share."""
-    parts = [f"{n} AS ({for_duckdb(_INPUT.sub(r'\1', OPS[n].sql))})" for n in _order(name, {})]
-    return f"WITH {', '.join(parts)} SELECT * FROM ({sql})"
+def needed(name: str) -> dict[str, None]:
+    """The operator and all that it is made of, inputs first."""
+    seen: dict[str, None] = {}
+
+    def visit(n: str) -> None:
+        for i in OPS[n].inputs:
+            if i in OPS and i not in seen:
+                visit(i)
+        seen[n] = None
+
+    visit(name)
+    return seen
 
 
 def apply(name: str, **frames: DataFrame) -> DataFrame:
     """The operator over given DataFrames; inputs that aren't given are derived from others that are."""
     importlib.import_module("leafbound.operators.catalogue")  # declares the operators
+    from leafbound.sources.pages import numbered
+
     spark = next(iter(frames.values())).sparkSession if frames else SparkSession.active()
-    names: dict[str, str] = {}
+    ops = {n: replace(o, sql=o.given[1], build=None, per_page=False) if o.given and o.given[0] in frames else o for n, o in OPS.items()}
+    made: dict[tuple[str, bool], DataFrame] = {}
+    views: list[str] = []
+
+    def early(n: str) -> bool:
+        """Whether n can be computed before its pages are numbered."""
+        return n in ops and ops[n].per_page and n not in frames and all(i == "documents" and i in frames or early(i) for i in ops[n].inputs)
 
-    def known(i: str) -> str:
-        if i not in names:
-            df = frames[i] if i in frames else made(i)
-            names[i] = f"leafbound_{i}_{uuid.uuid4().hex[:12]}"
-            df.createOrReplaceTempView(names[i])
-        return names[i]
+    def frame(n: str, raw: bool) -> DataFrame:
+        if (n, raw) not in made:
+            made[n, raw] = frames[n] if n in frames else compute(n, raw)
+        return made[n, raw]
 
-    def made(n: str) -> DataFrame:
-        if n not in OPS:
+    def compute(n: str, raw: bool) -> DataFrame:
+        if n not in ops:
             raise KeyError(f"{name} needs {n}")
-        return spark.sql(_macros(_INPUT.sub(lambda m: known(m[1]), OPS[n].sql), True))
+        o, first = ops[n], early(n)
+        inputs = {i: frame(i, first) for i in o.inputs}
+        if o.build:
+            out = o.build(**inputs)
+        else:
+            names = {i: f"leafbound_{i}_{uuid.uuid4().hex[:12]}" for i in inputs}
+            for i, v in names.items():
+                inputs[i].createOrReplaceTempView(v)
+                views.append(v)
+            out = spark.sql(_INPUT.sub(lambda m: names[m[1]], o.sql))
+        return out if raw or not first else numbered(out, frames["documents"])
 
     try:
-        return made(name)
+        return frame(name, False)
     finally:
-        for v in names.values():
+        for v in views:
             spark.catalog.dropTempView(v)
 
 
@@ -138,8 +112,8 @@ def over_tables(name: str):
     """A query: the operator over a folder of base tables."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        needed = {i for n in _order(name, {}) for i in OPS[n].inputs if i in TABLES}
-        return apply(name, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in sorted(needed)})
+        tables = {i for n in needed(name) for i in OPS[n].inputs if i in TABLES}
+        return apply(name, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in sorted(tables)})
 
     run.__name__, run.__doc__ = name, OPS[name].about
     return run

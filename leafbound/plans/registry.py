@@ -1,8 +1,9 @@
 """Every query of the segmentation engine by name, with SQL that says the same where SQL can."""
 
 from leafbound.operators import catalogue  # noqa: F401  (declares the operators)
-from leafbound.operators.repair import CHECKS, correction_suggestions, similarity
-from leafbound.plans.ops import OPS, apply, oracle, oracle_over, over_tables
+from leafbound.operators.repair import correction_suggestions, similarity
+from leafbound.oracles import TEXTS, oracle
+from leafbound.plans.ops import OPS, apply, over_tables
 
 
 def _p9(spark, sf_dir):
@@ -14,4 +15,4 @@ def _p10(spark, sf_dir):
 
 
 QUERIES = {n: over_tables(n) for n, o in OPS.items() if o.query} | {"p9_similarity_ratio": _p9, "p10_correction_suggestions": _p10}
-ORACLES = {n: oracle(n) for n in QUERIES if n in OPS and OPS[n].checked} | {n: oracle_over("p1_basic_cleanup", sql) for n, sql in CHECKS.items()}
+ORACLES = {n: oracle(n) for n in QUERIES if n in TEXTS}
