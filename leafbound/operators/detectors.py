@@ -10,14 +10,15 @@ see it, so one that raises, while it is planned or while it runs, is left out an
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafbound.functions.shared import shared_dir
+
 SCHEMA = {"file_id": None, "page_number": "int", "signal": "string", "confidence": "double"}
 
 
@@ -46,14 +47,6 @@ def unregister(name: str) -> None:
     FAILURES.pop(name, None)
 
 
-def _shared(spark: SparkSession) -> str:
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="signals-")
-
-
 def _checked(found: DataFrame, pages: DataFrame) -> DataFrame:
     missing = [c for c in SCHEMA if c not in found.columns]
     if missing:
@@ -73,7 +66,7 @@ def signals(pages: DataFrame) -> DataFrame | None:
     for d in list(REGISTERED.values()):
         FAILURES.pop(d.name, None)
         try:
-            found, path = _checked(d.detect(pages), pages), f"{_shared(pages.sparkSession)}/signals-{uuid.uuid4().hex}"
+            found, path = _checked(d.detect(pages), pages), f"{shared_dir(pages.sparkSession)}/signals-{uuid.uuid4().hex}"
             found.write.parquet(path)
             found = pages.sparkSession.read.schema(found.schema).parquet(path).withColumn("plugin", F.lit(d.name))
         except Exception as e:  # whatever a user's function raises, here or on an executor

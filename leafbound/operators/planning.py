@@ -114,4 +114,4 @@ op("task_queue_order", "Waiting tasks in the order they are taken: by meaning of
 SELECT w.task_id, w.priority, cast(r.before + w.n AS bigint) AS position, cast(s.before + w.m AS bigint) AS spelled_position
 FROM (SELECT task_id, priority, rank, hour, row_number() OVER (PARTITION BY rank, hour ORDER BY ts, task_id) AS n, row_number() OVER (PARTITION BY priority, hour ORDER BY ts, task_id) AS m FROM {waiting_tasks}) w
 JOIN {rank_hours} r ON w.rank = r.rank AND w.hour IS NOT DISTINCT FROM r.hour JOIN {spelled_hours} s ON w.priority IS NOT DISTINCT FROM s.priority AND w.hour IS NOT DISTINCT FROM s.hour""")
-op("task_status", "Where each user's latest task stands.", "SELECT user_id, max_by(status, task_id) AS status, count(*) AS n_events FROM {tasks} GROUP BY user_id")
+op("task_status", "Where each user's latest task stands.", "SELECT user_id, max_by(status, struct(ts, task_id)) AS status, count(*) AS n_events FROM {tasks} GROUP BY user_id")

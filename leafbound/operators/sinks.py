@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafbound.functions.intervals import cover
@@ -39,6 +42,38 @@ def cached(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY_2)
 
 
-def write_parts(pages: DataFrame, parts: DataFrame, path: str) -> None:
-    """pages (file_id, page_number, ...) written by part: one folder for each file and part. parts: (file_id, start_page, end_page)."""
-    cover(pages, parts.select("file_id", "start_page", "end_page")).drop("end_page").write.mode("overwrite").partitionBy("file_id", "start_page").parquet(path)
+def write_parts(pages: DataFrame, parts: DataFrame, path: str) -> str:
+    """pages (file_id, page_number, ...) by part, one folder for each file and part, as one new version of `path`. parts: (file_id, start_page, end_page).
+
+    Tasks write under the version's own folder, and Spark's committer keeps what one attempt of each task wrote. Only when all is
+    written and counted does the version's manifest appear, by one rename; `read_parts` reads what the newest manifest names. So
+    failed or half-done runs are never seen, and readers of an earlier version aren't disturbed. Returns the version.
+    """
+    spark, version = pages.sparkSession, f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    target = f"{path}/data/{version}"
+    split = cover(pages, parts.select("file_id", "start_page", "end_page"))
+    split.write.partitionBy("file_id", "start_page").parquet(target)
+    listed = spark.read.schema(split.schema).parquet(target).groupBy("file_id", "start_page").agg(F.min("page_number").alias("first_page"), F.max("page_number").alias("last_page"), F.count("*").alias("n_pages"))
+    listed.withColumn("version", F.lit(version)).coalesce(1).write.parquet(f"{path}/data/{version}-manifest")
+    there = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifests")
+    fs = there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.mkdirs(there)
+    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/data/{version}-manifest"), spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifests/{version}")):
+        raise OSError(f"the manifest of {version} can't be put in place")
+    return version
+
+
+def manifest(spark: SparkSession, path: str) -> tuple[str, DataFrame] | None:
+    """The newest version and its parts: (file_id, start_page, first_page, last_page, n_pages)."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifests")
+    fs = there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    versions = sorted(f.getPath().getName() for f in fs.listStatus(there)) if fs.exists(there) else []
+    return (versions[-1], spark.read.parquet(f"{path}/manifests/{versions[-1]}")) if versions else None
+
+
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    """The pages of the newest version that was committed."""
+    found = manifest(spark, path)
+    if found is None:
+        raise FileNotFoundError(f"no committed parts in {path}")
+    return spark.read.parquet(f"{path}/data/{found[0]}")

@@ -152,15 +152,13 @@ SELECT file_id, style, accuracy FROM (SELECT file_id, style, accuracy, row_numbe
 op("t17_prompt_optimize", "A prompt with blank runs collapsed, its JSON instruction, and a length limit.", r"""
 SELECT file_id, page_number, CASE WHEN length(p) > 14000 THEN left(p, 14000) ELSE p END AS prompt FROM (SELECT file_id, page_number, concat(regexp_replace(regexp_replace(text, r'\n[ \t\n]*\n', chr(10)), r'[ \t]+', ' '), chr(10), 'Reply with JSON only.') AS p FROM {pages_seeded})
 """, per_page=True)
-_REPLY = """concat('Sure. {"is_boundary": ', CASE WHEN event_id % 3 = 0 THEN 'true' ELSE 'false' END, CASE WHEN event_id % 4 = 0 THEN '' ELSE concat(', "confidence": 0.', cast(event_id % 9 + 1 AS string)) END, ', "document_type": "', CASE event_id % 5 WHEN 0 THEN 'Invoice' WHEN 1 THEN 'RFI' WHEN 2 THEN 'purchase order' WHEN 3 THEN 'memo' ELSE 'email' END, '"} done')"""
-op("t18_llm_json_parse", "Replies of a model: the JSON in them, with defaults.", rf"""
+op("t18_llm_json_parse", "Replies of a model: the JSON in them, with defaults.", r"""
 SELECT event_id, coalesce(get_json_object(j, '$.is_boundary') = 'true', false) AS is_boundary, coalesce(cast(get_json_object(j, '$.confidence') AS double), 0.5D) AS confidence, get_json_object(j, '$.document_type') AS document_type
-FROM (SELECT event_id, regexp_extract(r, r'(?s)\{{.*\}}', 0) AS j FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'no json here' ELSE {_REPLY} END AS r FROM <<events>>)) WHERE j <> ''
-""".replace("{{", "{").replace("}}", "}").replace("<<", "{").replace(">>", "}"))
+FROM (SELECT event_id, regexp_extract(reply, r'(?s)\{.*\}', 0) AS j FROM {json_replies}) WHERE j <> ''
+""")
 op("t19_llm_type_map", "Type names of a model in the engine's terms.", f"SELECT event_id, CASE lower(document_type) {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in LLM_TYPES.items())} ELSE 'other' END AS document_type FROM {{t18_llm_json_parse}}")
 op("t20_llm_text_fallback", "Replies without JSON: words and numbers decide.", r"""
-SELECT event_id, (contains(lower(r), 'yes') OR contains(lower(r), 'boundary: true')) AS is_boundary, coalesce(cast(nullif(regexp_extract(r, r'confidence[^0-9]*([0-9]+\.[0-9]+)', 1), '') AS double), 0.5D) AS confidence
-FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN concat('Yes, confidence 0.', cast(event_id % 9 + 1 AS string)) WHEN 1 THEN 'No new document.' ELSE 'boundary: true' END AS r FROM {events})
+SELECT event_id, (contains(lower(reply), 'yes') OR contains(lower(reply), 'boundary: true')) AS is_boundary, coalesce(cast(nullif(regexp_extract(reply, r'confidence[^0-9]*([0-9]+\.[0-9]+)', 1), '') AS double), 0.5D) AS confidence FROM {plain_replies}
 """)
 op("t21_prepare_page_text", "Lines trimmed, blank ones gone, headings before the rest, 400 characters at most.", r"""
 SELECT file_id, page_number, left(array_join(concat(filter(l, s -> regexp_like(s, r'^[A-Z][^a-z]*$') OR contains(s, ':')), filter(l, s -> NOT (regexp_like(s, r'^[A-Z][^a-z]*$') OR contains(s, ':')))), chr(10)), 400) AS prepared

@@ -88,5 +88,5 @@ FROM (SELECT task_id, priority, rank, hour, row_number() OVER (PARTITION BY rank
 JOIN {rank_hours} r ON w.rank = r.rank AND w.hour IS NOT DISTINCT FROM r.hour JOIN {spelled_hours} s ON w.priority IS NOT DISTINCT FROM s.priority AND w.hour IS NOT DISTINCT FROM s.hour
 
 -- task_status
-SELECT user_id, max_by(status, task_id) AS status, count(*) AS n_events FROM {tasks} GROUP BY user_id
+SELECT user_id, status, n_events FROM (SELECT user_id, status, count(*) OVER (PARTITION BY user_id) AS n_events, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, task_id DESC) AS r FROM {tasks}) WHERE r = 1
 

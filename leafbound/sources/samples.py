@@ -92,3 +92,14 @@ TEMPLATES = {
 }
 
 view("uploads", "Files that are handed in, with made-up sizes and suffixes.", "SELECT page_id, url, page_id * 37 % 800 AS size_mb, CASE WHEN page_id % 3 = 2 THEN 'txt' ELSE 'pdf' END AS suffix FROM {pages}")
+
+view("json_replies", "Replies of a model with JSON in most of them.", r"""
+SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'no json here' ELSE concat('Sure. {"is_boundary": ', CASE WHEN event_id % 3 = 0 THEN 'true' ELSE 'false' END, CASE WHEN event_id % 4 = 0 THEN '' ELSE concat(', "confidence": 0.', cast(event_id % 9 + 1 AS string)) END, ', "document_type": "', CASE event_id % 5 WHEN 0 THEN 'Invoice' WHEN 1 THEN 'RFI' WHEN 2 THEN 'purchase order' WHEN 3 THEN 'memo' ELSE 'email' END, '"} done') END AS reply FROM {events}""")
+view("plain_replies", "Replies of a model without JSON.", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN concat('Yes, confidence 0.', cast(event_id % 9 + 1 AS string)) WHEN 1 THEN 'No new document.' ELSE 'boundary: true' END AS reply FROM {events}")
+
+
+def stand_in(prompt: str) -> str:
+    """Answers like a model, by words of the prompt."""
+    text = prompt.split("\n", 1)[-1].lower()
+    kind = next((k for k in ("invoice", "rfi", "contract", "proposal") if k in text), "letter")
+    return f'{{"is_boundary": {str(kind != "letter" or "dear" in text).lower()}, "confidence": 0.{6 + len(text) % 4}, "document_type": "{kind}"}}'

@@ -84,9 +84,25 @@ def test_interval_join_of_a_long_file(spark):
 def test_parts_are_written_once(spark, tmp_path):
     pages = spark.createDataFrame([("f", i, f"page {i}") for i in range(1, 30)], "file_id string, page_number int, text string")
     parts = spark.createDataFrame([("f", 1, 9), ("f", 10, 29)], "file_id string, start_page int, end_page int")
-    sinks.write_parts(pages, parts, str(tmp_path / "parts"))
-    got = spark.read.parquet(str(tmp_path / "parts"))
-    assert sorted((r["start_page"], r["page_number"]) for r in got.collect()) == [(1 if i < 10 else 10, i) for i in range(1, 30)]
+    path = str(tmp_path / "parts")
+    got = lambda: sorted((r["start_page"], r["page_number"]) for r in sinks.read_parts(spark, path).collect())
+    with pytest.raises(FileNotFoundError):
+        sinks.read_parts(spark, path)
+    # A run in which a task's attempt fails after some rows were written: nothing of it is seen.
+    broken = pages.repartition(3).withColumn("text", F.expr("CASE WHEN page_number = 20 THEN raise_error('disk') ELSE text END"))
+    with pytest.raises(Exception, match="disk"):
+        sinks.write_parts(broken, parts, path)
+    with pytest.raises(FileNotFoundError):
+        sinks.read_parts(spark, path)
+    sinks.write_parts(pages, parts, path)
+    want = [(1 if i < 10 else 10, i) for i in range(1, 30)]
+    assert got() == want
+    with pytest.raises(Exception, match="disk"):
+        sinks.write_parts(broken, parts, path)
+    assert got() == want
+    second = sinks.write_parts(pages.where("page_number < 12"), parts, path)
+    version, listed = sinks.manifest(spark, path)
+    assert got() == want[:11] and version == second and sorted((r["start_page"], r["first_page"], r["last_page"], r["n_pages"]) for r in listed.collect()) == [(1, 1, 9, 9), (10, 10, 11, 2)]
 
 
 # ---- plans
