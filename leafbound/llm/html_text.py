@@ -4,16 +4,18 @@ The standard library's parser feeds blocks: runs of text between block-level tag
 those within links, and its number of tags. Each block's ratio of unlinked characters to tags is smoothed with
 a Gaussian along the page; blocks at or above one standard deviation form the content clusters.
 
-Names of elements and classes only hint: a part they call a menu, an advert, comments and so on goes as
-long as there is content outside such parts: an article or main element, a first heading, or a fair share of
-all unlinked text. While there is none of these, the part with such a heading or else with the most text is
-taken for a wrapper and opened, so what wraps the whole page loses nothing, whatever it is called. What goes
-takes no part in the ratios.
+Names of elements and classes only hint. A class is read as a compound: it names the part by its last word ("cookie-notice"),
+or by its first if only words for containers follow ("comments-section"); "share-prices" or "ad-free-reading" name no
+part. A part that is called a menu, an advert, comments and so on goes as long as there is content outside such
+parts: an article or main element, a first heading, or a fair share of all unlinked text. While there is none of
+these, the part with such a heading or else with the most text is taken for a wrapper and opened, so what wraps the whole
+page loses nothing, whatever it is called. A part that a compound's last word alone names is opened, too, if it holds
+a large share of the text. What goes takes no part in the ratios.
 
 Of what is left, the clusters choose: their own blocks; those of an article or main element that holds
-clusters, and of a container with a cluster right in it; what stands between clusters; and headings before any of these.
-Blocks that are links for the most part are kept only in articles. Where articles hold nearly all
-clustered text, nothing outside them is kept.
+clusters, and of a container with a cluster right in it; what stands between clusters or between the first heading and them;
+headings before any of these; and sentences that follow the last cluster in or beside the part around it.
+Blocks that are links for the most part are kept only in articles.
 
 Defined cases: null and empty pages have empty text; pages without clusters give what blocks are left;
 markup that never closes is closed by its parents; nesting of any depth takes linear time and space;
@@ -34,8 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Width of the smoothing in blocks; the share of unlinked text that counts as content outside hinted parts; the share of clustered text from which articles hold it all.
-SIGMA, REST, HELD = 1.0, 0.25, 0.8
+#: Width of the smoothing in blocks; the share of unlinked text that counts as content outside hinted parts; the share of it from which a faintly hinted part is content.
+SIGMA, REST, LARGE = 1.0, 0.25, 0.34
 #: Elements by their role in HTML.
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre "
@@ -57,31 +59,41 @@ PARTS = frozenset(
     "subscription toolbar widget widgets".split()
 )
 PARTS_OUTSIDE = frozenset("header footer masthead topbar bottom".split())
+#: Words that say no more than that something is held together.
+HOLDERS = frozenset("area bar block body bottom box btn button buttons cell col column container content desktop feed fixed foot form group head header icon icons inner item items left link links list main mobile module outer page panel "
+                    "popup right row section sections site slot sticky strip tab title top unit wrap wrapper zone".split())
 QUALIFIERS = frozenset("has no with without is not".split())
 _PIECES, _HIDDEN = re.compile(r"[_-]+|(?<=[a-z])(?=[A-Z])"), re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+_SENTENCE = re.compile(r"\w.*[.!?…。][\"'”’»)]*$")
 _REACH = int(3 * SIGMA + 0.5)
 KERNEL = np.exp(-0.5 * (np.arange(-_REACH, _REACH + 1) / SIGMA) ** 2)
 KERNEL /= KERNEL.sum()
 
 
-def hinted(tag: str, attrs: list, inside: bool) -> bool:
-    """Whether an element calls itself something other than content. inside: within an article or main element, which have headers and footers of their own."""
+def hinted(tag: str, attrs: list, inside: bool) -> int:
+    """Whether an element calls itself something other than content: 2 plainly, 1 by the last word of a compound only. inside: within an article or main element, which have headers and footers of their own."""
     if tag in HINTED or (tag == "header" and not inside):
-        return True
+        return 2
+    names = PARTS if inside else PARTS | PARTS_OUTSIDE
+    faint = 0
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return 2
         if not value:
             continue
         if (name == "role" and value.lower() in ROLES) or (name == "style" and _HIDDEN.search(value)):
-            return True
+            return 2
         if name in ("class", "id"):
             for token in value.split():
-                pieces = [x.lower() for x in _PIECES.split(token) if x]
-                ends = {pieces[0], pieces[-1]} if pieces and pieces[0] not in QUALIFIERS else set()
-                if ends & PARTS or (not inside and ends & PARTS_OUTSIDE):
-                    return True
-    return False
+                pieces = [x for x in (x.lower() for x in _PIECES.split(token)) if x and not x.isdigit()]
+                if not pieces or pieces[0] in QUALIFIERS:
+                    continue
+                rest = [x for x in pieces if x not in names]
+                if pieces[0] in names and all(x in HOLDERS for x in rest) or pieces[-1] in names and all(x in HOLDERS for x in rest):
+                    return 2
+                if pieces[-1] in names:
+                    faint = 1
+    return faint
 
 
 class Blocks(HTMLParser):
@@ -89,7 +101,7 @@ class Blocks(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.nodes: list[tuple[int, str, bool]] = [(-1, "", False)]  # parent, tag, hinted
+        self.nodes: list[tuple[int, str, int]] = [(-1, "", 0)]  # parent, tag, hint
         self.stack: list[tuple] = []  # (tag, silent, node, within an article or main, within a link)
         self.open: Counter = Counter()
         self.blocks: list[tuple[str, int, int, int, str]] = []  # text, linked characters, tags, node, heading or ""
@@ -122,7 +134,7 @@ class Blocks(HTMLParser):
             if tag in SIBLINGS:
                 self._implied(SIBLINGS[tag], HOLDS_ITEMS)
         _, silent, node, inside, link = self._state()
-        hint = not silent and tag not in ("html", "body", "article", "main") and hinted(tag, attrs, inside)
+        hint = 0 if silent or tag in ("html", "body", "article", "main") else hinted(tag, attrs, inside)
         if hint or tag in CONTAINERS:
             self.nodes.append((node, tag, hint))
             node = len(self.nodes) - 1
@@ -170,7 +182,7 @@ def content(ratios: np.ndarray) -> np.ndarray:
     return (smooth >= ratios.std()) & (smooth > 0)
 
 
-def left_out(nodes: list[tuple[int, str, bool]], of: list[int], mass: list[float], first: list[bool]) -> list[bool]:
+def left_out(nodes: list[tuple[int, str, int]], of: list[int], mass: list[float], first: list[bool]) -> list[bool]:
     """For each node whether it lies in a hinted part that goes. Of the blocks: their nodes; their unlinked characters; whether they are a first heading."""
     part, in_article = [-1] * len(nodes), [False] * len(nodes)  # the innermost hinted node of each
     own, mains, parts = [0.0] * len(nodes), [False] * len(nodes), [[] for _ in nodes]
@@ -192,7 +204,16 @@ def left_out(nodes: list[tuple[int, str, bool]], of: list[int], mass: list[float
             held[up], holds[up] = held[up] + held[i], holds[up] or holds[i]
     top = [(not holds[i], -held[i], i) for i, n in enumerate(nodes) if n[2] and part[n[0]] < 0]
     heapq.heapify(top)
-    opened, total = set(), sum(mass)
+    # A faint hint on much of the text that no plain part holds is a wrapper's name.
+    sure = [False] * len(nodes)
+    for i, (parent, _, hint) in enumerate(nodes):
+        sure[i] = hint == 2 or (parent >= 0 and sure[parent])
+    loose = [0.0] * len(nodes)
+    for n, m in zip(of, mass, strict=True):
+        loose[n] += 0.0 if sure[n] else m
+    for i in range(len(nodes) - 1, 0, -1):
+        loose[nodes[i][0]] += loose[i]
+    opened, total = {i for i, n in enumerate(nodes) if n[2] == 1 and loose[i] > 0 and loose[i] >= LARGE * loose[0]}, sum(mass)
     while top and not main and free <= REST * total:
         _, _, i = heapq.heappop(top)
         opened.add(i)
@@ -230,13 +251,19 @@ def main_text(html: str | None) -> str:
         article[i] = article[parent] if parent >= 0 and article[parent] >= 0 else i if tag in ("article", "main") else -1
     with_cluster = {container[blocks[i][3]] for i in clustered}
     articles = {article[blocks[i][3]] for i in clustered} - {-1}
-    if sum(sizes[i] for i in clustered if article[blocks[i][3]] >= 0) >= HELD * sizes[clustered].sum():
-        return "\n".join(b[0] for b in blocks if article[b[3]] in articles)
+    first, last = clustered[0], clustered[-1]
+    heading = next((i for i, b in enumerate(blocks[:first]) if b[4] == "h1"), first)
     kept = [
-        in_cluster[i] or article[b[3]] in articles or (plain[i] and (container[b[3]] in with_cluster or clustered[0] < i < clustered[-1])) for i, b in enumerate(blocks)
+        in_cluster[i] or article[b[3]] in articles or (plain[i] and (container[b[3]] in with_cluster or heading <= i < last)) for i, b in enumerate(blocks)
     ]
     for i in range(len(blocks) - 2, -1, -1):  # headings, from the last one up
         kept[i] = kept[i] or (kept[i + 1] and bool(blocks[i][4]))
+    if not articles:  # closing sentences in containers beside that of the last cluster
+        around = container[nodes[container[blocks[last][3]]][0]]
+        for i in range(last + 1, len(blocks)):
+            if not kept[i] and not (plain[i] and linked[i] == 0 and _SENTENCE.search(blocks[i][0]) and around in (at := container[blocks[i][3]], container[nodes[at][0]])):
+                break
+            kept[i] = True
     return "\n".join(b[0] for b, k in zip(blocks, kept, strict=True) if k)
 
 

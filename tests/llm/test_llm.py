@@ -90,6 +90,26 @@ def test_html_parts_beside_the_body():
     assert lines[:2] == ["Title", "The lead of it."] and lines[-1] == "The closing part of the page."
 
 
+@pytest.mark.parametrize("part", ['<div class="share-prices">', '<div class="content ad-free-reading">', '<section id="login-required-content">', '<div class="social-policy-text">', '<div class="story-promo">', '<div class="notice-of-the-day-story">'])
+@pytest.mark.parametrize("around", [("<article>", "</article>"), ("<div class=page>", "</div>")])
+def test_html_compounds_lose_no_text(part, around):
+    long = "A long sentence of the story goes on and on. " * 12
+    page = f"<body><nav><a href=1>Home</a></nav>{around[0]}<h1>Title</h1><p>The lead.</p>{part}<p>{long}</p><p>Short one.</p><p>{long}</p></{part[1:].split()[0]}><p>The end.</p>{around[1]}<footer>All rights</footer></body>"
+    assert html_text.main_text(page).split("\n") == ["Title", "The lead.", long.strip(), "Short one.", long.strip(), "The end."]
+
+
+@pytest.mark.parametrize("part", ["comments", "comments-section", "comment-list", "user-comments", "post_comments", "cookie-notice", "site-footer-ad", "sidebar-inner", "ad-container", "newsletterSignup", "related-posts-widget"])
+def test_html_parts_go(part):
+    page = f'<body><article>{ARTICLE}<div class="{part}"><p>' + "Somebody says something here. " * (9 if "comment" not in part else 60) + "</p></div></article></body>"
+    assert html_text.main_text(page) == PLAIN
+
+
+def test_html_edges_without_article():
+    long = "A long sentence of the story goes on and on. " * 12
+    page = f"<body><nav><a href=1>Home</a></nav><div><h1>Title</h1></div><div><p>Short lead.</p></div><div><p>{long}</p></div><div><p>{long}</p></div><div><p>The short end.</p></div><div><a href=1>x</a> <a href=2>y</a></div><div><p>No sentence</p></div></body>"
+    assert html_text.main_text(page).split("\n") == ["Title", "Short lead.", long.strip(), long.strip(), "The short end."]
+
+
 def test_html_clusters_decide(monkeypatch):
     links = "<div>" + "".join(f"<p><i>{i}</i> <b>May</b></p>" for i in range(12)) + "</div>"
     page = f"<body>{links}<div>{ARTICLE}</div>{links}</body>"
