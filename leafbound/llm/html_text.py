@@ -58,6 +58,8 @@ PARTS = frozenset(
     "newsletter notice notices pager pagination paywall popup promo promoted promotion related replies respond search share sharing shares sidebar sidebars signup skip social sponsor sponsored subscribe "
     "subscription toolbar widget widgets".split()
 )
+#: Of these, names that leave no doubt at the end of a compound either.
+PLAINLY = frozenset("ad ads advert adverts advertisement breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer nav navbar navigation pager pagination replies sidebar sidebars".split())
 PARTS_OUTSIDE = frozenset("header footer masthead topbar bottom".split())
 #: Words that say no more than that something is held together.
 HOLDERS = frozenset("area bar block body bottom box btn button buttons cell col column container content desktop feed fixed foot form group head header icon icons inner item items left link links list main mobile module outer page panel "
@@ -89,7 +91,7 @@ def hinted(tag: str, attrs: list, inside: bool) -> int:
                 if not pieces or pieces[0] in QUALIFIERS:
                     continue
                 rest = [x for x in pieces if x not in names]
-                if pieces[0] in names and all(x in HOLDERS for x in rest) or pieces[-1] in names and all(x in HOLDERS for x in rest):
+                if pieces[-1] in PLAINLY & names or (pieces[0] in names or pieces[-1] in names) and all(x in HOLDERS for x in rest):
                     return 2
                 if pieces[-1] in names:
                     faint = 1
