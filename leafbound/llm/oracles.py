@@ -25,10 +25,14 @@ FROM e JOIN x USING (host)
 
 
 def _licenses() -> str:
-    from .licenses import BLANK, END, LEADER, NUMBER, OTHER, RIGHTS, SHORT, VERSION, known, patterns
+    from .licenses import BLANK, END, JOIN, LATER, LEADER, NUMBER, OTHER, RIGHTS, SHORT, SLOTS, VERSION, known, patterns
 
     table = ", ".join(f"('{k}', '{v}')" for k, v in known().items())
 
+    normal = rf"trim(regexp_replace(regexp_replace(x, '{NUMBER}', '#', 'g'), '{OTHER}', ' ', 'g'))"
+    for pattern, sentence in SLOTS:
+        normal = f"regexp_replace({normal}, '{pattern}', '{sentence}', 'g')"
+
     def reading(x: str, text: str) -> str:
         """Tables that end in {x}z: (r, s, n_known, q, rest, found) of each document."""
         steps, at = [], f"{x}q0"
@@ -36,10 +40,10 @@ def _licenses() -> str:
             steps.append(f"{x}q{i} AS (SELECT * REPLACE (regexp_replace(rest, '{p}', '', 'g') AS rest, list_concat(found, list_transform(regexp_extract_all(rest, '{p}', 1), lambda v: '{a}' || v || '{b}')) AS found) FROM {at})")
             at = f"{x}q{i}"
         return rf"""
-{x}s AS (SELECT r, list_filter(string_split(regexp_replace(regexp_replace({text}, '{VERSION}', 'v \\1', 'g'), '{END}', '\1' || chr(10), 'g'), chr(10)), lambda x: regexp_matches(x, '{RIGHTS}')) AS s FROM d),
+{x}s AS (SELECT r, list_filter(string_split(regexp_replace(regexp_replace({text}, '{VERSION}', 'v \1', 'g'), '{END}', '\1' || chr(10), 'g'), chr(10)), lambda x: regexp_matches(x, '{RIGHTS}')) AS s FROM d),
 {x}u AS (SELECT r, unnest(s) AS x, unnest(range(len(s))) AS o FROM {x}s),
 {x}m AS (SELECT r, o, '<' || k.i || '@' || regexp_extract(x, '\b([0-9]+(?:\.[0-9]+)*)', 1) || '>' AS e FROM {x}u
-  JOIN k ON k.n = trim(regexp_replace(regexp_replace(x, '{NUMBER}', '#', 'g'), '{OTHER}', ' ', 'g'))),
+  JOIN k ON k.n = {normal}),
 {x}g AS (SELECT r, count(*) AS n_known, string_agg(e, '' ORDER BY o) AS q FROM {x}m GROUP BY r),
 {x}q0 AS (SELECT r, s, coalesce(n_known, 0) AS n_known, coalesce(q, '') AS q, coalesce(q, '') AS rest, []::varchar[] AS found FROM {x}s LEFT JOIN {x}g USING (r)),
 {", ".join(steps)},
@@ -49,7 +53,9 @@ def _licenses() -> str:
     return rf"""
 WITH k(n, i) AS (VALUES {table}),
 c AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-d AS (SELECT r, doc_id, regexp_replace(CASE WHEN regexp_matches(t, '{RIGHTS}') THEN t ELSE '' END, '{SHORT}', chr(10) || chr(10) || 'spdx-license-identifier \1' || chr(10) || chr(10), 'g') AS t FROM c),
+h AS (SELECT r, doc_id, CASE WHEN regexp_matches(t, '{RIGHTS}') THEN t ELSE '' END AS t FROM c),
+d AS (SELECT r, doc_id, regexp_replace(t, '{SHORT}', chr(10) || chr(10), 'g') || array_to_string(list_transform(list_filter(flatten(list_transform(regexp_extract_all(t, '{SHORT}', 1), lambda e: string_split_regex(e, '{JOIN}'))), lambda x: x <> ''),
+  lambda x: chr(10) || chr(10) || 'spdx-license-identifier ' || regexp_replace(x, '{LATER}', '-or-later')), '') AS t FROM h),
 {reading("l", "t")},
 {reading("p", joined)},
 b AS (SELECT d.doc_id, lz.n_known > pz.n_known AS by_line, lz, pz, CASE WHEN len(list_filter(regexp_extract_all(lz.q, '<([^@>]*)@', 1), lambda x: NOT list_contains(regexp_extract_all(pz.q, '<([^@>]*)@', 1), x))) > 0 THEN list_concat(pz.found, lz.found) ELSE pz.found END AS f FROM d JOIN lz ON d.r = lz.r JOIN pz ON d.r = pz.r),

@@ -765,11 +765,54 @@ def test_full_licenses(spark, leader):
 
 def test_licence_tables():
     known = licenses.known()
-    assert {i for _, ids in licenses.RULES for i in ids} <= set(known.values())
+    assert {i.rstrip("*") for _, ids in licenses.RULES for i in ids} <= set(known.values())
     for k in known:  # no sentence that the splitter would cut, or that isn't looked up
         assert re.search(licenses.RIGHTS, k) and k == re.sub(licenses.OTHER, " ", k).strip()
 
 
+GPL2 = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."""
+LGPL21 = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU Lesser General Public License for more details."""
+EPL = "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"
+ADS = "\n3. All advertising materials mentioning features or use of this software must display the following acknowledgement:\n   This product includes software developed by the University.\n\n4. Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+HOLDERS = ["Example Inc.", "the University", "the copyright holder", "Some Foundation, Inc.", "A. Author", "the <organization>", "Mr. X. Y. Zed", "ACME Corp. (Ltd.)", "the project", "Universität Ä"]
+
+
+@pytest.mark.parametrize("leader", ["", "# ", " * "])
+def test_licences_as_they_are_published(spark, leader):
+    import textwrap
+
+    wrap = lambda t: "\n".join(leader + line for p in t.split("\n") for line in (textwrap.wrap(p, 72) or [""]))
+    rows = [("BSD-3-Clause", wrap(BSD.format(NAMES.replace("the copyright holder", h)))) for h in HOLDERS] + [("BSD-3-Clause", wrap(BSD.format(NAMES).replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE REGENTS AND CONTRIBUTORS")))]
+    mit0 = MIT.replace(", subject to the following conditions:", ".").replace("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "").replace("MIT License", "MIT No Attribution")
+    rows += [(k, wrap(t)) for k, t in (("GPL-2-or-later", GPL2), ("LGPL-2.1-or-later", LGPL21), ("EPL-2.0", EPL), ("BSD-4-Clause", BSD.format(ADS)), ("MIT-0", mit0), ("BSD-2-Clause", BSD.format("")))]
+    short = {
+        "GPL-2.0+": "GPL-2.0-or-later", "(MIT OR Apache-2.0)": "Apache-2.0,MIT", "EPL-2.0": "EPL-2.0", "MIT-0": "MIT-0", "GPL-2.0-only WITH Classpath-exception-2.0": "GPL-2.0", "0BSD": "0BSD", "WTFPL": "WTFPL", "BSL-1.0": "BSL-1.0", "OFL-1.1": "OFL-1.1",
+        "Apache-2.0 AND (MIT OR BSD-3-Clause) AND ISC AND Zlib AND EPL-1.0 AND MPL-2.0 AND CC0-1.0 AND EUPL-1.2": "Apache-2.0,MIT,CC0-1.0,MPL-2.0,ISC,Zlib,BSD-3-Clause,EPL-1.0,EUPL-1.2", "CDDL-1.0": "CDDL-1.0", "Artistic-2.0": "Artistic-2.0",
+    }
+    rows += [(v, f"int x;\n{leader}SPDX-License-Identifier: {k}{end}\nint y;") for k, v in short.items() for end in ("", " */")]
+    out = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [(r["doc_id"], r["licenses"]) for r in out] == [(k, k) for k, _ in rows]
+
+
+def test_licences_sql_says_the_same(spark):
+    import duckdb
+    import pandas as pd
+
+    from leafbound.llm.oracles import SQL
+
+    texts = [MIT, BSD.format(NAMES), BSD.format(ADS), APACHE, GPL, GPL2, LGPL21, EPL, MPL, APACHE_FULL, GPL_FULL, "SPDX-License-Identifier: (MIT OR GPL-2.0+) */\nx", "", None, "permission denied", *(BSD.format(NAMES.replace("the copyright holder", h)) for h in HOLDERS)]
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": pd.Series(texts, dtype=object)})
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = con.sql(SQL["op9_licenses"]).project(", ".join(got.columns)).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_licenses_odd(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
     got = licenses.scan(docs(spark, [(1, "Released under the MIT License. " * 20_000, "en", "s", 0), (2, MIT, "en", "s", 0), (2, MIT, "en", "s", 0)])).collect()
