@@ -9,13 +9,13 @@ A class is found in two steps, a group and a member of it. All subwords have som
 distribution.
 
 The attention model (one causal layer with a feed-forward block) learns from every position of every
-training document, in windows that don't overlap. The documents are dealt to ROUNDS rounds by a hash of their row; in a round each
-partition trains a replica on its own windows, and the replicas are averaged, weighted by their windows, in a
-tree of sums. Scoring cuts each text's ids into overlapping windows of CONTEXT inputs, of which the last
+training document, in windows that don't overlap. Texts are dealt to ROUNDS rounds and to shards by a hash of their ids, the copies of
+one text evenly over all shards; there is a shard for each SHARD subwords of the corpus, so that a replica never learns from little. In
+a round each shard trains a replica on its own windows in an order by hash, and the replicas are averaged, weighted by their
+windows, in a tree of sums. A corpus of fewer than LEARNED subwords goes through all rounds again until as many positions were
+learned from. So weights hang on the texts alone, not on how the table lies in files or partitions. Scoring cuts each text's ids into overlapping windows of CONTEXT inputs, of which the last
 STRIDE are predicted, so every token is scored once with at least CONTEXT - STRIDE before it (as far as
-there are any); windows are batched over documents and masked. Replicas follow the partitions of the table
-that holds the ids, so other partitions give other weights and slightly other scores; all counts, and the
-base score up to rounding, are the same.
+there are any); windows are batched over documents and masked.
 
 For the base, words frequent enough that at most TOP_WORDS are that frequent are looked up in the workers;
 the others go through a shuffled join with the full counts. This changes no result, only the way.
@@ -33,7 +33,8 @@ import math
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from itertools import compress
+from itertools import compress, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 CONTEXT, STRIDE, WIDTH, HIDDEN, GROUPS, MEMBERS, BINS = 32, 28, 16, 16, 32, 32, 64
 CLASSES, LAST = GROUPS * MEMBERS, WIDTH - 1
 ROUNDS, BATCHES, POOL, RATE, SEED, FAN = 3, (128, 256, 256), 4096, 0.012, 11, 16
+SHARD, LEARNED, MOST_EPOCHS = 8_000_000, 12_000_000, 20
 SCORED, PIECE, CHUNK = 512, 4096, 100_000
 TOP_WORDS, CACHE, COUNTER, LN10 = 200_000, 500_000, 500_000, float(np.log(10))
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -405,45 +407,66 @@ def averaged(replicas: DataFrame, partitions: int) -> tuple[np.ndarray, int] | N
     return (sum(np.frombuffer(r["w"], np.float64) for r in rows), sum(r["n"] for r in rows)) if rows else None
 
 
-def train(encoded: DataFrame, weights: dict, kind) -> dict:
-    """encoded: (round, ids), stored. Every text is learned from once, in its round."""
-    context, partitions = encoded.sparkSession.sparkContext, encoded.rdd.getNumPartitions()
-    for round_ in range(ROUNDS):
-        sent = context.broadcast(weights)
+def dealt(encoded: DataFrame, shards: int) -> DataFrame:
+    """encoded: (ids). Every different text with its round, and with its shards and how often each learns from it: (round, shard, at, ids, times), stored."""
+    texts = encoded.groupBy("ids").agg(F.count("*").alias("n")).withColumn("at", F.xxhash64("ids", F.lit(SEED)))
+    spread = texts.withColumn("k", F.explode(F.sequence(F.lit(0), F.least("n", F.lit(shards)).cast("int") - 1)))
+    times = F.floor(F.col("n") / shards) + (F.col("k") < F.col("n") % shards).cast("int")
+    shard = F.pmod(F.xxhash64("ids", F.lit(SEED + 1)) + F.col("k"), F.lit(shards)).cast("int")
+    return stored(spread.select(F.pmod("at", F.lit(ROUNDS)).cast("int").alias("round"), shard.alias("shard"), "at", "ids", times.cast("int").alias("times")), "dealt")
 
-        def run(batches, sent=sent, round_=round_):
-            _keep_heap()
-            w = {k: x.copy() for k, x in sent.value.items()}
-            adam, held, n, total = Adam(w, RATE / (1 + round_)), [], 0, 0
-
-            def learn():
-                ids, targets = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-                mix = np.random.default_rng(total).permutation(len(ids))
-                for at in range(0, len(mix), BATCHES[round_]):
-                    some = mix[at : at + BATCHES[round_]]
-                    adam.step(gradients(w, ids[some], targets[some]))
-
-            for batch in batches:
-                for ids in batch.column(0):
-                    for piece in pieces(kind.value, ids.as_buffer(), CONTEXT):
-                        held.append(piece)
-                        n += len(piece[0])
-                        if n >= POOL:
-                            learn()
-                            total, n = total + n, 0
-                            held.clear()
-            if held:
-                learn()
-                total += n
-            if total:
-                yield _replica(flat(w).astype(np.float64) * total, total)
 
-        got = averaged(encoded.where(F.col("round") == round_).select("ids").mapInArrow(run, "w binary, n bigint"), partitions)
+def train(encoded: DataFrame, weights: dict, kind, subwords: int) -> dict:
+    """encoded: (ids), stored, with so many subwords. Every text is learned from in its round, once or, where there are few, equally often."""
+    shards, epochs = max(1, subwords // SHARD), max(1, -(-LEARNED // max(1, subwords)) if subwords < LEARNED else 1)
+    epochs = min(epochs, MOST_EPOCHS)
+    context, rows = encoded.sparkSession.sparkContext, dealt(encoded, shards)
+    for step in range(epochs * ROUNDS):
+        sent, round_ = context.broadcast(weights), step % ROUNDS
+        slower, size = 1 + (ROUNDS - 1) * step / (epochs * ROUNDS - 1), BATCHES[step // epochs]
+
+        def run(batches, sent=sent, slower=slower, size=size):
+            _keep_heap()
+            for own in _by_shard(batches):
+                w = {k: x.copy() for k, x in sent.value.items()}
+                adam, held, n, total = Adam(w, RATE / slower), [], 0, 0
+
+                def learn(w=w, adam=adam, held=held):
+                    ids, targets = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+                    mix = np.random.default_rng(total).permutation(len(ids))
+                    for at in range(0, len(mix), size):
+                        some = mix[at : at + size]
+                        adam.step(gradients(w, ids[some], targets[some]))
+
+                for ids, times in own:
+                    for _ in range(times):
+                        for piece in pieces(kind.value, ids, CONTEXT):
+                            held.append(piece)
+                            n += len(piece[0])
+                            if n >= POOL:
+                                learn()
+                                total, n = total + n, 0
+                                held.clear()
+                if held:
+                    learn()
+                    total += n
+                if total:
+                    yield _replica(flat(w).astype(np.float64) * total, total)
+
+        own = rows.where(F.col("round") == round_).repartition(shards, "shard").sortWithinPartitions("shard", "at", "ids").select("shard", "ids", "times")
+        got = averaged(own.mapInArrow(run, "w binary, n bigint"), shards)
         if got:
             weights = shaped(got[0] / got[1], weights)
     return weights
 
 
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple]]:
+    """(ids, times) of each shard in turn; rows are ordered by shard."""
+    rows = ((r, i.as_buffer(), t) for b in batches for r, i, t in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True))
+    for _, own in groupby(rows, key=itemgetter(0)):
+        yield ((ids, times) for _, ids, times in own)
+
+
 # ---- encoding and scoring
 
 
@@ -521,7 +544,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
     held_out = F.crc32(key.cast("binary")) % 5 == 1
     row = F.monotonically_increasing_id()  # stands still once the ids are stored
-    rows = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("id"), held_out.alias("held_out"), F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(ROUNDS)).cast("int").alias("round"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("id"), held_out.alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"))
     training = rows.where(~F.col("held_out"))
     ranks = spark.sparkContext.broadcast(vocabulary(path))
     counts = word_counts(training.select("text"))
@@ -546,10 +569,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     encoding = Tokenizer(ranks.value).encoding
     learned = encoded.where(~F.col("held_out"))
-    kind, share, sums = classes(subword_counts(learned.select("ids"))[: encoding.n_vocab], initial(encoding), ends)
+    occur = subword_counts(learned.select("ids"))[: encoding.n_vocab]
+    kind, share, sums = classes(occur, initial(encoding), ends)
     weights = initial_weights(sums)
     if ends:
-        weights = train(learned.select("round", "ids"), weights, spark.sparkContext.broadcast(kind))
+        weights = train(learned.select("ids"), weights, spark.sparkContext.broadcast(kind), int(occur.sum()))
 
     kept = encoded.select("row", "id", "held_out", "n_tokens", "n_known", "base", "ids")
     schema = T.StructType([*kept.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("n_subwords", T.LongType())])

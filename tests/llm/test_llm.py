@@ -653,7 +653,27 @@ def test_lm_does_not_hang_on_partitions(spark, small):
     for i, r in a.items():
         assert [r[c] for c in ("held_out", "n_tokens", "n_known", "train_tokens", "n_subwords")] == [b[i][c] for c in ("held_out", "n_tokens", "n_known", "train_tokens", "n_subwords")]
         assert r["base_score"] == pytest.approx(b[i]["base_score"], rel=1e-9)
-        assert r["score"] == pytest.approx(b[i]["score"], rel=0.2)
+        assert r["score"] == pytest.approx(b[i]["score"], rel=1e-4)
+
+
+@pytest.mark.parametrize("shards", [1, 3, 7])
+def test_lm_copies_are_dealt_evenly(spark, shards):
+    rows = [(b"\x01\x00",)] * 20 + [(b"\x02\x00",)] * 2 + [(bytes([i, 0]),) for i in range(3, 40)]
+    got = lm_scoring.dealt(spark.createDataFrame(rows, "ids binary").repartition(5), shards).collect()
+    per_text = Counter()
+    for r in got:
+        per_text[bytes(r["ids"])] += r["times"]
+    assert per_text == Counter(i for (i,) in rows) and all(0 <= r["shard"] < shards and 0 <= r["round"] < lm_scoring.ROUNDS for r in got)
+    hot = [r["times"] for r in got if bytes(r["ids"]) == b"\x01\x00"]
+    assert len(hot) == shards and max(hot) - min(hot) <= 1 and len({r["round"] for r in got if bytes(r["ids"]) == b"\x01\x00"}) == 1
+
+
+def test_lm_shards_come_one_by_one():
+    import pyarrow as pa
+
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([i for _, i in rows], pa.binary()), pa.array([1] * len(rows), pa.int32())], ["shard", "ids", "times"])
+    got = [[bytes(i) for i, _ in own] for own in lm_scoring._by_shard(iter([batch([(0, b"a"), (0, b"b"), (2, b"c")]), batch([(2, b"d")]), batch([(5, b"e")])]))]
+    assert got == [[b"a", b"b"], [b"c", b"d"], [b"e"]]
 
 
 def test_lm_very_long_text(spark):
