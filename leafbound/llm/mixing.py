@@ -11,7 +11,7 @@ hex digits of their order hash, the bucket in which the budget ends is found fro
 bucket is summed row by row.
 
 Tokens are words between ASCII white space. Defined cases: null languages and sources are nodes of their
-own; documents without words supply nothing, and go with their leaf's epochs; rows with equal ids stand at
+own; very long texts count whole; documents without words supply nothing, and go with their leaf's epochs; rows with equal ids stand at
 one place of the order and go together; a leaf of weight zero or less gives nothing; empty tables give
 empty results.
 """

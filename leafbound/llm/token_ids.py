@@ -11,8 +11,9 @@ A result row is a packed row: ids as little-endian uint16 padded to the row leng
 lengths (0 first), the offsets at which positions start again from zero, and for each segment its document,
 an ordinal that tells repeated rows apart, and its piece number. `unpack` puts documents together again.
 
-Defined cases: null and empty texts are one end-of-text id; null ids stay null; repeated rows are packed
-each; an empty table gives no rows; other columns are ignored.
+Defined cases: null and empty texts are one end-of-text id; null ids stay null; ids are whole numbers (or strings of
+digits: others raise); repeated rows are packed each; very long texts are encoded whole and cut into full rows and a
+rest; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -910,3 +910,27 @@ def test_pipeline_stages(spark):
     flags = {eval(x)[0]: eval(x)[-1] for x in brute_contamination([(r["doc_id"], r["text"]) for r in second.collect()], bench)}
     assert clean == {i for i, bad in flags.items() if not bad}
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_pipeline_on_odd_tables(spark, tmp_path, kind):
+    """Nulls in any column, repeated rows, ties, empty tables, columns with clashing names: every stage gives rows of the right columns, and clean texts stay."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    clean = [(100 + i, " ".join(word() for _ in range(80)) + ".", rng.choice(["en", "de", None]), rng.choice(["s1", "s2", None]), i) for i in range(30)]
+    rows = ODD + clean + clean[:3] + [(999, "word " * 60_000, "en", "s1", 1)] if kind == "odd" else []
+    extra = ", row int, fingerprint string, component_id int, contaminated string, kept int, n_tokens string, ids int, _t int"
+    df = spark.createDataFrame([(*r, 1, "x", 2, "y", 3, "z", 4, 5) for r in rows], DOCS + extra)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, None), (2, ""), (None, "these thirteen words are a benchmark item that no document of this table holds at all")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = common.stored(stage(spark, at, str(tmp_path)), name)
+        assert at.columns == df.columns and at.dtypes == df.dtypes, name
+        if kind == "odd":
+            stay = {r[0] for r in clean if r[2] is not None}
+            assert name == "source_mixing" or {r["doc_id"] for r in at.select("doc_id").collect()} >= stay, name
+    last = corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path))
+    assert (last.count() == 0) == (kind == "empty") and last.columns == corpus_pipeline.run(spark, str(tmp_path)).columns
