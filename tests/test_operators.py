@@ -31,7 +31,7 @@ def duck():
     return con
 
 
-QUICK = ["s5_ground_truth", "t1_email_header", "t3_page_number_reset", "t5_document_type", "t18_llm_json_parse", "w4_visual_change", "w21_layout_similarity", "w23_vlm_similarity", "g6_visual_signature", "b4_segment_pages", "b11_hybrid_fuse", "b16_llm_merge", "q1_char_confidence", "q2_word_confidence", "q10_issues", "p1_basic_cleanup", "p3_word_boundaries", "p5_formatting", "p7_final_cleanup", "o7_critical_pages", "a6_eval_position", "a7_eval_overlap"]
+QUICK = ["s5_ground_truth", "t1_email_header", "t3_page_number_reset", "t5_document_type", "t18_llm_json_parse", "w4_visual_change", "w21_layout_similarity", "w23_vlm_similarity", "g6_visual_signature", "b4_segment_pages", "b5_refine_feedback", "b7_plugin_confidence", "b8_type_vote", "b9_plugin_segment", "b10_visual_confidence", "b11_hybrid_fuse", "b13_range_type", "b15_ambiguous_cases", "b16_llm_merge", "b17_method_merge", "b18_merge_close", "b19_enhanced_post", "s10_rag_export", "t14_prompt_render", "o9_processing_order", "a7_overlap_scores", "a1_signal_histogram", "q17_validators", "q1_char_confidence", "q2_word_confidence", "q10_issues", "p1_basic_cleanup", "p3_word_boundaries", "p5_formatting", "p7_final_cleanup", "o7_critical_pages", "a6_eval_position", "a7_eval_overlap"]
 # all of them with LEAFBOUND_ALL=1
 NAMES = sorted(ORACLES) if os.environ.get("LEAFBOUND_ALL") else QUICK
 
