@@ -11,8 +11,10 @@ COMMON = (
 ).split()
 #: Stems of common pairs of words, and what dates, amounts and addresses look like.
 STEMS = "the and of to in is was".split()
-DATES = [r"\d{1,2}/\d{1,2}/\d{2,4}", r"\d{4}-\d{2}-\d{2}", r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{1,2},?\s+\d{4}"]
+DATES = [r"\d{1,2}/\d{1,2}/\d{2,4}", r"\d{4}-\d{2}-\d{2}", r"(?:^|[^\p{L}\p{N}_])(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{1,2},?\s+\d{4}"]
 CURRENCY, AMOUNT, EMAIL = r"[$€£¥]\s*\d+[,.\d]*", r"[$€£¥]\s*[\d,]+\.?\d*", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+#: Links, telephone numbers, percentages.
+URL, PHONE, PERCENT = r"https?://(?:www\.)?[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", r"[\+\(]?[1-9][0-9 .\-\(\)]{8,}[0-9]", r"\d+\.?\d*\s*%"
 PHRASES = ["dear", "regards", "sincerely", "thank you", "please", "attached"]
 INVOICE = ["invoice", "bill", "total", "amount", "payment", "due"]
 LEGAL = ["agreement", "party", "parties", "whereas", "therefore", "shall", "hereby", "terms", "conditions"]
@@ -73,4 +75,4 @@ op("q14_page_report", "One page's scores: page 3 of each file.", f"SELECT file_i
 op("q15_enhance_page", "Pages whose text is to be repaired: too unsure, and not empty.", "SELECT file_id, page_number, (text <> '' AND overall < 0.6D) AS repair, CASE WHEN overall < 0.4D THEN 'aggressive' WHEN overall < 0.6D THEN 'normal' ELSE 'none' END AS mode FROM {page_quality}")
 op("q16_processing_stats", "Counters over all pages.", "SELECT count(*) AS pages, count_if(text <> '') AS read, count_if(overall < 0.6D) AS low, bround(avg(overall), 6) AS mean_confidence FROM {page_quality}")
 op("q17_validators", "Addresses, links, telephone numbers, dates, amounts and percentages found.", rf"""
-SELECT file_id, page_number, cast({count("text", EMAIL)} AS bigint) AS emails, cast({count("text", r"https?://[^\s]+")} AS bigint) AS urls, cast({count("text", r"\d{3}[-.]\d{3}[-.]\d{4}")} AS bigint) AS phones, cast({_dates} AS bigint) AS dates, cast({count("text", CURRENCY)} AS bigint) AS amounts, cast({count("text", r"\d+(?:\.\d+)?%")} AS bigint) AS percentages FROM <ocr_pages>""".replace("<ocr_pages>", "{ocr_pages}"), per_page=True)
+SELECT file_id, page_number, cast({count("text", EMAIL)} AS bigint) AS emails, cast({count("text", URL)} AS bigint) AS urls, cast({count("text", PHONE)} AS bigint) AS phones, cast({_dates} AS bigint) AS dates, cast({count("text", CURRENCY)} AS bigint) AS amounts, cast({count("text", PERCENT)} AS bigint) AS percentages FROM <ocr_pages>""".replace("<ocr_pages>", "{ocr_pages}"), per_page=True)

@@ -40,7 +40,7 @@ SELECT file_id, page_number, round_even(CASE WHEN expected <> 'en' THEN 0.5::dou
 
 -- q6_pattern_confidence
 SELECT file_id, page_number, CASE WHEN emails > 0 THEN 1::double END AS email, CASE WHEN dates > 0 THEN least(dates / 5::double, 1::double) END AS dates, CASE WHEN amounts > 0 THEN least(amounts / 3::double, 1::double) END AS currency
-FROM (SELECT file_id, page_number, len(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}', 0)) AS emails, len(regexp_extract_all(text, '\d{1,2}/\d{1,2}/\d{2,4}', 0)) + len(regexp_extract_all(text, '\d{4}-\d{2}-\d{2}', 0)) + len(regexp_extract_all(text, '(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{1,2},?\s+\d{4}', 0)) AS dates, len(regexp_extract_all(text, '[$€£¥]\s*\d+[,.\d]*', 0)) AS amounts FROM {ocr_pages})
+FROM (SELECT file_id, page_number, len(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}', 0)) AS emails, len(regexp_extract_all(text, '\d{1,2}/\d{1,2}/\d{2,4}', 0)) + len(regexp_extract_all(text, '\d{4}-\d{2}-\d{2}', 0)) + len(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{1,2},?\s+\d{4}', 0)) AS dates, len(regexp_extract_all(text, '[$€£¥]\s*\d+[,.\d]*', 0)) AS amounts FROM {ocr_pages})
 
 -- q7_document_confidence
 SELECT file_id, page_number, round_even((cast(regexp_matches(text, '(?im)^from:') AS int) + cast(regexp_matches(text, '(?im)^to:') AS int) + cast(regexp_matches(text, '(?im)^subject:') AS int) + cast(regexp_matches(text, '(?im)^date:') AS int)) / 4::double / 3 + least(len(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}', 0)) / 2::double, 1::double) / 3 + least((cast(contains(lower(text), 'dear') AS int) + cast(contains(lower(text), 'regards') AS int) + cast(contains(lower(text), 'sincerely') AS int) + cast(contains(lower(text), 'thank you') AS int) + cast(contains(lower(text), 'please') AS int) + cast(contains(lower(text), 'attached') AS int)) / 3::double, 1::double) / 3, 9) AS email,
@@ -88,5 +88,5 @@ SELECT file_id, page_number, (text <> '' AND overall < 0.6::double) AS repair, C
 SELECT count(*) AS pages, count_if(text <> '') AS read, count_if(overall < 0.6::double) AS low, round_even(avg(overall), 6) AS mean_confidence FROM {page_quality}
 
 -- q17_validators
-SELECT file_id, page_number, cast(len(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}', 0)) AS bigint) AS emails, cast(len(regexp_extract_all(text, 'https?://[^\s]+', 0)) AS bigint) AS urls, cast(len(regexp_extract_all(text, '\d{3}[-.]\d{3}[-.]\d{4}', 0)) AS bigint) AS phones, cast(len(regexp_extract_all(text, '\d{1,2}/\d{1,2}/\d{2,4}', 0)) + len(regexp_extract_all(text, '\d{4}-\d{2}-\d{2}', 0)) + len(regexp_extract_all(text, '(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{1,2},?\s+\d{4}', 0)) AS bigint) AS dates, cast(len(regexp_extract_all(text, '[$€£¥]\s*\d+[,.\d]*', 0)) AS bigint) AS amounts, cast(len(regexp_extract_all(text, '\d+(?:\.\d+)?%', 0)) AS bigint) AS percentages FROM {ocr_pages}
+SELECT file_id, page_number, cast(len(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}', 0)) AS bigint) AS emails, cast(len(regexp_extract_all(text, 'https?://(?:www\.)?[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}', 0)) AS bigint) AS urls, cast(len(regexp_extract_all(text, '[\+\(]?[1-9][0-9 .\-\(\)]{8,}[0-9]', 0)) AS bigint) AS phones, cast(len(regexp_extract_all(text, '\d{1,2}/\d{1,2}/\d{2,4}', 0)) + len(regexp_extract_all(text, '\d{4}-\d{2}-\d{2}', 0)) + len(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{1,2},?\s+\d{4}', 0)) AS bigint) AS dates, cast(len(regexp_extract_all(text, '[$€£¥]\s*\d+[,.\d]*', 0)) AS bigint) AS amounts, cast(len(regexp_extract_all(text, '\d+\.?\d*\s*%', 0)) AS bigint) AS percentages FROM {ocr_pages}
 

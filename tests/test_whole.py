@@ -84,3 +84,12 @@ def test_every_waiting_task_is_queued(spark):
     spelled = sorted(waiting, key=lambda r: (r[3] or "", r[2], r[0]))
     got = {r["task_id"]: (r["position"], r["spelled_position"]) for r in apply("task_queue_order", tasks=tasks).collect()}
     assert got == {r[0]: (meant.index(r) + 1, spelled.index(r) + 1) for r in waiting}
+
+
+def test_validators(spark):
+    """What each pattern counts, by hand."""
+    rows = [("f", 1, 1, "en", "Call (555) 123-4567 or +1 202 555 0100; see http://www.example.org/a and https://x.co. Up 12 % and 3.5%."), ("f", 2, 2, "en", "Jan 5, 2024 and xJan 6, 2024; 1/2/24, 2024-03-05, $ 12.50, € 3"), ("f", 3, 3, "en", "")]
+    df = spark.createDataFrame(rows, "file_id string, page_number int, doc_id bigint, expected string, text string")
+    got = [r.asDict() for r in apply("q17_validators", ocr_pages=df).orderBy("page_number").collect()]
+    assert [got[0][c] for c in ("phones", "urls", "percentages")] == [2, 2, 2]
+    assert [got[1][c] for c in ("dates", "amounts")] == [3, 2] and sum(v for k, v in got[2].items() if k not in ("file_id", "page_number")) == 0
