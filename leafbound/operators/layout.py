@@ -1,5 +1,7 @@
 """Geometry of a page's blocks."""
 
+from leafbound.functions.windows import beside
+from leafbound.operators.visual import cosine
 from leafbound.plans.ops import op, view
 
 view("clustered", "Text blocks with the number of the cluster their left edge falls in: a gap over 50 starts one.", """
@@ -17,9 +19,7 @@ op("g5_whitespace_ratio", "The share of the page no block covers.", "SELECT file
 op("g6_visual_signature", "Nine numbers that stand for a page's layout.", """
 SELECT file_id, page_number, count_if(kind = 'text') / 100D AS texts, count_if(kind IN ('picture', 'figure')) / 10D AS images, count_if(kind = 'table') / 5D AS tables, bround(avg(x / 612), 6) AS mean_x, bround(avg(y / 792), 6) AS mean_y,
   bround(stddev_pop(x / 612), 6) AS std_x, bround(stddev_pop(y / 792), 6) AS std_y, bround(avg(w / 612), 6) AS mean_w, bround(avg(h / 792), 6) AS mean_h FROM {blocks} GROUP BY file_id, page_number""")
-op("g7_cosine", "Cosine of each vector with the one before; zero if either is null.", """
-SELECT vec_id, bround(CASE WHEN ne = 0 OR np = 0 THEN 0D ELSE dot / (sqrt(ne) * sqrt(np)) END, 6) AS cosine FROM (SELECT vec_id, aggregate(zip_with(e, pe, (a, b) -> a * b), 0D, (a, v) -> a + v) AS dot, aggregate(zip_with(e, e, (a, b) -> a * a), 0D, (a, v) -> a + v) AS ne, aggregate(zip_with(pe, pe, (a, b) -> a * a), 0D, (a, v) -> a + v) AS np
-FROM (SELECT vec_id, e, lag(e) OVER (PARTITION BY label ORDER BY vec_id) AS pe FROM (SELECT label, vec_id, transform(embedding, v -> cast(v AS double)) AS e FROM {embeddings})) WHERE pe IS NOT NULL)""")
+op("g7_cosine", "Cosine of each vector with the one before; zero if either is null.", lambda vlm_pages: beside(vlm_pages, ["signature"]).where("before1 IS NOT NULL").selectExpr("page_number AS vec_id", f"bround({cosine('signature', 'before1.signature')}, 6) AS cosine"))
 op("g8_classify_blocks", "Blocks by what their kind's name holds.", "SELECT file_id, page_number, b, CASE WHEN contains(kind, 'text') OR contains(kind, 'paragraph') THEN 'text' WHEN contains(kind, 'image') OR contains(kind, 'figure') OR contains(kind, 'picture') THEN 'image' WHEN contains(kind, 'table') THEN 'table' END AS class FROM {blocks} WHERE w > 0 AND h > 0")
 op("g9_primary_font", "The commonest size and family; of equals the least.", """
 SELECT s.file_id, s.page_number, s.font_size, f.font_family FROM (SELECT file_id, page_number, font_size, row_number() OVER (PARTITION BY file_id, page_number ORDER BY count(*) DESC, font_size) AS r FROM {blocks} GROUP BY file_id, page_number, font_size) s

@@ -1,5 +1,8 @@
 """Visual signals between a page and the one before, and similarities of pages."""
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from leafbound.functions.windows import beside
 from leafbound.plans.ops import op, view
 
@@ -55,15 +58,28 @@ FROM (SELECT file_id, page_number, {" + ".join(f"CASE WHEN {c} IS NULL THEN 0 EL
     FROM (SELECT file_id, page_number, {", ".join(f"n{i}_num_columns, filter({_SIM.replace('p_', f'n{i}_')}, v -> v IS NOT NULL) AS a{i}" for i in range(1, 5))}
       FROM (SELECT file_id, page_number, {", ".join(f"{x} AS c_{x}, " + ", ".join(f"{side}.{x} AS n{i}_{x}" for i, side in enumerate(("before2", "before1", "after1", "after2"), 1)) for x in ("num_columns", "font_size", *_margins, "orientation"))} FROM {{visual_beside}}))))
 """)
-op("w23_vlm_similarity", "Likeness of neighbouring pages: layout, header and footer, columns, white space, signature vectors.", """
-SELECT label AS file_id, vec_id AS page_number, bround(sim, 6) AS similarity, CASE WHEN sim < 0.3D THEN bround(1 - sim, 6) END AS confidence
-FROM (SELECT label, vec_id, 0.3D * CASE WHEN vec_id % 3 = pv % 3 THEN 1 ELSE 0 END + 0.2D * (CASE WHEN vec_id % 2 = pv % 2 THEN 0.5D ELSE 0D END + CASE WHEN vec_id % 4 < 2 THEN 0.5D ELSE 0D END) + 0.2D / (1 + abs(vec_id % 3 - pv % 3)) + 0.1D * (1 - abs(vec_id % 10 - pv % 10) / 10D)
-    + 0.2D * CASE WHEN aggregate(zip_with(e, e, (a, b) -> a * a), 0D, (a, v) -> a + v) = 0 OR aggregate(zip_with(pe, pe, (a, b) -> a * a), 0D, (a, v) -> a + v) = 0 THEN 0D ELSE aggregate(zip_with(e, pe, (a, b) -> a * b), 0D, (a, v) -> a + v) / (sqrt(aggregate(zip_with(e, e, (a, b) -> a * a), 0D, (a, v) -> a + v)) * sqrt(aggregate(zip_with(pe, pe, (a, b) -> a * a), 0D, (a, v) -> a + v))) END AS sim
-  FROM (SELECT label, vec_id, e, lag(e) OVER w AS pe, lag(vec_id) OVER w AS pv FROM (SELECT label, vec_id, transform(embedding, v -> cast(v AS double)) AS e FROM {embeddings}) WINDOW w AS (PARTITION BY label ORDER BY vec_id)) WHERE pe IS NOT NULL)
-""")
+
+
+def cosine(a: str, b: str) -> str:
+    """SQL for the cosine of two arrays; zero if either is all zeros."""
+    dot = lambda x, y: f"aggregate(zip_with({x}, {y}, (a, b) -> a * b), 0D, (a, v) -> a + v)"
+    return f"CASE WHEN {dot(a, a)} = 0 OR {dot(b, b)} = 0 THEN 0D ELSE {dot(a, b)} / (sqrt({dot(a, a)}) * sqrt({dot(b, b)})) END"
+
+
+_LIKE = f"""0.3D * CASE WHEN layout = before1.layout THEN 1 ELSE 0 END + 0.2D * (CASE WHEN header = before1.header THEN 0.5D ELSE 0D END + CASE WHEN same_footer THEN 0.5D ELSE 0D END) + 0.2D / (1 + abs(columns - before1.columns))
+    + 0.1D * (1 - abs(whitespace - before1.whitespace)) + 0.2D * {cosine("signature", "before1.signature")}"""
+
+
+def vlm_similarity(vlm_pages: DataFrame) -> DataFrame:
+    """What a vision model says of pages (layout, header, same_footer, columns, whitespace, signature vector), compared with the page before."""
+    pairs = beside(vlm_pages, ["layout", "header", "columns", "whitespace", "signature"]).where("before1 IS NOT NULL").withColumn("sim", F.expr(_LIKE))
+    return pairs.selectExpr("file_id", "page_number", "bround(sim, 6) AS similarity", "CASE WHEN sim < 0.3D THEN bround(1 - sim, 6) END AS confidence")
+
+
+op("w23_vlm_similarity", "Likeness of neighbouring pages: layout, header and footer, columns, white space, signature vectors.", vlm_similarity)
 op("w24_multimodal", "Text and vision together: agreement is strong, each alone is checked by the other.", """
-SELECT file_id, page_number, CASE WHEN t < 0.4D AND v < 0.3D THEN 0.9D WHEN t < 0.4D THEN CASE WHEN v > 0.7D THEN 0.5D ELSE 0.7D END WHEN v < 0.3D THEN CASE WHEN t > 0.7D THEN 0.4D ELSE 0.7D END ELSE 0D END AS confidence
-FROM (SELECT file_id, page_number, cast(doc_id * 7 % 100 AS double) / 100 AS t, boundary_score AS v FROM {visual})""", per_page=True)
+SELECT file_id, page_number, CASE WHEN text_likeness < 0.4D AND visual_likeness < 0.3D THEN 0.9D WHEN text_likeness < 0.4D THEN CASE WHEN visual_likeness > 0.7D THEN 0.5D ELSE 0.7D END
+  WHEN visual_likeness < 0.3D THEN CASE WHEN text_likeness > 0.7D THEN 0.4D ELSE 0.7D END ELSE 0D END AS confidence FROM {likeness}""", per_page=True)
 op("w25_visual_summary", "Where columns or orientation change, and what a file has at all.", f"""
 SELECT file_id, array_join(transform(array_sort(filter(collect_list(CASE WHEN c_num_columns <> p_num_columns THEN page_number END), x -> x IS NOT NULL)), x -> cast(x AS string)), ',') AS column_changes,
   array_join(transform(array_sort(filter(collect_list(CASE WHEN c_orientation <> p_orientation THEN page_number END), x -> x IS NOT NULL)), x -> cast(x AS string)), ',') AS turns,

@@ -103,3 +103,7 @@ def stand_in(prompt: str) -> str:
     text = prompt.split("\n", 1)[-1].lower()
     kind = next((k for k in ("invoice", "rfi", "contract", "proposal") if k in text), "letter")
     return f'{{"is_boundary": {str(kind != "letter" or "dear" in text).lower()}, "confidence": 0.{6 + len(text) % 4}, "document_type": "{kind}"}}'
+
+view("vlm_pages", "What a vision model says of pages: the given vectors as signatures, the rest by arithmetic on their ids.", """
+SELECT label AS file_id, vec_id AS page_number, vec_id % 3 AS layout, vec_id % 2 AS header, vec_id % 4 < 2 AS same_footer, vec_id % 3 AS columns, vec_id % 10 / 10D AS whitespace, transform(embedding, v -> cast(v AS double)) AS signature FROM {embeddings}""")
+view("likeness", "How like the page before each page's text and picture are, by arithmetic.", "SELECT file_id, page_number, cast(doc_id * 7 % 100 AS double) / 100 AS text_likeness, boundary_score AS visual_likeness FROM {visual}", per_page=True)

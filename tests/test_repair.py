@@ -84,3 +84,13 @@ def test_whole_chain(spark, pages, confidence):
             n, steps = n + more, steps + [name] * (more > 0)
         want.append((t, final(text), n, ",".join(steps)))
     assert run("p8_process_text", pages, q8_overall_confidence=sure) == want
+
+
+def test_enhanced_text(spark):
+    schema = "file_id string, page_number int, doc_id bigint, expected string, text string"
+    df = spark.createDataFrame([("f", 1, 1, "en", "Th1s ls a p00rly f0rmatted ||| ~~~ text rn"), ("f", 2, 2, "en", "The work is done and the day was good for us all. We like it."), ("f", 3, 3, "en", "")], schema)
+    whole = {r["page_number"]: r for r in apply("p8_process_text", ocr_pages=df).collect()}
+    sure = {r["page_number"]: r["confidence"] for r in apply("q8_overall_confidence", ocr_pages=df).collect()}
+    got = {r["page_number"]: r for r in apply("q15_enhanced_text", ocr_pages=df).collect()}
+    assert sure[1] < 0.6 <= sure[2] and [got[i]["repaired"] for i in (1, 2, 3)] == [True, False, False]
+    assert got[1]["text"] == whole[1]["cleaned"] != whole[1]["original"] and got[2]["text"] == whole[2]["original"] and got[3]["text"] == ""
