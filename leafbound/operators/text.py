@@ -37,11 +37,6 @@ LLM_TYPES = {
 }
 
 
-def ascii_word(word: str) -> str:
-    """A whole word to find in lower-case text with either engine's pattern syntax."""
-    return rf"(^|[^a-z0-9_])(?:{word})([^a-z0-9_]|$)"
-
-
 def hits(col: str, patterns: list[str], flags: str = "(?im)") -> str:
     """How many of the patterns occur."""
     return "(" + " + ".join(f"cast(regexp_like({col}, r'{flags}{p}') AS int)" for p in patterns) + ")"
