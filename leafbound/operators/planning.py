@@ -87,7 +87,7 @@ op("o12_select_configuration", "The preset for a file by its first ten pages.",
 SELECT a.file_id, CASE WHEN h.construction THEN 'construction' WHEN a.scanned THEN 'high_accuracy' WHEN a.n > 100 THEN 'fast' WHEN a.tables AND a.images THEN 'high_accuracy' ELSE 'general' END AS preset, a.mean_words
 FROM (SELECT file_id, count(*) AS n, bround(avg(word_count), 6) AS mean_words, bool_or(has_tables) AS tables, bool_or(has_images) AS images, bool_or(word_count < 50 AND has_images) AS scanned FROM {pages_seeded} WHERE page_number <= 10 GROUP BY file_id) a JOIN {t10_type_hints} h ON a.file_id IS NOT DISTINCT FROM h.file_id""")
 view("profiles", "Quality profiles.", rows(["level", "least", "dpi", "steps", "gpu", "batch"], PROFILES))
-view("file_quality", "A file's quality, skew and noise, by what is known of its pages.", "SELECT file_id, avg(coalesce(ocr_confidence, 0.5D)) AS quality, cast(min(doc_id) % 4 AS double) AS skew, cast(max(doc_id) % 30 AS double) AS noise, count(*) AS pages, bool_or(has_tables) AS tables, min(doc_id) % 5 = 0 AS handwritten FROM {pages_seeded} GROUP BY file_id")
+view("file_quality", "A file's quality, skew and noise, by what is known of its pages; the mean is exact, as profiles begin at values that it may meet.", "SELECT file_id, cast(avg(coalesce(cast(ocr_confidence AS decimal(18, 12)), 0.5BD)) AS double) AS quality, cast(min(doc_id) % 4 AS double) AS skew, cast(max(doc_id) % 30 AS double) AS noise, count(*) AS pages, bool_or(has_tables) AS tables, min(doc_id) % 5 = 0 AS handwritten FROM {pages_seeded} GROUP BY file_id")
 op("o14_generate_config", "The profile for a file's quality, with adjustments.", """
 SELECT q.file_id, p.level, p.dpi + CASE WHEN q.tables THEN 50 ELSE 0 END AS dpi, concat(p.steps, CASE WHEN q.skew > 1 AND NOT contains(p.steps, 'deskew') THEN ',deskew' ELSE '' END, CASE WHEN q.noise > 20 AND NOT contains(p.steps, 'denoise') THEN ',denoise' ELSE '' END) AS steps, CASE WHEN q.pages > 100 THEN p.batch * 2 ELSE p.batch END AS batch
 FROM {file_quality} q JOIN (SELECT p.*, coalesce(lag(least) OVER (ORDER BY least DESC), 2D) AS below FROM {profiles} p) p ON q.quality >= p.least AND q.quality < p.below""")
