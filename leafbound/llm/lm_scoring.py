@@ -2,7 +2,7 @@
 
 Counting covers every training document: words are counted in the workers and summed by a shuffle, subword
 ids likewise. Subwords come from a public byte-level BPE vocabulary (a parameter), applied to each word with
-its space; one pass writes every text's ids, and training and scoring read those alone. The model predicts
+its space, to every different word of a run of texts once; one pass writes every text's ids, and training and scoring read those alone. The model predicts
 classes of subwords: the most frequent ones are classes of their own, the others share bins by frequency and
 by whether they begin a word; a subword's probability is its class's times its smoothed share of that class.
 A class is found in two steps, a group and a member of it. All subwords have some, so the whole is a
@@ -30,14 +30,13 @@ from __future__ import annotations
 
 import ctypes
 import math
-from array import array
-from collections import Counter
 from collections.abc import Iterator
-from itertools import compress, groupby
+from itertools import groupby
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,40 +49,35 @@ CONTEXT, STRIDE, WIDTH, HIDDEN, GROUPS, MEMBERS, BINS = 32, 28, 16, 16, 32, 32,
 CLASSES, LAST = GROUPS * MEMBERS, WIDTH - 1
 ROUNDS, BATCHES, POOL, RATE, SEED, FAN = 3, (128, 256, 256), 4096, 0.012, 11, 16
 SHARD, LEARNED, MOST_EPOCHS = 8_000_000, 12_000_000, 20
-SCORED, PIECE, CHUNK = 512, 4096, 100_000
-TOP_WORDS, CACHE, COUNTER, LN10 = 200_000, 500_000, 500_000, float(np.log(10))
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+SCORED, PIECE, SLICE = 512, 4096, 16 << 20
+TOP_WORDS, LN10 = 200_000, float(np.log(10))
 
 
-def words_of(text: pa.StringScalar) -> list[bytes]:
-    raw = text.as_buffer()
-    return raw.to_pybytes().translate(_LOWER).split() if raw else []
+def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Texts in runs of SLICE bytes at most, or of one text, each with its first row."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+        yield at, texts.slice(at, to - at)
+        at = to
 
 
-def strings(words) -> pa.Array:
-    """Words, which are whole UTF-8 sequences, as an array of strings."""
-    return pa.array(list(words), pa.binary()).view(pa.string())
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts one after the other, and where each text's begin (and the last one's end). Where white space begins or ends a text stands an empty one."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    return lists.flatten(), lists.offsets.to_numpy()
 
 
 # ---- counting
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
-
-    def out():
-        return pa.RecordBatch.from_arrays([strings(seen), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
     for batch in batches:
-        for text in batch.column(0):
-            words = words_of(text)
-            for at in range(0, len(words), CHUNK):
-                seen.update(words[at : at + CHUNK])
-                if len(seen) > COUNTER:
-                    yield out()
-                    seen.clear()
-    if seen:
-        yield out()
+        for _, texts in slices(batch.column(0)):
+            seen = pc.value_counts(words_of(texts)[0])
+            seen = seen.filter(pc.not_equal(pc.binary_length(seen.field(0)), 0))
+            yield pa.RecordBatch.from_arrays([seen.field(0), seen.field(1)], names=["word", "n"])
 
 
 def word_counts(training: DataFrame) -> DataFrame:
@@ -165,7 +159,7 @@ def _exp(x: np.ndarray) -> np.ndarray:
     It is positive and rises with x, and softmaxes divide by its own sums, so what comes of it is a distribution as
     ever; np.exp takes several times as long, and is half of the model's time."""
     np.clip(x, -60, 60, out=x)
-    x *= (1 << 23) / np.log(2)
+    x *= float((1 << 23) / np.log(2))  # numpy's own number of doubles would have every product made in doubles
     x += 127 * (1 << 23) - 486_411  # the least mean square error
     return x.astype(np.int32).view(np.float32)
 
@@ -308,29 +302,18 @@ class Adam:
 # ---- windows
 
 
-class Subwords(dict):
-    """Words to their subword ids, as bytes, and the log10 of their counts (nan where it isn't known here); a bounded cache, since words recur."""
-
-    def __init__(self, encoding, known: dict):
-        super().__init__()
-        self.encode, self.known, self.initial = encoding.encode_ordinary, known, initial(encoding)
-
-    def learn(self, words: list[bytes]) -> None:
-        """New words in one go: no piece reaches over a space, and each word's first piece alone begins with one."""
-        ids = np.array(self.encode(" " + b" ".join(words).decode("utf-8", "replace")), np.uint16)
-        starts, raw, known = np.flatnonzero(self.initial[ids]), ids.tobytes(), self.known.get
-        ends = [*(2 * starts[1:]).tolist(), len(raw)]
-        for word, a, b in zip(words, (2 * starts).tolist(), ends, strict=True):
-            self[word] = raw[a:b], known(word, math.nan)
-
-    def of(self, words: list[bytes]) -> tuple[bytes, np.ndarray]:
-        if len(self) > CACHE:
-            self.clear()
-        got = list(map(self.get, words))
-        if None in got:
-            self.learn(list({w for w, g in zip(words, got, strict=True) if g is None}))
-            got = [self[w] if g is None else g for w, g in zip(words, got, strict=True)]
-        return b"".join([g[0] for g in got]), np.array([g[1] for g in got])
+def subwords(words: pa.Array, encode, first: np.ndarray) -> pa.Array:
+    """Of each word its subword ids, as bytes; none of an empty one. All in one go: no piece reaches over a space, and each word's first piece alone begins with one."""
+    some = pc.not_equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    sizes, ids = np.zeros(len(words) + 1, np.int64), np.zeros(0, np.uint16)
+    if n := int(some.sum()):
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), words.filter(pa.array(some)).view(pa.binary())), b" ")[0]
+        ids = np.array(encode(" " + joined.as_py().decode("utf-8", "replace")), np.uint16)
+        starts = np.flatnonzero(first[ids])
+        if len(starts) != n:
+            raise ValueError(f"{n} words gave {len(starts)} beginnings")
+        sizes[1:][some] = 2 * np.diff(starts, append=len(ids))
+    return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(np.cumsum(sizes).astype(np.int32)), pa.py_buffer(ids)])
 
 
 def initial(encoding) -> np.ndarray:
@@ -472,37 +455,46 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple]]:
 
 def _encoder(ranks, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = frequent.value
-        subwords = Subwords(tokenizer(ranks).encoding, known)
+        known, logs, end = frequent.value
+        encoding, logs = tokenizer(ranks).encoding, np.append(logs, math.nan)
+        first = initial(encoding)
         for batch in batches:
-            n_tokens, n_known, base, ids, rare_words, rare_counts, ends = [], [], [], [], [], [], [0]
-            for text in batch.column(batch.num_columns - 1):
-                words, parts, rare = words_of(text), [], Counter()
-                sums, found = 0.0 if end is None else end, int(end is not None)
-                for at in range(0, len(words), CHUNK):
-                    some = words[at : at + CHUNK]
-                    own, logs = subwords.of(some)
-                    parts.append(own)
-                    unknown = np.isnan(logs)
-                    missing = int(unknown.sum())
-                    found += len(some) - missing
-                    sums += float(np.nansum(logs))
-                    if missing:
-                        rare.update(compress(some, unknown.tolist()))
-                n_tokens.append(len(words) + 1)
-                n_known.append(found)
-                base.append(sums)
-                ids.append(b"".join(parts))
-                rare_words.extend(rare)
-                rare_counts.extend(rare.values())
-                ends.append(len(rare_words))
-            rares = pa.StructArray.from_arrays([strings(rare_words), pa.array(rare_counts, pa.int64())], ["word", "n"])
-            made = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rares)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "n_tokens", "n_known", "base", "ids", "rare"])
+            for at, texts in slices(batch.column(batch.num_columns - 1)):
+                made = _encoded(texts, encoding.encode_ordinary, first, known, logs, end)
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(texts)).columns[:-1], *made], names=[*batch.schema.names[:-1], "n_tokens", "n_known", "base", "ids", "rare"])
 
     return run
 
 
+def _encoded(texts: pa.Array, encode, first: np.ndarray, known: pa.Array, logs: np.ndarray, end: float | None) -> list[pa.Array]:
+    """Tokens, known ones, the base of these, subword ids and rare words with their counts of each text. Every different word is looked at once.
+
+    known: words, whose log10 counts are in logs, with nan after the last for words that aren't among them."""
+    words, starts = words_of(texts)
+    words = words.dictionary_encode()
+    own, codes, n = words.dictionary, words.indices.to_numpy(), len(texts)
+    row = np.repeat(np.arange(n), np.diff(starts))
+    word = pc.not_equal(pc.binary_length(own), 0).to_numpy(zero_copy_only=False)
+    log = logs[pc.index_in(own, value_set=known).fill_null(len(known)).to_numpy()]
+    rare = np.isnan(log) & word
+
+    def per_text(of_word: np.ndarray) -> np.ndarray:
+        sums = np.append(0, np.cumsum(of_word[codes], dtype=np.int64))
+        return sums[starts[1:]] - sums[starts[:-1]]
+
+    n_words, n_rare = per_text(word), per_text(rare)
+    base = np.bincount(row, np.where(np.isnan(log), 0.0, log)[codes], n) + (0.0 if end is None else end)
+    taken = subwords(own, encode, first).take(words.indices)
+    _, offsets, ids = taken.buffers()
+    ids = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.frombuffer(offsets, np.int32, len(codes) + 1)[starts]), ids])
+    at = np.flatnonzero(rare[codes])
+    pairs, times = np.unique(row[at] * len(own) + codes[at], return_counts=True)
+    rows, of = np.divmod(pairs, max(1, len(own)))
+    rares = pa.StructArray.from_arrays([own.take(pa.array(of)), pa.array(times, pa.int64())], ["word", "n"])
+    ends = pa.array(np.searchsorted(rows, np.arange(n + 1)), pa.int32())
+    return [pa.array(n_words + 1), pa.array(n_words - n_rare + (end is not None)), pa.array(base), ids, pa.ListArray.from_arrays(ends, rares)]
+
+
 def _scorer(model, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _keep_heap()
@@ -560,8 +552,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         if words > TOP_WORDS:
             break
         cut = r["o"]
-    known = {r["word"].encode(): float(np.log10(r["n"] + 0.5)) for r in counts.where(octave >= cut).collect()}
-    frequent = spark.sparkContext.broadcast((known, float(np.log10(ends + 0.5)) if ends else None))
+    common = counts.where(octave >= cut).collect()
+    known, logs = pa.array([r["word"] for r in common], pa.string()), np.log10(np.array([r["n"] for r in common], float) + 0.5)
+    frequent = spark.sparkContext.broadcast((known, logs, float(np.log10(ends + 0.5)) if ends else None))
 
     made = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("ids", T.BinaryType()), ("rare", T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])))]
     schema = T.StructType([*rows.schema.fields[:-1], *[T.StructField(k, t) for k, t in made]])

@@ -537,6 +537,39 @@ def test_lm_base_scores(spark, small):
     assert [g[4] for g in got] == pytest.approx([x[4] for x in sorted(want)], abs=1e-3)
 
 
+def test_lm_looks_at_each_different_word_once(monkeypatch):
+    """Of a run of texts the tokenizer sees every different word once, in one call; ids, counts and rare words are those of each text for itself."""
+    import numpy as np
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    plain, asked = token_ids.Tokenizer(token_ids.vocabulary(lm_scoring.VOCABULARY)).encoding, []
+    encoding = SimpleNamespace(n_vocab=plain.n_vocab, decode_single_token_bytes=plain.decode_single_token_bytes, encode_ordinary=lambda t: asked.append(t) or plain.encode_ordinary(t))
+    monkeypatch.setattr(lm_scoring, "tokenizer", lambda ranks: SimpleNamespace(encoding=encoding))
+    texts = [None, "", " ", " A b  b", "x\u00a0y \u00a0 z", "\x85 q \x1c\x0bw", "it's 'S", "\u00c9\u0130 \u1e9e a"] + [f"a b word{i} word{i} Word{i // 2}" for i in range(300)]
+    known = {"a": 1.5, "b": 0.25}
+    frequent = SimpleNamespace(value=(pa.array(list(known)), np.array(list(known.values())), 2.0))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["row", "text"])
+    got = [r for b in lm_scoring._encoder(None, frequent)(iter([batch])) for r in b.to_pylist()]
+    words = [SPACE.findall(lower(t)) for t in texts]
+    assert len(asked) == 1 and sorted(asked[0][1:].split(" ")) == sorted({w for ws in words for w in ws})
+    assert [r["row"] for r in got] == list(range(len(texts)))
+    for r, ws in zip(got, words, strict=True):
+        assert (r["n_tokens"], r["n_known"]) == (len(ws) + 1, sum(w in known for w in ws) + 1)
+        assert r["base"] == pytest.approx(2.0 + sum(known.get(w, 0) for w in ws))
+        assert np.frombuffer(r["ids"], np.uint16).tolist() == [i for w in ws for i in plain.encode_ordinary(" " + w)]
+        assert {x["word"]: x["n"] for x in r["rare"]} == Counter(w for w in ws if w not in known)
+    monkeypatch.setattr(lm_scoring, "SLICE", 40)
+    again = [r for b in lm_scoring._encoder(None, frequent)(iter([batch])) for r in b.to_pylist()]
+    for r in got + again:
+        r["rare"].sort(key=lambda x: x["word"])
+    assert again == got and len(asked) > 20
+    seen = Counter()
+    for b in lm_scoring._count(iter([batch.select(["text"])])):
+        seen.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
+    assert seen == Counter(w for ws in words for w in ws)
+
+
 def test_lm_rare_words_take_the_join(spark, small, monkeypatch):
     rows = [(r["doc_id"], r["text"], "en", "s", 0) for r in small.limit(40).collect()]
     a = lm_scoring.score(docs(spark, rows)).select("doc_id", "n_known", F.round("base_score", 5)).collect()
