@@ -17,6 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafbound.functions.shared import stored
 from leafbound.operators.text import LLM_TYPES, render
 
 STORED = "hash string, reply string, error string"
@@ -77,9 +78,10 @@ def _known(store: str, like: DataFrame) -> DataFrame:
 def ask(prompts: DataFrame, model: Callable[[str], str], store: str, parallel: int = 4, timeout: float = 30.0, batch: int = 64) -> DataFrame:
     """prompts (with a column `prompt`) with `reply` and `error`. store: a folder that all executors share; it is added to.
 
-    Null prompts aren't asked and have neither. `parallel` bounds the calls of one task at a time.
+    Null prompts aren't asked and have neither. `parallel` bounds the calls of one task at a time. Prompts are computed once, and kept in a
+    folder beside the store, as they are asked and then joined with their replies.
     """
-    keyed = prompts.withColumn("_hash", F.sha2("prompt", 256))
+    keyed = stored(prompts.withColumn("_hash", F.sha2("prompt", 256)), f"{store.rstrip('/')}-prompts", "asked")
     answered = _known(store, prompts).where("reply IS NOT NULL").select(F.col("hash").alias("_hash")).distinct()
     todo = keyed.where("prompt IS NOT NULL").groupBy("_hash").agg(F.first("prompt").alias("prompt")).join(answered, "_hash", "left_anti")
 

@@ -120,3 +120,20 @@ def test_model_merges_into_ranges(spark, docs):
 def test_model_query(spark):
     rows = QUERIES["b16_model_merge"](spark, "/root/testdata/sf0.001").collect()
     assert sum(r["end_page"] - r["start_page"] + 1 for r in rows) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_model_query_reads_texts_once(spark):
+    """What the rules say and the prompts are stored before ranges are made: the result reads no text again."""
+    assert not [f for f in QUERIES["b16_model_merge"](spark, "/root/testdata/sf0.001").inputFiles() if "documents" in f]
+
+
+def test_prompts_are_computed_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def prompt(i):
+        made.add(1)
+        return f"p{i % 3}"
+
+    got = models.ask(spark.range(30).repartition(3).select("id", prompt("id").alias("prompt")), str.upper, str(tmp_path / "store")).collect()
+    assert {r["id"]: r["reply"] for r in got} == {i: f"P{i % 3}" for i in range(30)} and made.value == 30
