@@ -49,7 +49,7 @@ CONTEXT, STRIDE, WIDTH, HIDDEN, GROUPS, MEMBERS, BINS = 32, 28, 16, 16, 32, 32,
 CLASSES, LAST = GROUPS * MEMBERS, WIDTH - 1
 ROUNDS, BATCHES, POOL, RATE, SEED, FAN = 3, (128, 256, 256), 4096, 0.012, 11, 16
 SHARD, LEARNED, MOST_EPOCHS = 8_000_000, 12_000_000, 20
-SCORED, PIECE, SLICE = 512, 4096, 16 << 20
+SCORED, PIECE, SLICE, COUNTED = 512, 4096, 16 << 20, 1 << 20
 TOP_WORDS, LN10 = 200_000, float(np.log(10))
 
 
@@ -85,14 +85,22 @@ def word_counts(training: DataFrame) -> DataFrame:
     return stored(training.mapInArrow(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
+def joined(ids: pa.Array) -> np.ndarray:
+    """The subword ids of all texts of a column, one after the other, as they lie there."""
+    _, offsets, data = ids.buffers()
+    begin, end = np.frombuffer(offsets, np.int32)[[ids.offset, ids.offset + len(ids)]] if len(ids) else (0, 0)
+    return np.frombuffer(data, np.uint16, (end - begin) // 2, begin) if end > begin else np.zeros(0, np.uint16)
+
+
 def subword_counts(encoded: DataFrame) -> np.ndarray:
     """encoded: (ids). How often each subword id occurs; summed by a shuffle, one row an id on the driver."""
 
     def run(batches):
         sums = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                sums += np.bincount(np.frombuffer(ids.as_buffer(), np.uint16), minlength=1 << 16)
+            own = joined(batch.column(0))
+            for at in range(0, len(own), COUNTED):
+                sums += np.bincount(own[at : at + COUNTED], minlength=1 << 16)
         some = np.nonzero(sums)[0]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(sums[some], pa.int64())], names=["id", "n"])
 
@@ -192,15 +200,16 @@ def _members(w: dict, z: np.ndarray, t: np.ndarray):
 
     A class is a group and a member of it, each a softmax, so that a token costs GROUPS + MEMBERS exponentials."""
     order = np.argsort(t, kind="stable")
-    first = int(np.searchsorted(t[order], 0))
-    none, order = order[:first], order[first:]
     ts = t[order]
+    first = int(np.searchsorted(ts, 0))
+    none, order, ts = order[:first], order[first:], ts[first:]
     cuts = np.searchsorted(ts, np.arange(GROUPS + 1) * MEMBERS).tolist()
     held, logits = z.take(order, 0), np.empty((len(ts), MEMBERS), np.float32)
     for g in range(GROUPS):
         if cuts[g] < cuts[g + 1]:
             np.matmul(held[cuts[g] : cuts[g + 1]], w["m"][g], out=logits[cuts[g] : cuts[g + 1]])
-    return none, order, ts // MEMBERS, ts % MEMBERS, cuts, held, logits
+    group = ts // MEMBERS
+    return none, order, group, ts - group * MEMBERS, cuts, held, logits
 
 
 def log_probabilities(w: dict, ids: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -233,14 +242,16 @@ def gradients(w: dict, ids: np.ndarray, targets: np.ndarray) -> dict[str, np.nda
     members *= (scale / np.maximum(members @ _MEMBERS, 1e-30))[:, None]
     members.ravel()[np.arange(len(order)) * MEMBERS + member] -= scale
     g = {"u": z.T @ groups, "m": np.zeros_like(w["m"])}
-    dz, dheld = groups @ w["u"].T, np.empty_like(held)
+    dz, dheld = groups @ w["u"].T, np.empty((len(held) + 1, d), held.dtype)
+    dheld[-1] = 0  # of places without target
     for i in range(GROUPS):
         a, b = cuts[i], cuts[i + 1]
         if a < b:
             np.matmul(held[a:b].T, members[a:b], out=g["m"][i])
             np.matmul(members[a:b], w["m"][i].T, out=dheld[a:b])
-    dheld += dz.take(order, 0)
-    dz[order] = dheld
+    place = np.full(len(t), len(held))
+    place[order] = np.arange(len(held))
+    dz += dheld.take(place, 0)
     dz[:, LAST] = 0
     g["g"] = f.T @ dz
     df = dz @ w["g"].T
@@ -268,10 +279,12 @@ def gradients(w: dict, ids: np.ndarray, targets: np.ndarray) -> dict[str, np.nda
     g["p"] = dx.sum(axis=0)
     flat = ids.reshape(-1)
     real = np.argsort(flat, kind="stable")
-    real = real[int(np.searchsorted(flat[real], 0)) :]
     sorted_ = flat[real]
+    first = int(np.searchsorted(sorted_, 0))
+    real, sorted_ = real[first:], sorted_[first:]
     starts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(real) else np.zeros(0, int)
-    rows = np.add.reduceat(dx.reshape(-1, d).take(real, 0), starts, axis=0) if len(real) else np.zeros((0, d), np.float32)
+    pairs = np.result_type(dx.dtype, np.complex64)  # two channels are summed up at a time
+    rows = np.add.reduceat(dx.reshape(-1, d).take(real, 0).view(pairs), starts, axis=0).view(dx.dtype) if len(real) else np.zeros((0, d), np.float32)
     for x in (rows, g["p"], g["o"], g["g"]):  # the constant channel stays one
         x[:, LAST] = 0
     g["e"] = (sorted_[starts], rows)
@@ -285,15 +298,25 @@ class Adam:
 
     def step(self, g: dict) -> None:
         self.t += 1
-        rate, a, b = np.float32(self.rate * min(1.0, self.t / 10)), np.float32(1 - 0.9**self.t), np.float32(1 - 0.99**self.t)
+        a, b = 1 - 0.9**self.t, math.sqrt(1 - 0.99**self.t)
+        rate, least = np.float32(self.rate * min(1.0, self.t / 10) * b / a), np.float32(1e-8 * b)
         for k, x in self.w.items():
             m, v, some = self.m[k], self.v[k], g[k]
             if k == "e":  # rows that weren't met stand still
                 rows, some = some
                 whole, (x, m, v) = (x, m, v), (x[rows], m[rows], v[rows])
-            m += np.float32(0.1) * (some - m)
-            v += np.float32(0.01) * (some * some - v)
-            x -= rate * (m / a) / (np.sqrt(v / b) + np.float32(1e-8))
+            by = some - m
+            by *= np.float32(0.1)
+            m += by
+            np.multiply(some, some, out=by)
+            by -= v
+            by *= np.float32(0.01)
+            v += by
+            np.sqrt(v, out=by)
+            by += least
+            np.divide(m, by, out=by)
+            by *= rate
+            x -= by
             if k == "e":
                 for to, values in zip(whole, (x, m, v), strict=True):
                     to[rows] = values
@@ -321,27 +344,46 @@ def initial(encoding) -> np.ndarray:
     return np.array([encoding.decode_single_token_bytes(i)[:1] == b" " for i in range(encoding.n_vocab)])
 
 
-def windows(ids: np.ndarray, first: int, last: int, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
-    """Windows first..last - 1 of a text's class ids, the end token included: inputs (n, CONTEXT) and targets (n, stride)."""
-    n, size = last - first, len(ids)
+def strip(ids: np.ndarray, first: int, last: int, stride: int) -> np.ndarray:
+    """The stretch of a text's class ids, the end token included, that windows first..last - 1 lie on; -1 is padding.
+
+    A window's inputs begin stride after those of the one before it, its targets CONTEXT - stride + 1 after its inputs."""
+    out = np.full((last - first) * stride + CONTEXT - stride + 1, -1, np.int16)
     start = first * stride + stride - CONTEXT - 1  # of the first window's inputs, each of which stands before its target
-    inputs = np.full((n - 1) * stride + CONTEXT, -1, np.int16)
-    some = ids[max(start, 0) : min(start + len(inputs), size)]
-    inputs[max(-start, 0) : max(-start, 0) + len(some)] = some
+    some = ids[max(start, 0) : start + len(out)]
+    out[max(-start, 0) : max(-start, 0) + len(some)] = some
     if start < 0:
-        inputs[-1 - start] = 0
-    targets = np.full(n * stride, -1, np.int16)
-    some = ids[first * stride : min(last * stride, size)]
-    targets[: len(some)] = some
-    return np.ndarray((n, CONTEXT), np.int16, inputs, strides=(2 * stride, 2)), targets.reshape(n, stride)
+        out[-1 - start] = 0
+    return out
+
+
+def on_strips(strips: list[np.ndarray], stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs and targets that begin at every place of strips laid end to end, the places where windows do, and which of these is each strip's first. Only what is taken of the two is copied."""
+    whole, back = np.concatenate(strips), CONTEXT - stride + 1
+    sizes = np.array([len(s) for s in strips])
+    counts = (sizes - back) // stride
+    firsts, begins = np.cumsum(counts) - counts, np.cumsum(sizes) - sizes
+    at = np.repeat(begins - stride * firsts, counts) + stride * np.arange(counts.sum())
+    step = whole.itemsize
+    inputs = np.ndarray((len(whole) - CONTEXT + 1, CONTEXT), whole.dtype, whole, strides=(step, step))
+    targets = np.ndarray((len(whole) - back - stride + 1, stride), whole.dtype, whole, back * step, (step, step))
+    return inputs, targets, at, firsts
+
+
+def windows(ids: np.ndarray, first: int, last: int, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
+    """Windows first..last - 1 of a text's class ids, the end token included: inputs (n, CONTEXT) and targets (n, stride)."""
+    inputs, targets, at, _ = on_strips([strip(ids, first, last, stride)], stride)
+    return inputs[at], targets[at]
 
 
-def pieces(kind: np.ndarray, ids, stride: int = STRIDE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All windows of a text, given its subword ids as bytes; at most PIECE at a time."""
-    own = np.append(kind[np.frombuffer(ids, np.uint16)], np.int16(0))
+def pieces(kind: np.ndarray, ids: np.ndarray, stride: int = STRIDE) -> Iterator[tuple[np.ndarray, int]]:
+    """Strips of all windows of a text, given its subword ids, and how many; at most PIECE at a time."""
+    own = np.zeros(len(ids) + 1, np.int16)
+    own[:-1] = kind.take(ids)
     n = -(-len(own) // stride)
     for at in range(0, n, PIECE):
-        yield windows(own, at, min(n, at + PIECE), stride)
+        to = min(n, at + PIECE)
+        yield strip(own, at, to, stride), to - at
 
 
 # ---- training
@@ -415,17 +457,17 @@ def train(encoded: DataFrame, weights: dict, kind, subwords: int) -> dict:
                 adam, held, n, total = Adam(w, RATE / slower), [], 0, 0
 
                 def learn(w=w, adam=adam, held=held):
-                    ids, targets = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-                    mix = np.random.default_rng(total).permutation(len(ids))
+                    ids, targets, begins, _ = on_strips(held, CONTEXT)
+                    mix = begins[np.random.default_rng(total).permutation(len(begins))]
                     for at in range(0, len(mix), size):
                         some = mix[at : at + size]
                         adam.step(gradients(w, ids[some], targets[some]))
 
                 for ids, times in own:
                     for _ in range(times):
-                        for piece in pieces(kind.value, ids, CONTEXT):
+                        for piece, count in pieces(kind.value, np.frombuffer(ids, np.uint16), CONTEXT):
                             held.append(piece)
-                            n += len(piece[0])
+                            n += count
                             if n >= POOL:
                                 learn()
                                 total, n = total + n, 0
@@ -501,25 +543,27 @@ def _scorer(model, table):
         w, (kind, share) = model.value, table.value
         for batch in batches:
             total, sizes = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            held: list[tuple] = []
+            held, of = [], []
 
             def drain():
-                x, t = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-                of = np.repeat([h[2] for h in held], [len(h[0]) for h in held])
-                for at in range(0, len(x), SCORED):
-                    sums = log_probabilities(w, x[at : at + SCORED], t[at : at + SCORED]).sum(axis=1, dtype=np.float64)
-                    np.add.at(total, of[at : at + SCORED], sums / LN10)
+                x, t, begins, firsts = on_strips(held, STRIDE)
+                sums = np.empty(len(begins))
+                for at in range(0, len(begins), SCORED):
+                    some = begins[at : at + SCORED]
+                    log_probabilities(w, x[some], t[some]).sum(axis=1, out=sums[at : at + SCORED])
+                np.add.at(total, of, np.add.reduceat(sums, firsts) / LN10)
                 held.clear()
+                of.clear()
 
             n = 0
             for row, ids in enumerate(batch.column(batch.num_columns - 1)):
-                ids = ids.as_buffer()
-                own = np.frombuffer(ids, np.uint16)
+                own = np.frombuffer(ids.as_buffer(), np.uint16)
                 sizes[row] = len(own) + 1
-                total[row] += share[own].sum()
-                for piece in pieces(kind, ids):
-                    held.append((*piece, row))
-                    n += len(piece[0])
+                total[row] += share.take(own).sum()
+                for piece, count in pieces(kind, own):
+                    held.append(piece)
+                    of.append(row)
+                    n += count
                     if n >= PIECE:
                         drain()
                         n = 0
@@ -541,13 +585,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     ranks = spark.sparkContext.broadcast(vocabulary(path))
     counts = word_counts(training.select("text"))
     ends = training.count()
-    size = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    n, v = (size["n"] or 0) + ends, size["v"] + (ends > 0)
 
     # the least frequency class of which at most TOP_WORDS words are as frequent; classes are eighths of octaves
     octave = F.floor(F.log2("n") * 8)
     cut, words = 1 << 30, 0
-    for r in sorted(counts.groupBy(octave.alias("o")).count().collect(), key=lambda r: -r["o"]):
+    sizes = counts.groupBy(octave.alias("o")).agg(F.count("*").alias("count"), F.sum("n").alias("n")).collect()
+    n, v = sum(r["n"] for r in sizes) + ends, sum(r["count"] for r in sizes) + (ends > 0)
+    for r in sorted(sizes, key=lambda r: -r["o"]):
         words += r["count"]
         if words > TOP_WORDS:
             break

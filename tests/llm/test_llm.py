@@ -596,6 +596,43 @@ def test_lm_windows_score_each_token_once(stride):
                         assert i[last + k] == (0 if at == 0 else ids[at - 1])
 
 
+@pytest.mark.parametrize("stride", [lm_scoring.STRIDE, lm_scoring.CONTEXT])
+def test_lm_strips_hold_the_windows(monkeypatch, stride):
+    """Strips laid end to end: the windows on them are those of each text for itself, and nothing is copied before it is taken."""
+    import numpy as np
+
+    monkeypatch.setattr(lm_scoring, "PIECE", 3)
+    kind = np.arange(1, 60, dtype=np.int16)
+    texts = [np.arange(n, dtype=np.uint16) % 59 for n in (0, 1, 27, 28, 31, 32, 33, 100, 300)]
+    strips, counts = zip(*[p for ids in texts for p in lm_scoring.pieces(kind, ids, stride)], strict=True)
+    inputs, targets, at, firsts = lm_scoring.on_strips(list(strips), stride)
+    assert inputs.base is not None and np.shares_memory(inputs, targets) and firsts.tolist() == (np.cumsum(counts) - counts).tolist()
+    want = []
+    for ids in texts:
+        stream = [int(kind[i]) for i in ids] + [0]
+        for first in range(0, len(stream), stride):
+            before = [-1] * lm_scoring.CONTEXT + [0] + stream
+            end = first + stride + lm_scoring.CONTEXT
+            want.append((before[end - lm_scoring.CONTEXT : end], stream[first : first + stride]))
+    assert len(want) == len(at) == sum(counts)
+    for x, t, (a, b) in zip(inputs[at], targets[at], want, strict=True):
+        assert t.tolist() == b + [-1] * (stride - len(b)) and x[: len(a)].tolist() == a and (x[len(a) :] == -1).all()
+
+
+def test_lm_subwords_are_counted_in_one_go(spark, monkeypatch):
+    """The ids of a column are counted as they lie there, in runs of bounded length, from the middle of a column too."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm_scoring, "COUNTED", 4)
+    texts = [np.array(x, np.uint16).tobytes() for x in ([1, 2, 2], [], [65535], [7] * 9, [2])]
+    column = pa.array(texts, pa.binary())
+    assert lm_scoring.joined(column.slice(1, 3)).tolist() == [65535] + [7] * 9
+    assert lm_scoring.joined(column.slice(1, 1)).tolist() == lm_scoring.joined(column.slice(0, 0)).tolist() == []
+    got = lm_scoring.subword_counts(spark.createDataFrame([(t,) for t in texts], "ids binary").repartition(2))
+    assert {int(i): int(got[i]) for i in got.nonzero()[0]} == {1: 1, 2: 3, 7: 9, 65535: 1}
+
+
 def test_lm_is_a_distribution_and_causal():
     import numpy as np
 
